@@ -6,3 +6,13 @@ from pyspark.sql import functions as F
 
 def to_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
+
+    Spark does not share common subexpressions across CASE branches or inside
+    higher-order functions; binding through a one-element ``transform`` makes
+    an expensive intermediate (a split text, a joined array) computed once.
+    """
+    return F.get(F.transform(F.array(value), fn), 0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuskit.functions.common import to_col
+from corpuskit.functions.common import let, to_col
 from corpuskit.functions.text import (rfind, rstrip_ws, split_sentences_ws, starts_with_point,
                                       strip_ws, word_count)
 
@@ -31,16 +31,25 @@ def _is_point(line: Column) -> Column:
 
 
 def renumber_points(lines) -> Column:
-    """Drop blank lines; numbered lines are renumbered 1, 2, ... in order."""
-    kept = F.filter(to_col(lines), lambda l: strip_ws(l) != "")
-    flags = F.transform(kept, lambda l: _is_point(l))
+    """Drop blank lines; numbered lines are renumbered 1, 2, ... in order.
 
-    def rewrite(line, i):
-        k = F.size(F.filter(F.slice(flags, 1, i + 1), lambda f: f))
-        after = F.substring(line, F.locate(". ", line) + 2, 1 << 30)
-        return F.when(F.get(flags, i), F.concat(k.cast("string"), F.lit(". "), after)).otherwise(line)
+    The number of a numbered line is its position in the list of numbered-line
+    indices, so no per-line prefix scan is needed."""
+    def body(kept):
+        flags = F.transform(kept, lambda l: _is_point(l))
 
-    return F.transform(kept, rewrite)
+        def with_flags(fl):
+            marks = F.filter(F.transform(fl, lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda x: x >= 0)
+
+            def with_marks(mk):
+                def rewrite(line, i):
+                    after = F.substring(line, F.locate(". ", line) + 2, 1 << 30)
+                    k = F.array_position(mk, i)
+                    return F.when(F.get(fl, i), F.concat(k.cast("string"), F.lit(". "), after)).otherwise(line)
+                return F.transform(kept, rewrite)
+            return let(marks, with_marks)
+        return let(flags, with_flags)
+    return let(F.filter(to_col(lines), lambda l: strip_ws(l) != ""), body)
 
 
 def _ends_open(text: Column) -> Column:
@@ -52,41 +61,47 @@ def _last_terminator(text: Column) -> Column:
 
 
 def _complete(points: Column) -> Column:
-    text = F.array_join(points, "\n")
-    n = F.length(text)
-    last_point = F.coalesce(F.try_element_at(points, F.lit(-1)), F.lit(""))
-    lp = _last_terminator(text)
-    lc = rfind(text, ",")
-    lconj = F.greatest(*[rfind(text, w) for w in CONJUNCTIONS])
-    cut = (F.when(lp > n * PERIOD_CUT, F.substring(text, 1, lp + 1))
-           .when(lc > n * COMMA_CUT, F.concat(F.substring(text, 1, lc + 1), F.lit(COMMA_SUFFIX)))
-           .when(lconj > n * CONJ_CUT, F.concat(F.substring(text, 1, lconj), F.lit(CONJ_SUFFIX)))
-           .otherwise(F.concat(rstrip_ws(text), F.lit(ELLIPSIS_SUFFIX))))
-    short = F.when(F.size(points) > 1,
-                   F.array_join(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), "\n")).otherwise(text)
-    return (F.when(~_ends_open(text), text)
-            .when(word_count(last_point) < 3, short)
-            .otherwise(cut))
+    def body(pts):
+        def on_text(text):
+            n = F.length(text)
+            last_point = F.coalesce(F.try_element_at(pts, F.lit(-1)), F.lit(""))
+            lp = _last_terminator(text)
+            lc = rfind(text, ",")
+            lconj = F.greatest(*[rfind(text, w) for w in CONJUNCTIONS])
+            cut = (F.when(lp > n * PERIOD_CUT, F.substring(text, 1, lp + 1))
+                   .when(lc > n * COMMA_CUT, F.concat(F.substring(text, 1, lc + 1), F.lit(COMMA_SUFFIX)))
+                   .when(lconj > n * CONJ_CUT, F.concat(F.substring(text, 1, lconj), F.lit(CONJ_SUFFIX)))
+                   .otherwise(F.concat(rstrip_ws(text), F.lit(ELLIPSIS_SUFFIX))))
+            short = F.when(F.size(pts) > 1, F.array_join(
+                F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0))), "\n")).otherwise(text)
+            return (F.when(~_ends_open(text), text)
+                    .when(word_count(last_point) < 3, short)
+                    .otherwise(cut))
+        return let(F.array_join(pts, "\n"), on_text)
+    return let(points, body)
 
 
 def post_process_summary(c) -> Column:
     """Inference-time clean-up of a generated summary."""
-    text = F.replace(to_col(c), F.lit(LINE_TAG), F.lit("\n"))
-    lines = F.split(text, "\n")
-    any_point = F.exists(lines, lambda l: starts_with_point(l))
-    sentences = split_sentences_ws(text)
-    as_points = F.array_join(
-        F.transform(sentences, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")
-    fixed = strip_ws(_complete(renumber_points(lines)))
-    return F.when(~any_point & (F.size(sentences) > 1), as_points).otherwise(fixed)
+    def body(text):
+        lines = F.split(text, "\n")
+
+        def on_sentences(sentences):
+            any_point = F.exists(lines, lambda l: starts_with_point(l))
+            as_points = F.array_join(
+                F.transform(sentences, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")
+            return F.when(~any_point & (F.size(sentences) > 1), as_points).otherwise(
+                strip_ws(_complete(renumber_points(lines))))
+        return let(split_sentences_ws(text), on_sentences)
+    return let(F.replace(to_col(c), F.lit(LINE_TAG), F.lit("\n")), body)
 
 
 def post_process_training(c) -> Column:
     """Training-time variant — renumber, then cut at the last terminator if it
     lies beyond 70 % of the text; no tag replacement, no suffixes."""
-    points = renumber_points(F.split(to_col(c), "\n"))
-    text = F.array_join(points, "\n")
-    lp = _last_terminator(text)
-    cut = F.when(_ends_open(text) & (lp > F.length(text) * PERIOD_CUT),
-                 F.substring(text, 1, lp + 1)).otherwise(text)
-    return strip_ws(cut)
+    def on_text(text):
+        lp = _last_terminator(text)
+        cut = F.when(_ends_open(text) & (lp > F.length(text) * PERIOD_CUT),
+                     F.substring(text, 1, lp + 1)).otherwise(text)
+        return strip_ws(cut)
+    return let(F.array_join(renumber_points(F.split(to_col(c), "\n")), "\n"), on_text)
