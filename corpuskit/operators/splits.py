@@ -114,14 +114,15 @@ def task_offsets(df: DataFrame, task: str = "task_name", task_order: list[str] |
 
 
 def _local_index(df: DataFrame, id_col: str, task: str | None, buckets: int = 1024,
-                 out: str = "local_idx") -> DataFrame:
+                 out: str = "local_idx", weight: str | None = None) -> DataFrame:
     """0-based rank of each row inside its task by ``id_col`` (ties broken by the
     row order of ``id_col`` only — keys must be unique per task).
 
     No window ever spans a whole task: rows are range-bucketed inside the task by
     their key, bucket sizes are prefix-summed on the small (task, bucket) table,
     and the final rank is local to one bucket.  The bucket function is monotone in
-    the key, which is all the rank needs.
+    the key, which is all the rank needs.  With ``weight`` the result is the
+    exclusive prefix sum of the weights instead of the row rank.
     """
     if task is None:
         df = df.withColumn("_task", F.lit(0))
@@ -132,12 +133,15 @@ def _local_index(df: DataFrame, id_col: str, task: str | None, buckets: int = 10
     with_b = (df.join(F.broadcast(bounds), task)
               .withColumn("_b", F.least(F.floor(pos * buckets / span), F.lit(buckets - 1)).cast("int"))
               .drop("_lo", "_hi"))
-    sizes = with_b.groupBy(task, "_b").agg(F.count("*").alias("_n"))
+    wcol = F.col(weight) if weight else F.lit(1)
+    sizes = with_b.groupBy(task, "_b").agg(F.sum(wcol).alias("_n"))
     w = Window.partitionBy(task).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    inner = Window.partitionBy(task, "_b").orderBy(id_col)
+    local = (F.sum(wcol).over(inner.rowsBetween(Window.unboundedPreceding, -1)) if weight
+             else F.row_number().over(inner) - 1)
     res = (with_b.join(F.broadcast(starts), [task, "_b"])
-           .withColumn(out, (F.col("_start") + F.row_number().over(
-               Window.partitionBy(task, "_b").orderBy(id_col)) - 1).cast("bigint"))
+           .withColumn(out, (F.col("_start") + F.coalesce(local, F.lit(0))).cast("bigint"))
            .drop("_b", "_start"))
     return res.drop("_task") if task == "_task" else res
 

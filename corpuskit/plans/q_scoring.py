@@ -1 +1,135 @@
-"""Catalog entries."""
+"""Catalog entries for array scoring, classification, the document chain and the
+pluggable scorer."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from corpuskit.operators import labels as L
+from corpuskit.operators import scoring as SC
+from corpuskit.plans import duck as D
+from corpuskit.plans import fixtures as fx
+from corpuskit.plans.catalog import register
+from corpuskit.plans.q_metrics import _duck_length_logits
+
+_SOFTMAX = ("list_transform(logits, lambda x: exp(x - list_max(logits)) / "
+            "list_sum(list_transform(logits, lambda y: exp(y - list_max(logits)))))")
+
+
+@register("softmax_argmax", fx.duck_with("v_logits") +
+          f"SELECT vec_id, (list_position(p, list_max(p)) - 1)::BIGINT AS pred, round(list_max(p), 6) AS confidence, "
+          f"round(list_sum(p), 6) AS prob_sum FROM (SELECT vec_id, {_SOFTMAX} AS p FROM v_logits)")
+def q_softmax_argmax(spark, d):
+    p = fx.v_logits(spark, d).select("vec_id", SC.softmax("logits").alias("p"))
+    return p.select("vec_id", SC.argmax("p").alias("pred"), F.round(F.array_max("p"), 6).alias("confidence"),
+                    F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 6).alias("prob_sum"))
+
+
+_DIM = {"dim": fx.duck_label_dim_values()}
+_LOOKUP = ("CASE WHEN dim.label_name IS NOT NULL THEN dim.label_name "
+           "WHEN q.task IN (SELECT task FROM dim) THEN 'ID_' || q.pid::VARCHAR || '_NotInMap' "
+           "ELSE 'ID_' || q.pid::VARCHAR || '_NoMapForTask' END")
+
+
+@register("classify", fx.duck_with("v_logits", extra=_DIM) +
+          f", q AS (SELECT vec_id, ['scotus','unfair_tos','ledgar'][vec_id % 3 + 1] AS task, p, "
+          "(list_position(p, list_max(p)) - 1)::BIGINT AS pid FROM (SELECT vec_id, "
+          f"{_SOFTMAX} AS p FROM v_logits)) SELECT q.vec_id, q.task, q.pid AS predicted_label_id, "
+          f"{_LOOKUP} AS predicted_label_name, round(list_max(q.p), 6) AS confidence "
+          "FROM q LEFT JOIN dim ON dim.task = q.task AND dim.label_id = q.pid")
+def q_classify(spark, d):
+    lg = fx.v_logits(spark, d).withColumn(
+        "task", F.element_at(F.array(F.lit("scotus"), F.lit("unfair_tos"), F.lit("ledgar")),
+                             (F.col("vec_id") % 3 + 1).cast("int")))
+    dim = L.label_dimension(fx.label_names_df(spark))
+    c = SC.classify(lg, "logits", F.col("task"), dim)
+    return c.select("vec_id", "task", "predicted_label_id", "predicted_label_name",
+                    F.round("confidence", 6).alias("confidence"))
+
+
+def _duck_dict_simplify(x: str) -> str:
+    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in fx.PLAIN_TERMS)
+    return (f"array_to_string(list_transform(string_split({D.clean_text(x)}, ' '), "
+            f"lambda w: coalesce(CASE lower(w) {cases} END, w)), ' ')")
+
+
+def _duck_process(src="documents"):
+    summary = D.post_process_summary(f"array_to_string({D.split_sentences(D.clean_text('text'))}[1:3], '<n>')")
+    return (f"SELECT doc_id, 'scotus' AS task, {_duck_length_logits('text')} AS logits, {summary} AS summary FROM {src}")
+
+
+_PROC_CTES = {
+    **_DIM,
+    "base": _duck_process(),
+    "sm": f"SELECT doc_id, task, summary, {_SOFTMAX} AS p FROM base",
+    "q": "SELECT doc_id, task, summary, (list_position(p, list_max(p)) - 1)::BIGINT AS pid, list_max(p) AS conf FROM sm",
+    "rec": f"SELECT q.doc_id, q.task, q.pid AS predicted_label_id, {_LOOKUP} AS predicted_label_name, "
+           f"q.conf AS confidence, q.summary, {_duck_dict_simplify('q.summary')} AS simplified_summary "
+           "FROM q LEFT JOIN dim ON dim.task = q.task AND dim.label_id = q.pid",
+}
+
+
+def _with(ctes):
+    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + "\n"
+
+
+def _process(spark, d):
+    dim = L.label_dimension(fx.label_names_df(spark))
+    return SC.process_document(fx.documents(spark, d), "doc_id", "text", "scotus", dim)
+
+
+@register("process_document", _with(_PROC_CTES) +
+          "SELECT doc_id, task, predicted_label_id, predicted_label_name, round(confidence, 6) AS confidence, summary, "
+          f"simplified_summary, {D.word_count('summary')} AS summary_words, "
+          f"{D.word_count('simplified_summary')} AS simplified_words FROM rec")
+def q_process_document(spark, d):
+    r = _process(spark, d)
+    return r.withColumn("confidence", F.round("confidence", 6))
+
+
+@register("report_text", _with(_PROC_CTES) +
+          "SELECT doc_id, 'Classification: ' || predicted_label_name || ' (confidence: ' || printf('%.4f', confidence) "
+          "|| ')' || chr(10) || 'Summary: ' || summary || chr(10) || 'Simplified: ' || simplified_summary AS report "
+          "FROM rec")
+def q_report_text(spark, d):
+    r = _process(spark, d)
+    return r.select("doc_id", SC.report_text(r).alias("report"))
+
+
+@register("output_lengths", _with(_PROC_CTES) +
+          f"SELECT doc_id, {D.word_count('summary')} AS summary_words, "
+          f"{D.word_count('simplified_summary')} AS simplified_words FROM rec")
+def q_output_lengths(spark, d):
+    return _process(spark, d).select("doc_id", "summary_words", "simplified_words")
+
+
+@register("dictionary_simplify",
+          f"SELECT doc_id, {_duck_dict_simplify('text')} AS simplified FROM documents")
+def q_dictionary_simplify(spark, d):
+    terms = spark.createDataFrame(fx.PLAIN_TERMS, "term string, plain string")
+    docs = fx.documents(spark, d)
+    return SC.dictionary_simplify(docs, "doc_id", "text", terms).select("doc_id", "simplified")
+
+
+# -- pluggable scorer: a failing primary and a working fallback -------------
+
+def _broken_model():
+    raise RuntimeError("model weights unavailable")
+
+
+def _keyword_model():
+    # a deterministic stand-in model: share of capitalised words in the text
+    def score(texts: pd.Series) -> pd.Series:
+        def one(t):
+            ws = (t or "").split()
+            return sum(1 for w in ws if w[:1].isupper()) / len(ws) if ws else 0.0
+        return texts.map(one)
+    return score
+
+
+@register("score_with_model", None)
+def q_score_with_model(spark, d):
+    docs = fx.documents(spark, d)
+    return SC.score_with_model(docs, [_broken_model, _keyword_model], "text", "capital_share", "double",
+                               keep=["doc_id"]).select("doc_id", "capital_share", "backend", "error")
