@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuskit.functions.common import to_col
+from corpuskit.functions.common import let, to_col
 
 # The whitespace class, sentence terminators and marker text.
 WS = r"[ \t\n\r\f\x0B]"
@@ -48,14 +48,14 @@ def split_sentences_ws(c) -> Column:
 
 def words(c) -> Column:
     """``str.split()`` as an array (empty array for blank text)."""
-    s = strip_ws(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{WS}+"))
+    return let(strip_ws(c), lambda s: F.when(s == "", F.array().cast("array<string>"))
+               .otherwise(F.split(s, f"{WS}+")))
 
 
 def word_count(c) -> Column:
     """``len(text.split())``; 0 for blank or null text."""
-    s = strip_ws(F.coalesce(to_col(c), F.lit("")))
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{WS}+")))
+    return let(strip_ws(F.coalesce(to_col(c), F.lit(""))),
+               lambda s: F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{WS}+"))))
 
 
 def keep_long_sentences(sentences, min_words: int = 5) -> Column:
@@ -63,11 +63,18 @@ def keep_long_sentences(sentences, min_words: int = 5) -> Column:
     return F.filter(to_col(sentences), lambda s: word_count(s) > F.lit(min_words))
 
 
+def keep_long_clean_sentences(sentences, min_words: int = 5) -> Column:
+    """X3 for sentences of *cleaned* text (single spaces, no edge blanks): the word
+    count is the number of single-space separated pieces — a cheap split."""
+    return F.filter(to_col(sentences),
+                    lambda s: (s != "") & (F.size(F.split(s, " ")) > F.lit(min_words)))
+
+
 def rfind(c, needle: str) -> Column:
     """0-based index of the last occurrence of ``needle``, or -1."""
     c = to_col(c)
-    pos = F.locate(needle[::-1], F.reverse(c))
-    return F.when(pos == 0, F.lit(-1)).otherwise(F.length(c) - pos + 1 - F.lit(len(needle)))
+    return let(F.locate(needle[::-1], F.reverse(c)), lambda pos: F.when(pos == 0, F.lit(-1)).otherwise(
+        F.length(c) - pos + 1 - F.lit(len(needle))))
 
 
 def safe_text(c) -> Column:
@@ -111,4 +118,4 @@ def lower_tokens(c) -> Column:
 def rouge_tokens(c) -> Column:
     """X11 tokens: lower-case, anything but ``[a-z0-9]`` separates tokens."""
     s = F.trim(F.regexp_replace(F.lower(F.coalesce(to_col(c), F.lit(""))), "[^a-z0-9]+", " "))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
+    return let(s, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.common import to_col
+from corpuskit.functions.common import let, to_col
 from corpuskit.functions.text import lower_tokens
 
 # Vocabulary size, reserved ids and the padding id.
@@ -27,14 +27,15 @@ def token_id(tok: Column, vocab: int = DEFAULT_VOCAB) -> Column:
 
 def encode_ids(text, length: int, vocab: int = DEFAULT_VOCAB) -> Column:
     """Token ids truncated / padded to ``length``."""
+    def on_ids(ids):
+        return F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(length) - F.size(ids)))
     toks = F.slice(lower_tokens(to_col(text)), 1, length)
-    ids = F.transform(toks, lambda t: token_id(t, vocab))
-    return F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(length) - F.size(ids)))
+    return let(F.transform(toks, lambda t: token_id(t, vocab)), on_ids)
 
 
 def attention_mask(text, length: int) -> Column:
     n = F.size(F.slice(lower_tokens(to_col(text)), 1, length))
-    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
+    return let(n, lambda k: F.concat(F.array_repeat(F.lit(1), k), F.array_repeat(F.lit(0), F.lit(length) - k)))
 
 
 def encode_fixed_length(df: DataFrame, text: str, length: int, vocab: int = DEFAULT_VOCAB) -> DataFrame:

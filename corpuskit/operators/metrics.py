@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.common import to_col
+from corpuskit.functions.common import let, to_col
 from corpuskit.functions.text import rouge_tokens, word_count, words
 
 
@@ -50,10 +50,13 @@ def classification_metrics(df: DataFrame, group: str | None, label: str = "label
 
 def ngram_array(tokens, n: int) -> Column:
     """All contiguous n-grams of a token array, space-joined (empty if too short)."""
-    t = to_col(tokens)
-    m = F.size(t) - n + 1
-    starts = F.slice(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))), 1, F.greatest(m, F.lit(0)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+    def grams(t):
+        m = F.size(t) - n + 1
+        starts = F.slice(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))), 1, F.greatest(m, F.lit(0)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+    # the token array is bound once: referenced inside the lambda it would
+    # otherwise be re-derived for every n-gram
+    return let(to_col(tokens), grams)
 
 
 def ngram_counts(df: DataFrame, id_cols: list[str], tokens: Column, orders) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskit.functions.common import to_col
+from corpuskit.functions.common import let, to_col
 from corpuskit.functions.postprocess import post_process_summary
 from corpuskit.functions.text import (clean_text, keep_long_sentences, split_sentences, word_count)
 
@@ -23,31 +23,33 @@ from corpuskit.functions.text import (clean_text, keep_long_sentences, split_sen
 SUMMARY_ERROR = "Error: Could not generate summary."
 SIMPLIFY_ERROR = "Error: Could not simplify text."
 FALLBACK_PREFIX = "FALLBACK_"
+# Dictionaries up to this many entries are inlined as a map literal.
+INLINE_TERMS_MAX = 10_000
 
 
 def softmax(logits) -> Column:
     """Numerically stable softmax over one row's class axis."""
-    lg = to_col(logits)
-    mx = F.array_max(lg)
-    ex = F.transform(lg, lambda x: F.exp(x - mx))
-    total = F.aggregate(ex, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-    return F.transform(ex, lambda x: x / total)
+    def on_logits(lg):
+        def on_exp(ex):
+            return let(F.aggregate(ex, F.lit(0.0).cast("double"), lambda acc, x: acc + x),
+                       lambda total: F.transform(ex, lambda x: x / total))
+        return let(F.array_max(lg), lambda mx: let(F.transform(lg, lambda x: F.exp(x - mx)), on_exp))
+    return let(to_col(logits), on_logits)
 
 
 def argmax(values) -> Column:
     """0-based index of the first maximum."""
-    v = to_col(values)
-    return (F.array_position(v, F.array_max(v)) - 1).cast("bigint")
+    return let(to_col(values), lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("bigint"))
 
 
 def classify(df: DataFrame, logits: str, task: str | Column, dim: DataFrame | None = None) -> DataFrame:
     """Logits -> softmax -> argmax + confidence -> label name."""
     from corpuskit.operators.labels import attach_label_names
     t = F.lit(task) if isinstance(task, str) and task not in df.columns else to_col(task)
-    probs = softmax(logits)
-    out = df.withColumn("task", t).withColumn("_p", probs) \
-        .withColumn("predicted_label_id", argmax("_p")) \
-        .withColumn("confidence", F.array_max("_p")).drop("_p")
+    best = let(softmax(logits), lambda p: F.struct(argmax(p).alias("id"), F.array_max(p).alias("conf")))
+    out = df.withColumn("task", t).withColumn("_best", best) \
+        .withColumn("predicted_label_id", F.col("_best.id")) \
+        .withColumn("confidence", F.col("_best.conf")).drop("_best")
     if dim is None:
         return out.withColumn("predicted_label_name", F.concat(
             F.lit("ID_"), F.col("predicted_label_id").cast("string"), F.lit("_NoMapForTask")))
@@ -128,11 +130,12 @@ def lead_summary(text, k: int = 3, min_words: int = 0) -> Column:
 def length_logits(text) -> Column:
     """Default classifier back-end: two logits from the word-length profile
     (share of words up to 4 chars vs. longer words), scaled by 4."""
-    w = F.split(clean_text(text), " ")
-    n = F.greatest(F.size(F.filter(w, lambda x: x != "")), F.lit(1))
-    short = F.size(F.filter(w, lambda x: (F.length(x) > 0) & (F.length(x) <= 4)))
-    long_ = F.size(F.filter(w, lambda x: F.length(x) > 4))
-    return F.array((short * 4.0 / n).cast("double"), (long_ * 4.0 / n).cast("double"))
+    def on_words(w):
+        n = F.greatest(F.size(F.filter(w, lambda x: x != "")), F.lit(1))
+        short = F.size(F.filter(w, lambda x: (F.length(x) > 0) & (F.length(x) <= 4)))
+        long_ = F.size(F.filter(w, lambda x: F.length(x) > 4))
+        return F.array((short * 4.0 / n).cast("double"), (long_ * 4.0 / n).cast("double"))
+    return let(F.split(clean_text(text), " "), on_words)
 
 
 def dictionary_simplify(df: DataFrame, id_col: str, text: str, terms: DataFrame,
@@ -145,6 +148,10 @@ def dictionary_simplify(df: DataFrame, id_col: str, text: str, terms: DataFrame,
     document is rebuilt from its own tokens only.
     """
     from corpuskit.operators.labels import checked_broadcast
+    small = terms.select("term", "plain").limit(INLINE_TERMS_MAX + 1).collect()
+    if len(small) <= INLINE_TERMS_MAX:
+        # proven-small dictionary: inline it as a map literal, no shuffle at all
+        return df.withColumn(out, dictionary_simplify_col(text, {r.term: r.plain for r in small}))
     toks = df.select(id_col, F.posexplode(F.split(clean_text(text), " ")).alias("pos", "w"))
     t = checked_broadcast(terms.select(F.col("term").alias("_term"), F.col("plain").alias("_plain")))
     j = toks.join(t, F.lower("w") == F.col("_term"), "left")
@@ -158,7 +165,8 @@ def dictionary_simplify_col(text, terms: dict[str, str]) -> Column:
     """C14 for a small, fixed dictionary: a per-row map lookup, no shuffle."""
     m = F.create_map(*[x for k, v in terms.items() for x in (F.lit(k), F.lit(v))])
     words = F.split(clean_text(text), " ")
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(m, F.lower(w)), w)), " ")
+    out = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(m, F.lower(w)), w)), " ")
+    return F.coalesce(out, F.lit(""))
 
 
 def process_document(df: DataFrame, id_col: str = "doc_id", text: str = "text", task: str = "scotus",

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from corpuskit.functions.text import clean_text, keep_long_sentences, lower_tokens, split_sentences
+from corpuskit.functions.common import let
+from corpuskit.functions.text import clean_text, keep_long_clean_sentences, lower_tokens, split_sentences
 from corpuskit.session import ensure_checkpoint_dir
 
 # PageRank damping, tolerance and iteration limit of the reference
@@ -43,7 +44,7 @@ def english_stop_words(spark) -> list[str]:
 
 def sentences(df: DataFrame, id_col: str, text: str, min_words: int = 5) -> DataFrame:
     """W3 + X1-X3: ``(id, idx, sentence)`` of the kept sentences, in order."""
-    kept = keep_long_sentences(split_sentences(clean_text(text)), min_words)
+    kept = keep_long_clean_sentences(split_sentences(clean_text(text)), min_words)
     return df.select(F.col(id_col).alias("doc_id"), F.posexplode(kept).alias("idx", "sentence"))
 
 
@@ -121,17 +122,138 @@ def _pagerank_numpy(n: int, idx: np.ndarray, codes: np.ndarray, w: np.ndarray, n
     return r, converged
 
 
-def _grouped_pagerank(alpha: float, max_iter: int, tol: float | None):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = pdf["doc_id"].iloc[0]
-        n = int(pdf["n"].iloc[0])
-        terms = pdf[pdf["term"].notna()]
-        codes, uniq = pd.factorize(terms["term"])
-        r, conv = _pagerank_numpy(n, terms["idx"].to_numpy(dtype=np.int64), codes.astype(np.int64),
-                                  terms["w"].to_numpy(dtype=np.float64), len(uniq), alpha, max_iter, tol)
-        return pd.DataFrame({"doc_id": doc, "idx": np.arange(n, dtype=np.int32), "rank": r,
-                             "converged": conv})
-    return fn
+def _doc_tfidf(n: int, tidx: np.ndarray, terms: np.ndarray):
+    """Per-document TF-IDF rows ``(sentence, term code, weight)`` from token rows."""
+    codes, uniq = pd.factorize(terms)
+    t = max(len(uniq), 1)
+    key = tidx.astype(np.int64) * t + codes
+    ukey, tf = np.unique(key, return_counts=True)
+    sidx, scode = ukey // t, ukey % t
+    dfc = np.bincount(scode, minlength=t)
+    x = tf * (np.log((1.0 + n) / (1.0 + dfc[scode])) + 1.0)
+    norm = np.sqrt(np.bincount(sidx, weights=x * x, minlength=n))
+    return sidx, scode, x / norm[sidx], t
+
+
+def _rank_one(n, idx, is_tok, terms, alpha, max_iter, tol, need_rank):
+    if not need_rank:
+        return None, True
+    if is_tok.any():
+        sidx, scode, w, t = _doc_tfidf(n, idx[is_tok], terms[is_tok])
+        return _pagerank_numpy(n, sidx, scode, w, t, alpha, max_iter, tol)
+    return np.full(n, 1.0 / n), False   # empty vocabulary: document order
+
+
+def _textrank_block(block: pd.DataFrame, alpha, max_iter, tol, k) -> pd.DataFrame:
+    """Rank every document of a block of rows sorted by (doc_id, idx): one marker
+    row (idx -1: n and the fallback text), token rows, sentence rows."""
+    doc = block["doc_id"].to_numpy()
+    idx = block["idx"].to_numpy()
+    terms = block["term"].to_numpy(dtype=object)
+    is_tok_all = ~pd.isna(block["term"]).to_numpy()
+    texts = block["text"].to_numpy(dtype=object)
+    ns = block["n"].to_numpy()
+    bounds = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]))
+    out_doc, out_a, out_b, out_c = [], [], [], []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        d, ix, tk = doc[a], idx[a:b], is_tok_all[a:b]
+        n = int(ns[a])                       # the marker sorts first (idx -1)
+        if k is None:
+            if n == 0:
+                continue
+            r, conv = _rank_one(n, ix, tk, terms[a:b], alpha, max_iter, tol, True)
+            out_doc.append(np.full(n, d))
+            out_a.append(np.arange(n, dtype=np.int32))
+            out_b.append(r)
+            out_c.append(np.full(n, conv))
+            continue
+        if n == 0:
+            out_doc.append(d)
+            out_a.append(texts[a])
+            continue
+        r, conv = _rank_one(n, ix, tk, terms[a:b], alpha, max_iter, tol, n >= k)
+        sent_mask = (ix >= 0) & ~tk
+        sent_text = texts[a:b][sent_mask]    # already in idx order
+        if n < k:
+            chosen = range(n)
+        elif not conv:
+            chosen = range(k)
+        else:
+            score = np.round(r, SCORE_DIGITS)
+            chosen = sorted(np.lexsort((np.arange(n), -score))[:k].tolist())
+        out_doc.append(d)
+        out_a.append(" ".join(sent_text[i] for i in chosen))
+    if k is not None:
+        return pd.DataFrame({"doc_id": pd.Series(out_doc, dtype="int64"), "summary": pd.Series(out_a, dtype=object)})
+    if not out_doc:
+        return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "idx": pd.Series([], dtype="int32"),
+                             "rank": pd.Series([], dtype="float64"), "converged": pd.Series([], dtype="bool")})
+    return pd.DataFrame({"doc_id": np.concatenate(out_doc), "idx": np.concatenate(out_a),
+                         "rank": np.concatenate(out_b), "converged": np.concatenate(out_c)})
+
+
+def _textrank_partitions(alpha: float, max_iter: int, tol: float | None, k: int | None):
+    """``mapInPandas`` body over partitions clustered and sorted by doc_id.
+
+    A document's rows may straddle Arrow batches, so the rows of the last
+    (possibly incomplete) document of a batch are carried into the next one;
+    memory stays bounded by one batch plus one document (a capped size)."""
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            doc = pdf["doc_id"].to_numpy()
+            cut = int(np.searchsorted(doc, doc[-1], side="left"))
+            carry = pdf.iloc[cut:]
+            if cut:
+                yield _textrank_block(pdf.iloc[:cut], alpha, max_iter, tol, k)
+        if carry is not None and len(carry):
+            yield _textrank_block(carry, alpha, max_iter, tol, k)
+    return run
+
+
+def _by_document(rows: DataFrame, fn, schema: str) -> DataFrame:
+    """One hash shuffle on doc_id, rows sorted by (doc_id, idx) inside each
+    partition, then the per-document function over Arrow batches — no per-group
+    Python call overhead."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "doc_id").sortWithinPartitions("doc_id", "idx").mapInPandas(fn, schema)
+
+
+def _grouped_inputs(docs: DataFrame, min_words: int, stop_words, with_text: bool) -> DataFrame:
+    """The rows shipped to the per-document function: one marker row, the
+    sentence rows (summary mode) and the token rows of each document, produced by
+    a single explode of one per-row array (the text is split once); the only
+    shuffle is the group-by on doc_id that follows."""
+    row = "struct<idx:int,term:string,text:string,n:int>"
+
+    def on_clean(cleaned):
+        def on_sents(ss):
+            n = F.size(ss)
+            fallback = F.concat(F.substring(cleaned, 1, TRIM_CHARS), F.lit(TRIM_SUFFIX))
+            marker = F.array(F.struct(F.lit(-1).alias("idx"), F.lit(None).cast("string").alias("term"),
+                                      (F.when(n == 0, fallback) if with_text else F.lit(None)).cast("string")
+                                      .alias("text"), n.cast("int").alias("n")))
+
+            def tok_rows(sentence, i):
+                toks = lower_tokens(sentence)
+                if stop_words:
+                    toks = F.filter(toks, lambda t: ~t.isin(*stop_words))
+                return F.transform(toks, lambda t: F.struct(i.cast("int").alias("idx"), t.alias("term"),
+                                                            F.lit(None).cast("string").alias("text"),
+                                                            F.lit(None).cast("int").alias("n")))
+            parts = [marker.cast(f"array<{row}>"), F.flatten(F.transform(ss, tok_rows)).cast(f"array<{row}>")]
+            if with_text:
+                parts.append(F.transform(ss, lambda sentence, i: F.struct(
+                    i.cast("int").alias("idx"), F.lit(None).cast("string").alias("term"), sentence.alias("text"),
+                    F.lit(None).cast("int").alias("n"))).cast(f"array<{row}>"))
+            return F.concat(*parts)
+        return let(keep_long_clean_sentences(split_sentences(cleaned), min_words), on_sents)
+
+    return docs.select("doc_id", F.explode(let(clean_text("_text"), on_clean)).alias("r")).select("doc_id", "r.*")
 
 
 RANK_SCHEMA = "doc_id long, idx int, rank double, converged boolean"
@@ -173,10 +295,20 @@ def _pagerank_joins(w: DataFrame, sent_n: DataFrame, alpha: float, max_iter: int
     return r.select("doc_id", F.col("idx").cast("int"), "rank", F.col("done").alias("converged"))
 
 
+def _route(df: DataFrame, text: str, max_group_rows: int):
+    """Split documents into (small, big) by their token count — a per-row,
+    narrow predicate.  A cheap early-stopping scan (a token needs >= 3 chars of
+    text) first checks whether any document can exceed the bound at all."""
+    may_be_big = df.where((F.length(text) + 1) / 3 > max_group_rows).limit(1).count() > 0
+    if not may_be_big:
+        return df, None
+    ntok = F.size(lower_tokens(text))
+    return df.where(ntok <= max_group_rows), df.where(ntok > max_group_rows)
+
+
 def textrank_scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_sentence_length: int = 5,
                     stop_words: list[str] | str | None = "english", alpha: float = ALPHA,
-                    max_iter: int = MAX_ITER, tol: float | None = TOL, max_group_rows: int = 200_000,
-                    sents: DataFrame | None = None) -> DataFrame:
+                    max_iter: int = MAX_ITER, tol: float | None = TOL, max_group_rows: int = 200_000) -> DataFrame:
     """C2 scores: ``(doc_id, idx, rank, converged)`` for every kept sentence.
 
     ``tol=None`` runs exactly ``max_iter`` rounds (the fixed recipe used by the
@@ -185,35 +317,20 @@ def textrank_scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
     """
     if isinstance(stop_words, str):
         stop_words = english_stop_words(df.sparkSession)
-    sents = sents if sents is not None else sentences(df, id_col, text, min_sentence_length)
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
+    small, big = _route(docs, "_text", max_group_rows)
+    out = _by_document(_grouped_inputs(small, min_sentence_length, stop_words, False),
+                       _textrank_partitions(alpha, max_iter, tol, None), RANK_SCHEMA)
+    if big is None:
+        return out
+    return out.unionByName(_big_scores(big, min_sentence_length, stop_words, alpha, max_iter, tol))
+
+
+def _big_scores(big: DataFrame, min_words: int, stop_words, alpha, max_iter, tol) -> DataFrame:
+    sents = sentences(big, "doc_id", "_text", min_words)
     n = sentence_counts(sents)
     w = tfidf(sents, stop_words, n)
-    # A document can only exceed the bound if its text has more than
-    # 3 * bound characters (a term is >= 2 word chars plus a separator), so one
-    # narrow, early-stopping scan decides whether the join path is needed at all.
-    may_be_big = df.where((F.length(text) + 1) / 3 > max_group_rows).limit(1).count() > 0
-    if may_be_big:
-        rows = w.groupBy("doc_id").agg(F.count("*").alias("nnz"))
-        sizes = n.join(rows, "doc_id", "left").select("doc_id", "n", F.coalesce("nnz", F.lit(0)).alias("nnz"))
-        small_docs = sizes.where(F.col("nnz") <= max_group_rows).select("doc_id", "n")
-        big_docs = sizes.where(F.col("nnz") > max_group_rows).select("doc_id")
-    else:
-        small_docs, big_docs = n, None
-
-    # grouped-map path: the term rows of each small document, plus one marker row
-    # per document so that documents without any term still get their n.
-    small_terms = (w.join(small_docs, "doc_id") if may_be_big else w.join(n, "doc_id")).select(
-        "doc_id", "idx", "term", "w", "n")
-    markers = small_docs.select("doc_id", F.lit(0).alias("idx"), F.lit(None).cast("string").alias("term"),
-                                F.lit(0.0).alias("w"), "n")
-    small = (small_terms.unionByName(markers).groupBy("doc_id")
-             .applyInPandas(_grouped_pagerank(alpha, max_iter, tol), RANK_SCHEMA))
-    if big_docs is None:
-        return small
-    big_w = w.join(big_docs, "doc_id")
-    big_sent = sents.join(big_docs, "doc_id").select("doc_id", "idx").join(n, "doc_id")
-    big = _pagerank_joins(big_w, big_sent, alpha, max_iter, tol)
-    return small.unionByName(big)
+    return _pagerank_joins(w, sents.select("doc_id", "idx").join(n, "doc_id"), alpha, max_iter, tol)
 
 
 def top_k(ranks: DataFrame, k: int, salt: int = 16) -> DataFrame:
@@ -232,22 +349,32 @@ def top_k(ranks: DataFrame, k: int, salt: int = 16) -> DataFrame:
 
 
 def textrank_summarize(df: DataFrame, id_col: str = "doc_id", text: str = "text", num_sentences: int = 5,
-                       min_sentence_length: int = 5, **kw) -> DataFrame:
+                       min_sentence_length: int = 5, stop_words: list[str] | str | None = "english",
+                       alpha: float = ALPHA, max_iter: int = MAX_ITER, tol: float | None = TOL,
+                       max_group_rows: int = 200_000) -> DataFrame:
     """``(doc_id, summary)`` — TextRank top-k in document order, with the
     reference's edge rules: no sentence -> first 500 chars + marker; fewer than k
-    -> all sentences; non-convergence / empty vocabulary -> document order."""
+    -> all sentences; non-convergence / empty vocabulary -> document order.
+
+    Documents under the bound go through one shuffle (token, sentence and marker
+    rows grouped by doc_id) into a per-document numpy function that returns the
+    summary; larger ones use the distributed rounds and a two-level top-k."""
+    if isinstance(stop_words, str):
+        stop_words = english_stop_words(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
-    sents = sentences(docs, "doc_id", "_text", min_sentence_length)
-    n = sentence_counts(sents)
-    ranks = textrank_scores(docs, "doc_id", "_text", min_sentence_length, sents=sents, **kw)
+    small, big = _route(docs, "_text", max_group_rows)
+    out = _by_document(_grouped_inputs(small, min_sentence_length, stop_words, True),
+                       _textrank_partitions(alpha, max_iter, tol, num_sentences), "doc_id long, summary string")
+    if big is None:
+        return out
+    sents = sentences(big, "doc_id", "_text", min_sentence_length)
+    ranks = _big_scores(big, min_sentence_length, stop_words, alpha, max_iter, tol)
     scored = ranks.select("doc_id", "idx", F.when(F.col("converged"), F.round("rank", SCORE_DIGITS))
                           .otherwise(F.lit(0.0)).alias("score"))
     best = top_k(scored, num_sentences).join(sents, ["doc_id", "idx"])
     picked = best.groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "sentence"))), lambda s: s["sentence"]),
                      " ").alias("summary"))
-    cleaned = clean_text("_text")
-    return (docs.join(n, "doc_id", "left").join(picked, "doc_id", "left")
-            .select("doc_id", F.when(F.col("n").isNull(), F.concat(F.substring(cleaned, 1, TRIM_CHARS),
-                                                                   F.lit(TRIM_SUFFIX)))
-                    .otherwise(F.col("summary")).alias("summary")))
+    fallback = F.concat(F.substring(clean_text("_text"), 1, TRIM_CHARS), F.lit(TRIM_SUFFIX))
+    big_out = big.join(picked, "doc_id", "left").select("doc_id", F.coalesce("summary", fallback).alias("summary"))
+    return out.unionByName(big_out)
