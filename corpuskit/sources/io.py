@@ -95,7 +95,8 @@ def export_csv(df: DataFrame, path: str, id_col: str, split: str | None = None,
         df = df.where(F.col(split_col) == split)
     if n is not None:
         df = df.orderBy(id_col).limit(n)
-    df.write.mode("overwrite").option("header", True).csv(path)
+    # RFC 4180 quoting (doubled quotes), as pandas writes it; texts keep newlines
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_report(df: DataFrame, path: str, report_col: str = "report") -> None:
