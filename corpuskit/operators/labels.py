@@ -109,11 +109,11 @@ def label_dimension(names_df: DataFrame, task: str = "task", names: str = "names
 def class_encode(df: DataFrame, column: str, task: str | None = None) -> DataFrame:
     """P18 from data: names = sorted distinct values of ``column`` (a ClassLabel built
     from the column), ids = their position.  One aggregate + a window on the small
-    distinct table."""
+    index (range partitions) on the distinct table."""
+    from corpuskit.operators.splits import ordered_index
     d = df.select(F.col(column).cast("string").alias("label_name")).where(F.col("label_name").isNotNull()).distinct()
-    w = Window.orderBy("label_name")
-    return d.select(F.lit(task or column).alias("task"),
-                    (F.row_number().over(w) - 1).cast("bigint").alias("label_id"), "label_name")
+    return ordered_index(d, ["label_name"], "label_id").select(
+        F.lit(task or column).alias("task"), "label_id", "label_name")
 
 
 def label_counts(dim: DataFrame) -> DataFrame:

@@ -78,9 +78,22 @@ def _overlap(df: DataFrame, id_cols, pred_tokens: Column, ref_tokens: Column, or
     return grid.join(m, [*id_cols, "n"], "left").withColumn("match", F.coalesce("match", F.lit(0)))
 
 
-def rouge_n(df: DataFrame, id_cols: list[str], pred: str, ref: str, orders=(1, 2)) -> DataFrame:
-    """X11: ROUGE-N precision / recall / F per pair and order (no stemming)."""
-    o = _overlap(df, id_cols, rouge_tokens(pred), rouge_tokens(ref), orders)
+def stem_tokens(tokens, stemmer) -> Column:
+    """X13 hook: apply a caller-supplied stemmer (``str -> str``) to tokens longer
+    than 3 characters, as the ROUGE tokenizer does; Arrow-batched pandas UDF."""
+    def run(col: pd.Series) -> pd.Series:
+        return col.map(lambda ts: [stemmer(t) if len(t) > 3 else t for t in ts] if ts is not None else [])
+    return F.pandas_udf(run, "array<string>")(to_col(tokens))
+
+
+def _rouge_tokens(c, stemmer):
+    t = rouge_tokens(c)
+    return stem_tokens(t, stemmer) if stemmer is not None else t
+
+
+def rouge_n(df: DataFrame, id_cols: list[str], pred: str, ref: str, orders=(1, 2), stemmer=None) -> DataFrame:
+    """X11: ROUGE-N precision / recall / F per pair and order (stemming optional)."""
+    o = _overlap(df, id_cols, _rouge_tokens(pred, stemmer), _rouge_tokens(ref, stemmer), orders)
     tp = F.greatest(F.col("len_pred") - F.col("n") + 1, F.lit(0))
     tr = F.greatest(F.col("len_ref") - F.col("n") + 1, F.lit(0))
     p = F.col("match") / F.greatest(tp, F.lit(1))
@@ -116,10 +129,10 @@ def _rouge_l_batch(pred: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def rouge_l(df: DataFrame, id_cols: list[str], pred: str, ref: str) -> DataFrame:
+def rouge_l(df: DataFrame, id_cols: list[str], pred: str, ref: str, stemmer=None) -> DataFrame:
     """ROUGE-L F per pair (LCS on rouge tokens)."""
     f = F.pandas_udf(_rouge_l_batch, "double")
-    return df.select(*id_cols, f(rouge_tokens(pred), rouge_tokens(ref)).alias("fmeasure"))
+    return df.select(*id_cols, f(_rouge_tokens(pred, stemmer), _rouge_tokens(ref, stemmer)).alias("fmeasure"))
 
 
 def bleu(df: DataFrame, id_cols: list[str], pred: str, ref: str, max_n: int = 4, epsilon: float = 0.1) -> DataFrame:

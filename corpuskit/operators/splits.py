@@ -146,6 +146,22 @@ def _local_index(df: DataFrame, id_col: str, task: str | None, buckets: int = 10
     return res.drop("_task") if task == "_task" else res
 
 
+def ordered_index(df: DataFrame, order_cols: list[str], out: str = "idx", partitions: int | None = None) -> DataFrame:
+    """0-based position of each row in the order of ``order_cols`` (any types):
+    range-partition by the order, count rows per range partition, prefix-sum
+    the (few) partition counts, then number rows inside each partition.  A
+    distributed ``zipWithIndex`` — no single-partition window."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    counts = r.groupBy("_pid").agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return (r.join(F.broadcast(starts), "_pid")
+            .withColumn(out, (F.col("_start") + F.row_number().over(
+                Window.partitionBy("_pid").orderBy(*order_cols)) - 1).cast("bigint"))
+            .drop("_pid", "_start"))
+
+
 def global_index(df: DataFrame, id_col: str = "doc_id", task: str = "task_name",
                  task_order: list[str] | None = None) -> DataFrame:
     """``global_idx = offset(task) + local_idx`` (rows of a task by id)."""

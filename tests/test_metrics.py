@@ -61,3 +61,17 @@ def test_softmax_golden(spark):
     p = df.select(softmax("l").alias("p")).collect()[0].p
     assert p == pytest.approx([0.090031, 0.244728, 0.665241], abs=1e-6)
     assert sum(p) == pytest.approx(1.0)
+
+
+def _strip_s(t):
+    return t[:-1] if t.endswith("s") else t
+
+
+def test_stemmer_hook(spark):
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    df = spark.createDataFrame([(1, 0, "the cats sat", "the cat sat")], "conv_id long, turn long, pred string, ref string")
+    plain = {x.n: x.fmeasure for x in M.rouge_n(df, ["conv_id", "turn"], "pred", "ref", (1,)).collect()}
+    stem = {x.n: x.fmeasure for x in M.rouge_n(df, ["conv_id", "turn"], "pred", "ref", (1,), stemmer=_strip_s).collect()}
+    assert plain[1] == pytest.approx(2 / 3) and stem[1] == pytest.approx(1.0)
