@@ -55,7 +55,7 @@ def words(c) -> Column:
 def word_count(c) -> Column:
     """``len(text.split())``; 0 for blank or null text."""
     return let(strip_ws(F.coalesce(to_col(c), F.lit(""))),
-               lambda s: F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{WS}+"))))
+               lambda s: F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{WS}+"))).cast("bigint"))
 
 
 def keep_long_sentences(sentences, min_words: int = 5) -> Column:
@@ -74,7 +74,7 @@ def rfind(c, needle: str) -> Column:
     """0-based index of the last occurrence of ``needle``, or -1."""
     c = to_col(c)
     return let(F.locate(needle[::-1], F.reverse(c)), lambda pos: F.when(pos == 0, F.lit(-1)).otherwise(
-        F.length(c) - pos + 1 - F.lit(len(needle))))
+        F.length(c) - pos + 1 - F.lit(len(needle))).cast("bigint"))
 
 
 def safe_text(c) -> Column:

@@ -96,7 +96,7 @@ def q_std_union(spark, d):
 
 
 @register("standardize_corpora", with_std() +
-          "SELECT task_name, split, count(*) AS n_rows, sum(input_label) AS label_sum FROM std GROUP BY ALL")
+          "SELECT task_name, split, count(*) AS n_rows, sum(input_label)::BIGINT AS label_sum FROM std GROUP BY ALL")
 def q_standardize_corpora(spark, d):
     """C1 end to end: standardized union, summarised per task and split."""
     return std(spark, d).groupBy("task_name", "split").agg(

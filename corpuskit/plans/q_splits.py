@@ -112,7 +112,7 @@ def q_batch_order(spark, d):
 @register("batch_counts", with_std() +
           f"SELECT task_name, count(*) AS n_rows, ceil(count(*) / {B})::BIGINT AS n_batches FROM std "
           "WHERE split = 'train' GROUP BY task_name UNION ALL "
-          f"SELECT NULL, sum(n), sum(nb)::BIGINT FROM (SELECT count(*) n, ceil(count(*) / {B})::BIGINT nb FROM std "
+          f"SELECT NULL, sum(n)::BIGINT, sum(nb)::BIGINT FROM (SELECT count(*) n, ceil(count(*) / {B})::BIGINT nb FROM std "
           "WHERE split = 'train' GROUP BY task_name)")
 def q_batch_counts(spark, d):
     return S.batch_counts(std(spark, d, splits=["train"]), B)

@@ -29,7 +29,7 @@ def q_clean_text(spark, d):
           f"(SELECT doc_id, {D.split_sentences(D.clean_text('text'))} AS a FROM documents)")
 def q_sentence_split(spark, d):
     a = X.split_sentences(X.clean_text("text"))
-    return _docs(spark, d).select("doc_id", F.size(a).alias("n_sentences"),
+    return _docs(spark, d).select("doc_id", F.size(a).cast("bigint").alias("n_sentences"),
                                   F.aggregate(F.transform(a, F.length), F.lit(0).cast("bigint"),
                                               lambda acc, x: acc + x).alias("n_chars"))
 
@@ -38,7 +38,7 @@ def q_sentence_split(spark, d):
           "AS n_kept FROM documents")
 def q_sentence_counts(spark, d):
     return _docs(spark, d).select(
-        "doc_id", F.size(X.keep_long_sentences(X.split_sentences(X.clean_text("text")))).alias("n_kept"))
+        "doc_id", F.size(X.keep_long_sentences(X.split_sentences(X.clean_text("text")))).cast("bigint").alias("n_kept"))
 
 
 @register("sentences", "SELECT doc_id, (i - 1)::INTEGER AS idx, a[i] AS sentence FROM ("
@@ -69,8 +69,8 @@ def q_rfind(spark, d):
 def q_line_helpers(spark, d):
     pts = fx.v_points(spark, d)
     lines = F.split(F.replace(F.col("summary"), F.lit("<n>"), F.lit("\n")), "\n")
-    return pts.select("doc_id", F.size(lines).alias("n_lines"),
-                      F.size(F.filter(lines, X.starts_with_point)).alias("n_point_lines"),
+    return pts.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"),
+                      F.size(F.filter(lines, X.starts_with_point)).cast("bigint").alias("n_point_lines"),
                       F.array_join(F.transform(lines, lambda x: F.lower(X.strip_ws(x))), "|").alias("lowered"))
 
 
@@ -83,7 +83,8 @@ def q_safe_text(spark, d):
 @register("model_prefix", "SELECT doc_id, 'summarize: ' || text AS t5_input, length(text) AS pegasus_len FROM documents")
 def q_model_prefix(spark, d):
     return _docs(spark, d).select("doc_id", X.model_prefix("text", "t5-small").alias("t5_input"),
-                                  F.length(X.model_prefix("text", "google/pegasus-large")).alias("pegasus_len"))
+                                  F.length(X.model_prefix("text", "google/pegasus-large")).cast("bigint")
+                                  .alias("pegasus_len"))
 
 
 @register("preview", f"SELECT doc_id, {D.preview('text', 500)} AS preview_500, {D.preview('text', 100)} AS preview_100 "
