@@ -66,6 +66,7 @@ def exact_quantiles(df: DataFrame, column: str, probs=QUANTILES) -> DataFrame:
                                          for p in probs])).alias("q"))
             .select("q.p", "q.h", F.floor("q.h").cast("bigint").alias("lo"), F.ceil("q.h").cast("bigint").alias("hi")))
     ranks = want.select(F.explode(F.array("lo", "hi")).alias("k")).distinct()
+    # at most 2 * len(probs) wanted ranks: a proven bound
     hit = (cum.join(F.broadcast(ranks), (F.col("k") >= F.col("start")) & (F.col("k") < F.col("start") + F.col("c")))
            .select("k", "v"))
     both = (want.join(hit.select(F.col("k").alias("lo"), F.col("v").alias("vlo")), "lo")

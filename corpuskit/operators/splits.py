@@ -16,6 +16,15 @@ from pyspark.sql import Window
 
 from corpuskit.plans.fixtures import md5_bucket
 
+# Per-task side tables (bounds, bucket starts, offsets) are broadcast only while
+# the number of tasks stays under this bound; beyond it they are joined normally.
+MAX_TASKS = 10_000
+
+
+def checked_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
+    from corpuskit.operators.labels import checked_broadcast as cb
+    return cb(small, max_rows)
+
 
 def hash_order(id_col: str, seed) -> Column:
     """A deterministic pseudo-random sort key: md5 of id ‖ seed."""
@@ -130,7 +139,7 @@ def _local_index(df: DataFrame, id_col: str, task: str | None, buckets: int = 10
     bounds = df.groupBy(task).agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"))
     span = (F.col("_hi") - F.col("_lo")).cast("double") + 1.0
     pos = (F.col(id_col) - F.col("_lo")).cast("double")
-    with_b = (df.join(F.broadcast(bounds), task)
+    with_b = (df.join(checked_broadcast(bounds, MAX_TASKS), task)
               .withColumn("_b", F.least(F.floor(pos * buckets / span), F.lit(buckets - 1)).cast("int"))
               .drop("_lo", "_hi"))
     wcol = F.col(weight) if weight else F.lit(1)
@@ -140,7 +149,7 @@ def _local_index(df: DataFrame, id_col: str, task: str | None, buckets: int = 10
     inner = Window.partitionBy(task, "_b").orderBy(id_col)
     local = (F.sum(wcol).over(inner.rowsBetween(Window.unboundedPreceding, -1)) if weight
              else F.row_number().over(inner) - 1)
-    res = (with_b.join(F.broadcast(starts), [task, "_b"])
+    res = (with_b.join(checked_broadcast(starts, MAX_TASKS * buckets), [task, "_b"])
            .withColumn(out, (F.col("_start") + F.coalesce(local, F.lit(0))).cast("bigint"))
            .drop("_b", "_start"))
     return res.drop("_task") if task == "_task" else res
@@ -156,6 +165,7 @@ def ordered_index(df: DataFrame, order_cols: list[str], out: str = "idx", partit
     counts = r.groupBy("_pid").agg(F.count("*").alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    # one row per range partition: bounded by ``n``
     return (r.join(F.broadcast(starts), "_pid")
             .withColumn(out, (F.col("_start") + F.row_number().over(
                 Window.partitionBy("_pid").orderBy(*order_cols)) - 1).cast("bigint"))
@@ -166,7 +176,7 @@ def global_index(df: DataFrame, id_col: str = "doc_id", task: str = "task_name",
                  task_order: list[str] | None = None) -> DataFrame:
     """``global_idx = offset(task) + local_idx`` (rows of a task by id)."""
     offs = task_offsets(df, task, task_order).select(task, "offset")
-    return (_local_index(df, id_col, task).join(F.broadcast(offs), task)
+    return (_local_index(df, id_col, task).join(checked_broadcast(offs, MAX_TASKS), task)
             .withColumn("global_idx", F.col("offset") + F.col("local_idx")).drop("offset"))
 
 
