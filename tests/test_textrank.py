@@ -56,3 +56,28 @@ def test_convergence_mode(spark):
     docs = fx.documents(spark, SF)
     r = TR.textrank_scores(docs).collect()
     assert all(x.converged for x in r)
+
+
+def test_batch_boundaries_and_partitions_do_not_change_results(spark):
+    """Documents straddling Arrow batches (carry-over) and other partition
+    counts must give the same summaries."""
+    docs = fx.documents(spark, SF)
+    base = {r.doc_id: r.summary for r in TR.textrank_summarize(docs, stop_words=None, max_iter=20,
+                                                               tol=None).collect()}
+    old_b = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    old_p = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        small = {r.doc_id: r.summary for r in TR.textrank_summarize(docs.repartition(5), stop_words=None,
+                                                                    max_iter=20, tol=None).collect()}
+        s1 = {(r.doc_id, r.idx): r.rank for r in TR.textrank_scores(docs, stop_words=None, max_iter=20,
+                                                                     tol=None).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old_b)
+        spark.conf.set("spark.sql.shuffle.partitions", old_p)
+    assert small == base
+    s2 = {(r.doc_id, r.idx): r.rank for r in TR.textrank_scores(docs, stop_words=None, max_iter=20,
+                                                                 tol=None).collect()}
+    assert s1.keys() == s2.keys()
+    assert all(abs(s1[k] - s2[k]) < 1e-12 for k in s1)
