@@ -81,6 +81,12 @@ def _overlap(df: DataFrame, id_cols, pred_tokens: Column, ref_tokens: Column, or
 def stem_tokens(tokens, stemmer) -> Column:
     """X13 hook: apply a caller-supplied stemmer (``str -> str``) to tokens longer
     than 3 characters, as the ROUGE tokenizer does; Arrow-batched pandas UDF."""
+    from corpuskit.session import ship_package
+    from pyspark.sql import SparkSession
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
+
     def run(col: pd.Series) -> pd.Series:
         return col.map(lambda ts: [stemmer(t) if len(t) > 3 else t for t in ts] if ts is not None else [])
     return F.pandas_udf(run, "array<string>")(to_col(tokens))
@@ -131,6 +137,8 @@ def _rouge_l_batch(pred: pd.Series, ref: pd.Series) -> pd.Series:
 
 def rouge_l(df: DataFrame, id_cols: list[str], pred: str, ref: str, stemmer=None) -> DataFrame:
     """ROUGE-L F per pair (LCS on rouge tokens)."""
+    from corpuskit.session import ship_package
+    ship_package(df.sparkSession)
     f = F.pandas_udf(_rouge_l_batch, "double")
     return df.select(*id_cols, f(_rouge_tokens(pred, stemmer), _rouge_tokens(ref, stemmer)).alias("fmeasure"))
 

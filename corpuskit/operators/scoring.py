@@ -110,6 +110,8 @@ def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[p
                 out["error"] = None
             yield out
 
+    from corpuskit.session import ship_package
+    ship_package(df.sparkSession)
     src = df.select(*dict.fromkeys(keep + [input_col]))
     if batch_rows:
         src.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))

@@ -219,6 +219,8 @@ def _by_document(rows: DataFrame, fn, schema: str) -> DataFrame:
     """One hash shuffle on doc_id, rows sorted by (doc_id, idx) inside each
     partition, then the per-document function over Arrow batches — no per-group
     Python call overhead."""
+    from corpuskit.session import ship_package
+    ship_package(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "doc_id").sortWithinPartitions("doc_id", "idx").mapInPandas(fn, schema)
 

@@ -38,6 +38,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -70,3 +71,31 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     os.makedirs(base, exist_ok=True)
     return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+
+
+_SHIPPED: dict = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpuskit`` importable in the Python workers of this session.
+
+    Operators that run Python inside tasks (``mapInPandas`` / pandas UDFs)
+    reference library functions; the package is zipped once and registered with
+    ``addPyFile`` so every executor (or local worker) puts it on its path, no
+    matter where the driver was started from.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if _SHIPPED.get(key):
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="corpuskit-pkg-"), "corpuskit.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED[key] = True
