@@ -19,6 +19,8 @@ from corpuskit.plans.fixtures import md5_bucket
 # Per-task side tables (bounds, bucket starts, offsets) are broadcast only while
 # the number of tasks stays under this bound; beyond it they are joined normally.
 MAX_TASKS = 10_000
+# (task, bucket) start tables up to this many rows are broadcast.
+MAX_BUCKET_ROWS = 5_000_000
 
 
 def checked_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
@@ -91,8 +93,9 @@ def cap_rows(df: DataFrame, caps: dict[str, int], id_col: str, split_col: str =
     """L2: keep the first ``caps[split]`` rows of each split by id.
 
     Two-level top-k so no split becomes one window group: rows are ranked inside
-    (split, hash bucket) groups, only each bucket's first ``cap`` rows survive, and
-    the final rank runs on at most ``cap * salt_buckets`` rows per split.
+    (split, hash bucket) groups, only each bucket's first ``cap`` rows survive
+    (Spark plans the ``row_number() <= cap`` filter as a map-side group limit),
+    and the final rank runs on at most ``cap * salt_buckets`` rows per split.
     """
     cap = F.try_element_at(F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))]),
                            F.col(split_col))
@@ -122,26 +125,30 @@ def task_offsets(df: DataFrame, task: str = "task_name", task_order: list[str] |
     return c.withColumn("offset", F.coalesce(F.sum("n_rows").over(w), F.lit(0)).cast("bigint"))
 
 
-def _local_index(df: DataFrame, id_col: str, task: str | None, buckets: int = 1024,
+def _local_index(df: DataFrame, id_col: str, task: str | None, rows_per_bucket: int = 1_000_000,
                  out: str = "local_idx", weight: str | None = None) -> DataFrame:
-    """0-based rank of each row inside its task by ``id_col`` (ties broken by the
-    row order of ``id_col`` only — keys must be unique per task).
+    """0-based rank of each row inside its task by ``id_col`` (keys unique per
+    task; with ties the ranks are still a permutation).
 
     No window ever spans a whole task: rows are range-bucketed inside the task by
-    their key, bucket sizes are prefix-summed on the small (task, bucket) table,
-    and the final rank is local to one bucket.  The bucket function is monotone in
-    the key, which is all the rank needs.  With ``weight`` the result is the
-    exclusive prefix sum of the weights instead of the row rank.
+    their key — ``ceil(rows / rows_per_bucket)`` buckets per task, so a bucket
+    stays around ``rows_per_bucket`` rows however large the task — bucket sizes
+    are prefix-summed on the small (task, bucket) table, and the final rank is
+    local to one bucket.  The bucket function is monotone in the key, which is
+    all the rank needs.  With ``weight`` the result is the exclusive prefix sum
+    of the weights instead of the row rank.
     """
     if task is None:
         df = df.withColumn("_task", F.lit(0))
         task = "_task"
-    bounds = df.groupBy(task).agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"))
+    bounds = df.groupBy(task).agg(
+        F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"),
+        F.greatest(F.ceil(F.count("*") / F.lit(rows_per_bucket)), F.lit(1)).cast("double").alias("_nb"))
     span = (F.col("_hi") - F.col("_lo")).cast("double") + 1.0
     pos = (F.col(id_col) - F.col("_lo")).cast("double")
     with_b = (df.join(checked_broadcast(bounds, MAX_TASKS), task)
-              .withColumn("_b", F.least(F.floor(pos * buckets / span), F.lit(buckets - 1)).cast("int"))
-              .drop("_lo", "_hi"))
+              .withColumn("_b", F.least(F.floor(pos * F.col("_nb") / span), F.col("_nb") - 1).cast("bigint"))
+              .drop("_lo", "_hi", "_nb"))
     wcol = F.col(weight) if weight else F.lit(1)
     sizes = with_b.groupBy(task, "_b").agg(F.sum(wcol).alias("_n"))
     w = Window.partitionBy(task).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,7 +156,7 @@ def _local_index(df: DataFrame, id_col: str, task: str | None, buckets: int = 10
     inner = Window.partitionBy(task, "_b").orderBy(id_col)
     local = (F.sum(wcol).over(inner.rowsBetween(Window.unboundedPreceding, -1)) if weight
              else F.row_number().over(inner) - 1)
-    res = (with_b.join(checked_broadcast(starts, MAX_TASKS * buckets), [task, "_b"])
+    res = (with_b.join(checked_broadcast(starts, MAX_BUCKET_ROWS), [task, "_b"])
            .withColumn(out, (F.col("_start") + F.coalesce(local, F.lit(0))).cast("bigint"))
            .drop("_b", "_start"))
     return res.drop("_task") if task == "_task" else res

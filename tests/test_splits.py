@@ -54,3 +54,22 @@ def test_cap_rows(spark):
     tr = sorted(r.doc_id for r in c.where("split = 'train'").collect())
     assert tr == sorted(r.doc_id for r in d.where("split = 'train'").orderBy("doc_id").limit(10).collect())
     assert c.where("split <> 'train'").count() == d.where("split <> 'train'").count()
+
+
+def test_bucketed_rank_matches_row_number(spark):
+    from pyspark.sql import Window
+    s = std(spark, SF)
+    a = {(r.doc_id, r.task_name): r.local_idx
+         for r in S._local_index(s, "doc_id", "task_name", rows_per_bucket=7).collect()}
+    w = Window.partitionBy("task_name").orderBy("doc_id")
+    b = {(r.doc_id, r.task_name): r.rn for r in s.select("doc_id", "task_name",
+                                                          (F.row_number().over(w) - 1).alias("rn")).collect()}
+    assert a == b
+    h = s.groupBy("input_label").agg(F.count("*").alias("c"))
+    cum = {r.input_label: r.start for r in S._local_index(h, "input_label", None, rows_per_bucket=2,
+                                                           out="start", weight="c").collect()}
+    expect, acc = {}, 0
+    for r in sorted(h.collect(), key=lambda r: r.input_label):
+        expect[r.input_label] = acc
+        acc += r.c
+    assert cum == expect
