@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpuskit.functions.common import let, to_col
-from corpuskit.functions.text import (rfind, rstrip_ws, split_sentences_ws, starts_with_point,
+from corpuskit.functions.text import (lstrip_ws, rfind, rstrip_ws, split_sentences_ws, starts_with_point,
                                       strip_ws, word_count)
 
 # The line tag used by the summarizer output, cut-off fractions and
@@ -27,31 +27,35 @@ ELLIPSIS_SUFFIX = "..."
 
 def _is_point(line: Column) -> Column:
     # stripped first char is a digit and ". " occurs within the first 5 raw chars
-    return strip_ws(line).rlike(r"^\p{Nd}") & (F.locate(". ", F.substring(line, 1, 5)) > 0)
+    return F.substring(lstrip_ws(line), 1, 1).rlike(r"^\p{Nd}$") & (F.locate(". ", F.substring(line, 1, 5)) > 0)
 
 
 def renumber_points(lines) -> Column:
     """Drop blank lines; numbered lines are renumbered 1, 2, ... in order.
 
-    The number of a numbered line is its position in the list of numbered-line
-    indices, so no per-line prefix scan is needed."""
+    O(n log n) per text: numbered lines get their rank from their position in
+    the filtered array, then both kinds are merged back by original index with
+    one ``array_sort`` (no per-line prefix scan)."""
     def body(kept):
-        flags = F.transform(kept, lambda l: _is_point(l))
-
-        def with_flags(fl):
-            marks = F.filter(F.transform(fl, lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda x: x >= 0)
-
-            def with_marks(mk):
-                def rewrite(line, i):
-                    after = F.substring(line, F.locate(". ", line) + 2, 1 << 30)
-                    k = F.array_position(mk, i)
-                    return F.when(F.get(fl, i), F.concat(k.cast("string"), F.lit(". "), after)).otherwise(line)
-                return F.transform(kept, rewrite)
-            return let(marks, with_marks)
-        return let(flags, with_flags)
+        tagged = F.transform(kept, lambda l, i: F.struct(i.alias("i"), _is_point(l).alias("f"), l.alias("line")))
+
+        def on_tagged(tg):
+            nums = F.transform(F.filter(tg, lambda t: t["f"]), lambda t, j: F.struct(
+                t["i"].alias("i"), F.concat((j + 1).cast("string"), F.lit(". "),
+                                            F.substring(t["line"], F.locate(". ", t["line"]) + 2, 1 << 30)).alias("line")))
+            others = F.transform(F.filter(tg, lambda t: ~t["f"]),
+                                 lambda t: F.struct(t["i"].alias("i"), t["line"].alias("line")))
+            return F.transform(F.array_sort(F.concat(nums, others)), lambda t: t["line"])
+        return let(tagged, on_tagged)
     return let(F.filter(to_col(lines), lambda l: strip_ws(l) != ""), body)
 
 
+def _rfind_rev(text: Column, rev: Column, needle: str) -> Column:
+    """``rfind`` on a text whose reverse is already bound."""
+    pos = F.locate(needle[::-1], rev)
+    return F.when(pos == 0, F.lit(-1)).otherwise(F.length(text) - pos + 1 - F.lit(len(needle)))
+
+
 def _ends_open(text: Column) -> Column:
     return (text != "") & ~F.substring(rstrip_ws(text), -1, 1).isin(".", "?", "!")
 
@@ -63,20 +67,22 @@ def _last_terminator(text: Column) -> Column:
 def _complete(points: Column) -> Column:
     def body(pts):
         def on_text(text):
-            n = F.length(text)
-            last_point = F.coalesce(F.try_element_at(pts, F.lit(-1)), F.lit(""))
-            lp = _last_terminator(text)
-            lc = rfind(text, ",")
-            lconj = F.greatest(*[rfind(text, w) for w in CONJUNCTIONS])
-            cut = (F.when(lp > n * PERIOD_CUT, F.substring(text, 1, lp + 1))
-                   .when(lc > n * COMMA_CUT, F.concat(F.substring(text, 1, lc + 1), F.lit(COMMA_SUFFIX)))
-                   .when(lconj > n * CONJ_CUT, F.concat(F.substring(text, 1, lconj), F.lit(CONJ_SUFFIX)))
-                   .otherwise(F.concat(rstrip_ws(text), F.lit(ELLIPSIS_SUFFIX))))
-            short = F.when(F.size(pts) > 1, F.array_join(
-                F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0))), "\n")).otherwise(text)
-            return (F.when(~_ends_open(text), text)
-                    .when(word_count(last_point) < 3, short)
-                    .otherwise(cut))
+            def on_rev(rev):
+                n = F.length(text)
+                last_point = F.coalesce(F.try_element_at(pts, F.lit(-1)), F.lit(""))
+                lp = F.greatest(*[_rfind_rev(text, rev, c) for c in (".", "?", "!")])
+                lc = _rfind_rev(text, rev, ",")
+                lconj = F.greatest(*[_rfind_rev(text, rev, w) for w in CONJUNCTIONS])
+                cut = (F.when(lp > n * PERIOD_CUT, F.substring(text, 1, lp + 1))
+                       .when(lc > n * COMMA_CUT, F.concat(F.substring(text, 1, lc + 1), F.lit(COMMA_SUFFIX)))
+                       .when(lconj > n * CONJ_CUT, F.concat(F.substring(text, 1, lconj), F.lit(CONJ_SUFFIX)))
+                       .otherwise(F.concat(rstrip_ws(text), F.lit(ELLIPSIS_SUFFIX))))
+                short = F.when(F.size(pts) > 1, F.array_join(
+                    F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0))), "\n")).otherwise(text)
+                return (F.when(~_ends_open(text), text)
+                        .when(word_count(last_point) < 3, short)
+                        .otherwise(cut))
+            return let(F.reverse(text), on_rev)
         return let(F.array_join(pts, "\n"), on_text)
     return let(points, body)
 

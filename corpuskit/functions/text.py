@@ -14,6 +14,7 @@ from corpuskit.functions.common import let, to_col
 
 # The whitespace class, sentence terminators and marker text.
 WS = r"[ \t\n\r\f\x0B]"
+WS_CHARS = " \t\n\r\f\x0b"
 SENT_END = r"([.!?])"
 SENT_MARK = "\u0001"
 TRIMMED_SUFFIX = "... (trimmed)"
@@ -22,12 +23,17 @@ T5_PREFIX = "summarize: "
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: drop leading/trailing whitespace of any kind."""
-    return F.regexp_replace(to_col(c), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: drop leading/trailing whitespace of any kind
+    (a character-set trim, no regular expression)."""
+    return F.btrim(to_col(c), F.lit(WS_CHARS))
 
 
 def rstrip_ws(c) -> Column:
-    return F.regexp_replace(to_col(c), f"{WS}+$", "")
+    return F.rtrim(to_col(c), F.lit(WS_CHARS))
+
+
+def lstrip_ws(c) -> Column:
+    return F.ltrim(to_col(c), F.lit(WS_CHARS))
 
 
 def clean_text(c) -> Column:
@@ -97,7 +103,7 @@ def preview(c, n: int = 500) -> Column:
 
 def starts_with_point(c) -> Column:
     """The stripped line starts with ``1.`` .. ``9.``."""
-    return strip_ws(c).rlike(r"^[1-9]\.")
+    return F.substring(lstrip_ws(c), 1, 2).rlike(r"^[1-9]\.$")
 
 
 def mask_padding(c, pad: int = 0, ignore: int = -100) -> Column:
