@@ -39,3 +39,22 @@ def test_whole_text_export_and_isolation(spark):
 
 def test_literal_texts(spark):
     assert io.literal_texts(spark, ["a", "b"]).count() == 2
+
+
+def test_load_pairs_kinds(spark):
+    from corpuskit.operators import pairs as P
+    wl = spark.createDataFrame([(1, "Hard one", "Easy one", "train"), (2, "Hard two", None, "validation"),
+                                (3, "Hard three", "Easy three", "test")],
+                               "id long, Normal string, Simple string, split string")
+    out = P.load_pairs(wl, "wikilarge", "id")
+    assert sorted((r.id, r.complex, r.simple, r.split) for r in out.collect()) == [
+        (1, "Hard one", "Easy one", "train"), (3, "Hard three", "Easy three", "test")]
+    ms = spark.createDataFrame([(i, f"orig {i}", f"simple {i}") for i in range(20)],
+                               "id long, original string, simple string")
+    out = P.load_pairs(ms, "multisim", "id")        # no splits -> seeded 80/10/10
+    assert out.count() == 20 and set(r.split for r in out.collect()) <= {"train", "validation", "test"}
+    try:
+        P.require_pair_columns(ms, ("complex", "simple"))
+        raise AssertionError("expected an error")
+    except ValueError:
+        pass
