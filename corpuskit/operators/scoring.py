@@ -72,10 +72,12 @@ def _model(key, factory):
 def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[pd.Series], pd.Series]]],
                      input_col: str, output_col: str = "output", output_type: str = "string",
                      sentinel=None, keep: Sequence[str] | None = None,
-                     batch_rows: int | None = None) -> DataFrame:
+                     batch_rows: int | None = None, fallback_prefix: str | None = None) -> DataFrame:
     """C3 + C4: run a caller-supplied batch scorer over the column, trying the next
     factory when one fails; the result carries the back-end that answered and the
-    error text of a total failure instead of raising (X18).
+    error text of a total failure instead of raising (X18) — the primary
+    back-end's error, as the reference reports it.  ``fallback_prefix`` (e.g.
+    ``FALLBACK_``) marks string outputs produced by a fall-back back-end.
 
     Each factory returns ``fn(pd.Series) -> pd.Series``.  Rows stay where they are
     (``mapInPandas``): no shuffle; Arrow batch size via ``batch_rows``.
@@ -97,9 +99,11 @@ def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[p
                 try:
                     result = _model(k, f)(pdf[input_col])
                     backend = "primary" if i == 0 else f"fallback_{i}"
+                    if i > 0 and fallback_prefix is not None:
+                        result = [None if v is None else f"{fallback_prefix}{v}" for v in result]
                     break
                 except Exception as e:  # noqa: BLE001 — the failure becomes a value
-                    error = f"{type(e).__name__}: {e}"
+                    error = error or f"{type(e).__name__}: {e}"
             if result is None:
                 out[output_col] = sentinel
                 out["backend"] = None

@@ -128,6 +128,13 @@ def _keyword_model():
     return score
 
 
+def _label_model():
+    # a deterministic stand-in classifier: LABEL_1 for texts over 100 words
+    def score(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: "LABEL_1" if len((t or "").split()) > 100 else "LABEL_0")
+    return score
+
+
 @register("score_with_model", None)
 def q_score_with_model(spark, d):
     docs = fx.documents(spark, d)

@@ -55,3 +55,15 @@ def test_quantiles_match_numpy(spark):
     q = {r.p: r.q for r in PR.exact_quantiles(df, "x").collect()}
     for p in (0.25, 0.5, 0.75):
         assert abs(q[p] - float(np.quantile(vals, p))) < 1e-9
+
+
+def test_fallback_prefix_for_labels(spark):
+    from corpuskit.plans.q_scoring import _broken_model, _label_model
+
+    df = spark.createDataFrame([(1, "Ab cd")], "id long, t string")
+    r = SC.score_with_model(df, [_broken_model, _label_model], "t", "label", keep=["id"],
+                            fallback_prefix=SC.FALLBACK_PREFIX).collect()[0]
+    assert (r.label, r.backend, r.error) == ("FALLBACK_LABEL_0", "fallback_1", None)
+    r = SC.score_with_model(df, [_label_model], "t", "label", keep=["id"],
+                            fallback_prefix=SC.FALLBACK_PREFIX).collect()[0]
+    assert (r.label, r.backend) == ("LABEL_0", "primary")
