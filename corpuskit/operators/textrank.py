@@ -68,14 +68,19 @@ def doc_frequency(tc: DataFrame) -> DataFrame:
 def tfidf(sents: DataFrame, stop_words: list[str] | None = None, n: DataFrame | None = None) -> DataFrame:
     """Smooth-idf TF-IDF per sentence, L2-normalised:
     ``w = tf·(ln((1+n)/(1+df))+1) / ‖·‖``.  Returns ``(doc_id, idx, term, w)``."""
-    tc = term_counts(sents, stop_words)
-    n = n if n is not None else sentence_counts(sents)
-    x = (tc.join(doc_frequency(tc), ["doc_id", "term"]).join(n, "doc_id")
-         .withColumn("x", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)))
+    x = tfidf_raw(sents, stop_words, n)
     norms = sentence_norms(x)
     return x.join(norms, ["doc_id", "idx"]).select("doc_id", "idx", "term", (F.col("x") / F.col("norm")).alias("w"))
 
 
+def tfidf_raw(sents: DataFrame, stop_words: list[str] | None = None, n: DataFrame | None = None) -> DataFrame:
+    """Un-normalised TF-IDF ``x = tf·(ln((1+n)/(1+df))+1)`` per (doc, sentence, term)."""
+    tc = term_counts(sents, stop_words)
+    n = n if n is not None else sentence_counts(sents)
+    return (tc.join(doc_frequency(tc), ["doc_id", "term"]).join(n, "doc_id")
+            .withColumn("x", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)))
+
+
 def sentence_norms(x: DataFrame) -> DataFrame:
     """L2 norm of each sentence's raw TF-IDF vector."""
     return x.groupBy("doc_id", "idx").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
@@ -297,11 +302,13 @@ def _pagerank_joins(w: DataFrame, sent_n: DataFrame, alpha: float, max_iter: int
     return r.select("doc_id", F.col("idx").cast("int"), "rank", F.col("done").alias("converged"))
 
 
-def _route(df: DataFrame, text: str, max_group_rows: int):
+def _route(df: DataFrame, text: str, max_group_rows: int, length_col: str | None = None):
     """Split documents into (small, big) by their token count — a per-row,
     narrow predicate.  A cheap early-stopping scan (a token needs >= 3 chars of
-    text) first checks whether any document can exceed the bound at all."""
-    may_be_big = df.where((F.length(text) + 1) / 3 > max_group_rows).limit(1).count() > 0
+    text) first checks whether any document can exceed the bound at all; with
+    ``length_col`` (a stored character count) the scan reads only that column."""
+    size = F.col(length_col) if length_col else F.length(text)
+    may_be_big = df.where((size + 1) / 3 > max_group_rows).limit(1).count() > 0
     if not may_be_big:
         return df, None
     ntok = F.size(lower_tokens(text))
@@ -310,7 +317,8 @@ def _route(df: DataFrame, text: str, max_group_rows: int):
 
 def textrank_scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_sentence_length: int = 5,
                     stop_words: list[str] | str | None = "english", alpha: float = ALPHA,
-                    max_iter: int = MAX_ITER, tol: float | None = TOL, max_group_rows: int = 200_000) -> DataFrame:
+                    max_iter: int = MAX_ITER, tol: float | None = TOL, max_group_rows: int = 200_000,
+                    length_col: str | None = None) -> DataFrame:
     """C2 scores: ``(doc_id, idx, rank, converged)`` for every kept sentence.
 
     ``tol=None`` runs exactly ``max_iter`` rounds (the fixed recipe used by the
@@ -319,8 +327,9 @@ def textrank_scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
     """
     if isinstance(stop_words, str):
         stop_words = english_stop_words(df.sparkSession)
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
-    small, big = _route(docs, "_text", max_group_rows)
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"),
+                     *([F.col(length_col).alias("_len")] if length_col else []))
+    small, big = _route(docs, "_text", max_group_rows, "_len" if length_col else None)
     out = _by_document(_grouped_inputs(small, min_sentence_length, stop_words, False),
                        _textrank_partitions(alpha, max_iter, tol, None), RANK_SCHEMA)
     if big is None:
@@ -353,7 +362,7 @@ def top_k(ranks: DataFrame, k: int, salt: int = 16) -> DataFrame:
 def textrank_summarize(df: DataFrame, id_col: str = "doc_id", text: str = "text", num_sentences: int = 5,
                        min_sentence_length: int = 5, stop_words: list[str] | str | None = "english",
                        alpha: float = ALPHA, max_iter: int = MAX_ITER, tol: float | None = TOL,
-                       max_group_rows: int = 200_000) -> DataFrame:
+                       max_group_rows: int = 200_000, length_col: str | None = None) -> DataFrame:
     """``(doc_id, summary)`` — TextRank top-k in document order, with the
     reference's edge rules: no sentence -> first 500 chars + marker; fewer than k
     -> all sentences; non-convergence / empty vocabulary -> document order.
@@ -363,8 +372,9 @@ def textrank_summarize(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     summary; larger ones use the distributed rounds and a two-level top-k."""
     if isinstance(stop_words, str):
         stop_words = english_stop_words(df.sparkSession)
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
-    small, big = _route(docs, "_text", max_group_rows)
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"),
+                     *([F.col(length_col).alias("_len")] if length_col else []))
+    small, big = _route(docs, "_text", max_group_rows, "_len" if length_col else None)
     out = _by_document(_grouped_inputs(small, min_sentence_length, stop_words, True),
                        _textrank_partitions(alpha, max_iter, tol, num_sentences), "doc_id long, summary string")
     if big is None:

@@ -56,8 +56,9 @@ def _with(ctes) -> str:
 
 
 def _oracle_scores(spark, d):
-    return TR.textrank_scores(fx.documents(spark, d), "doc_id", "text", 5, stop_words=None,
-                              max_iter=ROUNDS, tol=None)
+    docs = fx.table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    return TR.textrank_scores(docs, "doc_id", "text", 5, stop_words=None, max_iter=ROUNDS, tol=None,
+                              length_col="n_chars")
 
 
 @register("textrank_scores", _with(_BASE + _RANK) +
@@ -77,8 +78,9 @@ _SUMMARY_SQL = _with(_BASE + _RANK + [
 
 @register("textrank_summary", _SUMMARY_SQL)
 def q_textrank_summary(spark, d):
-    return TR.textrank_summarize(fx.documents(spark, d), "doc_id", "text", K, 5, stop_words=None,
-                                 max_iter=ROUNDS, tol=None)
+    docs = fx.table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    return TR.textrank_summarize(docs, "doc_id", "text", K, 5, stop_words=None, max_iter=ROUNDS, tol=None,
+                                 length_col="n_chars")
 
 
 def _w(spark, d):
@@ -100,10 +102,7 @@ def q_doc_frequency(spark, d):
 @register("sentence_norms", _with(_BASE[:6]) + "SELECT doc_id, idx, round(norm, 6) AS norm FROM nr")
 def q_sentence_norms(spark, d):
     s = TR.sentences(fx.documents(spark, d), "doc_id", "text")
-    tc = TR.term_counts(s)
-    x = (tc.join(TR.doc_frequency(tc), ["doc_id", "term"]).join(TR.sentence_counts(s), "doc_id")
-         .withColumn("x", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)))
-    return TR.sentence_norms(x).select("doc_id", "idx", F.round("norm", 6).alias("norm"))
+    return TR.sentence_norms(TR.tfidf_raw(s)).select("doc_id", "idx", F.round("norm", 6).alias("norm"))
 
 
 @register("sentence_cosine", _with(_BASE + _RANK[:2] + [
