@@ -80,7 +80,7 @@ def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[p
     ``FALLBACK_``) marks string outputs produced by a fall-back back-end.
 
     Each factory returns ``fn(pd.Series) -> pd.Series``.  Rows stay where they are
-    (``mapInPandas``): no shuffle; Arrow batch size via ``batch_rows``.
+    (``mapInPandas``): no shuffle; the model sees at most ``batch_rows`` rows per call.
     """
     keep = list(keep if keep is not None else df.columns)
     schema = T.StructType(
@@ -91,8 +91,18 @@ def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[p
     keys = [f"{id(f)}:{getattr(f, '__qualname__', f)}" for f in factories]
     facts = list(factories)
 
-    def run(batches):
+    def chunks(batches):
+        # model calls see at most ``batch_rows`` rows (the scorer's batch size),
+        # without changing the session's Arrow batch setting
         for pdf in batches:
+            if not batch_rows or len(pdf) <= batch_rows:
+                yield pdf
+            else:
+                for start in range(0, len(pdf), batch_rows):
+                    yield pdf.iloc[start:start + batch_rows]
+
+    def run(batches):
+        for pdf in chunks(batches):
             out = pdf[keep].copy()
             result, backend, error = None, None, None
             for i, (k, f) in enumerate(zip(keys, facts)):
@@ -117,8 +127,6 @@ def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[p
     from corpuskit.session import ship_package
     ship_package(df.sparkSession)
     src = df.select(*dict.fromkeys(keep + [input_col]))
-    if batch_rows:
-        src.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return src.mapInPandas(run, schema)
 
 

@@ -8,6 +8,7 @@ every fit is a distributed Spark ML job; only the (few) tasks are looped over.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -32,12 +33,18 @@ def train_multitask(df: DataFrame, num_features: int = 4096, text: str = "input_
     """Shared encoder fitted on all tasks' training rows, one LR head per task.
     Returns the encoder and ``{task: LogisticRegressionModel}``."""
     enc = _encoder(text, num_features).fit(df)
-    feats = enc.transform(df).select(task, F.col(label).cast("double").alias("label"), "features")
-    tasks = [r[0] for r in df.select(task).distinct().limit(1000).collect()]
-    heads = {}
-    for t in sorted(tasks):
-        lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg)
-        heads[t] = lr.fit(feats.where(F.col(task) == t))
+    # the features feed one fit per task: keep them (memory, spilling to disk)
+    # instead of re-tokenising the corpus for every head
+    feats = enc.transform(df).select(task, F.col(label).cast("double").alias("label"), "features") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        tasks = [r[0] for r in feats.select(task).distinct().limit(1000).collect()]
+        heads = {}
+        for t in sorted(tasks):
+            lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg)
+            heads[t] = lr.fit(feats.where(F.col(task) == t))
+    finally:
+        feats.unpersist()
     return enc, heads
 
 
