@@ -73,3 +73,13 @@ def test_bucketed_rank_matches_row_number(spark):
         expect[r.input_label] = acc
         acc += r.c
     assert cum == expect
+
+
+def test_hash_split_ratios(spark):
+    from corpuskit.plans.fixtures import md5_bucket
+    d = fx.documents(spark, SF)
+    out = S.hash_split(d, "doc_id", {"train": 0.8, "validation": 0.1, "test": 0.1}, seed=7)
+    got = out.select("doc_id", "split", md5_bucket("doc_id", 7).alias("b")).collect()
+    for r in got:
+        want = "train" if r.b < 80 else ("validation" if r.b < 90 else "test")
+        assert r.split == want
