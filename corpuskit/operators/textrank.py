@@ -151,34 +151,42 @@ def _rank_one(n, idx, is_tok, terms, alpha, max_iter, tol, need_rank):
 
 def _textrank_block(block: pd.DataFrame, alpha, max_iter, tol, k) -> pd.DataFrame:
     """Rank every document of a block of rows sorted by (doc_id, idx): one marker
-    row (idx -1: n and the fallback text), token rows, sentence rows."""
+    row (idx -1: n and the fallback text), then one row per sentence carrying its
+    token array (and its text in summary mode)."""
     doc = block["doc_id"].to_numpy()
     idx = block["idx"].to_numpy()
-    terms = block["term"].to_numpy(dtype=object)
-    is_tok_all = ~pd.isna(block["term"]).to_numpy()
+    toks = block["terms"].to_numpy(dtype=object)
     texts = block["text"].to_numpy(dtype=object)
     ns = block["n"].to_numpy()
     bounds = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]))
     out_doc, out_a, out_b, out_c = [], [], [], []
     for a, b in zip(bounds[:-1], bounds[1:]):
-        d, ix, tk = doc[a], idx[a:b], is_tok_all[a:b]
+        d = doc[a]
         n = int(ns[a])                       # the marker sorts first (idx -1)
+        if n == 0:
+            if k is not None:
+                out_doc.append(d)
+                out_a.append(texts[a])
+            continue
+        need = k is None or n >= k
+        r, conv = None, True
+        if need:
+            parts = toks[a + 1:b]
+            lens = np.fromiter((len(t) for t in parts), dtype=np.int64, count=len(parts))
+            if lens.sum() > 0:
+                tidx = np.repeat(idx[a + 1:b], lens)
+                terms = np.concatenate([t for t in parts if len(t)])
+                sidx, scode, w, t = _doc_tfidf(n, tidx, terms)
+                r, conv = _pagerank_numpy(n, sidx, scode, w, t, alpha, max_iter, tol)
+            else:
+                r, conv = np.full(n, 1.0 / n), False   # empty vocabulary: document order
         if k is None:
-            if n == 0:
-                continue
-            r, conv = _rank_one(n, ix, tk, terms[a:b], alpha, max_iter, tol, True)
             out_doc.append(np.full(n, d))
             out_a.append(np.arange(n, dtype=np.int32))
             out_b.append(r)
             out_c.append(np.full(n, conv))
             continue
-        if n == 0:
-            out_doc.append(d)
-            out_a.append(texts[a])
-            continue
-        r, conv = _rank_one(n, ix, tk, terms[a:b], alpha, max_iter, tol, n >= k)
-        sent_mask = (ix >= 0) & ~tk
-        sent_text = texts[a:b][sent_mask]    # already in idx order
+        sent_text = texts[a + 1:b]           # idx 0..n-1 in order
         if n < k:
             chosen = range(n)
         elif not conv:
@@ -231,33 +239,29 @@ def _by_document(rows: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def _grouped_inputs(docs: DataFrame, min_words: int, stop_words, with_text: bool) -> DataFrame:
-    """The rows shipped to the per-document function: one marker row, the
-    sentence rows (summary mode) and the token rows of each document, produced by
-    a single explode of one per-row array (the text is split once); the only
-    shuffle is the group-by on doc_id that follows."""
-    row = "struct<idx:int,term:string,text:string,n:int>"
+    """The rows shipped to the per-document function: one marker row per
+    document (n and the fallback text) and one row per kept sentence carrying
+    its token array (and its text in summary mode), produced by a single explode
+    of one per-row array (the text is split once); the only shuffle is the
+    clustering on doc_id that follows."""
+    row = "struct<idx:int,terms:array<string>,text:string,n:int>"
 
     def on_clean(cleaned):
         def on_sents(ss):
             n = F.size(ss)
             fallback = F.concat(F.substring(cleaned, 1, TRIM_CHARS), F.lit(TRIM_SUFFIX))
-            marker = F.array(F.struct(F.lit(-1).alias("idx"), F.lit(None).cast("string").alias("term"),
+            marker = F.array(F.struct(F.lit(-1).alias("idx"), F.lit(None).cast("array<string>").alias("terms"),
                                       (F.when(n == 0, fallback) if with_text else F.lit(None)).cast("string")
                                       .alias("text"), n.cast("int").alias("n")))
 
-            def tok_rows(sentence, i):
+            def sentence_row(sentence, i):
                 toks = lower_tokens(sentence)
                 if stop_words:
                     toks = F.filter(toks, lambda t: ~t.isin(*stop_words))
-                return F.transform(toks, lambda t: F.struct(i.cast("int").alias("idx"), t.alias("term"),
-                                                            F.lit(None).cast("string").alias("text"),
-                                                            F.lit(None).cast("int").alias("n")))
-            parts = [marker.cast(f"array<{row}>"), F.flatten(F.transform(ss, tok_rows)).cast(f"array<{row}>")]
-            if with_text:
-                parts.append(F.transform(ss, lambda sentence, i: F.struct(
-                    i.cast("int").alias("idx"), F.lit(None).cast("string").alias("term"), sentence.alias("text"),
-                    F.lit(None).cast("int").alias("n"))).cast(f"array<{row}>"))
-            return F.concat(*parts)
+                return F.struct(i.cast("int").alias("idx"), toks.alias("terms"),
+                                (sentence if with_text else F.lit(None)).cast("string").alias("text"),
+                                F.lit(None).cast("int").alias("n"))
+            return F.concat(marker.cast(f"array<{row}>"), F.transform(ss, sentence_row).cast(f"array<{row}>"))
         return let(keep_long_clean_sentences(split_sentences(cleaned), min_words), on_sents)
 
     return docs.select("doc_id", F.explode(let(clean_text("_text"), on_clean)).alias("r")).select("doc_id", "r.*")
