@@ -132,16 +132,16 @@ def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[p
 
 # -- default deterministic back-ends (native expressions) ------------------
 
-def lead_summary(text, k: int = 3, min_words: int = 0) -> Column:
+def lead_summary(text, k: int = 3, min_words: int = 0, is_clean: bool = False) -> Column:
     """Extractive lead summary: the first ``k`` sentences of the cleaned text,
     joined with ``<n>`` (the line tag the post-processor expects)."""
-    s = split_sentences(clean_text(text))
+    s = split_sentences(to_col(text) if is_clean else clean_text(text))
     if min_words:
         s = keep_long_sentences(s, min_words)
     return F.array_join(F.slice(s, 1, k), "<n>")
 
 
-def length_logits(text) -> Column:
+def length_logits(text, is_clean: bool = False) -> Column:
     """Default classifier back-end: two logits from the word-length profile
     (share of words up to 4 chars vs. longer words), scaled by 4."""
     def on_words(w):
@@ -149,7 +149,7 @@ def length_logits(text) -> Column:
         short = F.size(F.filter(w, lambda x: (F.length(x) > 0) & (F.length(x) <= 4)))
         long_ = F.size(F.filter(w, lambda x: F.length(x) > 4))
         return F.array((short * 4.0 / n).cast("double"), (long_ * 4.0 / n).cast("double"))
-    return let(F.split(clean_text(text), " "), on_words)
+    return let(F.split(to_col(text) if is_clean else clean_text(text), " "), on_words)
 
 
 def dictionary_simplify(df: DataFrame, id_col: str, text: str, terms: DataFrame,
@@ -194,9 +194,11 @@ def process_document(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     from corpuskit.plans.fixtures import PLAIN_TERMS
     terms = terms or dict(PLAIN_TERMS)
-    base = df.select(id_col, text).withColumn("_logits", length_logits(text))
+    # the cleaned text feeds both back-ends: computed once in its own projection
+    base = (df.select(id_col, clean_text(text).alias("_clean"))
+            .withColumn("_logits", length_logits("_clean", is_clean=True)))
     c = classify(base, "_logits", task, dim)
-    summary = post_process_summary(lead_summary(text, summary_sentences))
+    summary = post_process_summary(lead_summary("_clean", summary_sentences, is_clean=True))
     res = c.withColumn("summary", summary).withColumn(
         "simplified_summary", dictionary_simplify_col("summary", terms))
     return res.select(
