@@ -20,17 +20,21 @@ STANDARD_SCHEMA = [("input_text", "string"), ("input_label", "bigint"), ("task_n
 # The label range each inspected task is expected to stay in.
 EXPECTED_MAX = {"casehold": 4, "unfair_tos": 7, "scotus": 12, "ledgar": 99}
 # Label dimensions above this many rows are joined without a broadcast hint.
-BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_ROWS = 200_000
 
 
 def checked_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast a dimension table only when its size is proven small.
 
-    The count runs on the (small) dimension, never on the fact table; above the
-    bound the plain DataFrame is returned and the optimizer picks a shuffle join.
+    At most ``max_rows + 1`` rows are fetched: when the table fits, those rows
+    become a local relation that is broadcast (so a derived dimension is not
+    computed a second time by the query); above the bound the plain DataFrame
+    is returned and the optimizer picks a shuffle join.
     """
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
+    rows = dim.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return dim
+    return F.broadcast(dim.sparkSession.createDataFrame(rows, dim.schema))
 
 
 def standardize_single_label(df: DataFrame, task: str, text: str = "text", label: str = "label",

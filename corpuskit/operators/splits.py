@@ -20,7 +20,7 @@ from corpuskit.plans.fixtures import md5_bucket
 # the number of tasks stays under this bound; beyond it they are joined normally.
 MAX_TASKS = 10_000
 # (task, bucket) start tables up to this many rows are broadcast.
-MAX_BUCKET_ROWS = 5_000_000
+MAX_BUCKET_ROWS = 200_000
 
 
 def checked_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
