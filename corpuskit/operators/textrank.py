@@ -271,7 +271,7 @@ RANK_SCHEMA = "doc_id long, idx int, rank double, converged boolean"
 
 
 def _pagerank_joins(w: DataFrame, sent_n: DataFrame, alpha: float, max_iter: int, tol: float | None,
-                    checkpoint_every: int = 4) -> DataFrame:
+                    checkpoint_every: int = 1) -> DataFrame:
     """The distributed path: each round = aggregate over (doc, term), join back,
     aggregate over (doc, sentence).  Lineage is cut with reliable checkpoints."""
     spark = w.sparkSession
@@ -283,7 +283,9 @@ def _pagerank_joins(w: DataFrame, sent_n: DataFrame, alpha: float, max_iter: int
                  (F.lit(1.0) / F.col("n")).alias("rank"), F.lit(tol is None).alias("done")))
     r = r.checkpoint(eager=True)
     for it in range(1, max_iter + 1):
-        u = r.where(F.col("s") > 0).select("doc_id", "idx", (F.col("rank") / F.col("s")).alias("u"))
+        # documents that already converged keep their ranks: only active ones flow
+        u = r.where((F.col("s") > 0) & ~F.col("done") if tol is not None else F.col("s") > 0) \
+            .select("doc_id", "idx", (F.col("rank") / F.col("s")).alias("u"))
         v = w.join(u, ["doc_id", "idx"]).groupBy("doc_id", "term").agg(F.sum(F.col("w") * F.col("u")).alias("v"))
         y = w.join(v, ["doc_id", "term"]).groupBy("doc_id", "idx").agg(F.sum(F.col("w") * F.col("v")).alias("y"))
         dm = r.groupBy("doc_id").agg(F.sum(F.when(F.col("s") <= 0, F.col("rank")).otherwise(0.0)).alias("dm"))

@@ -81,3 +81,15 @@ def test_batch_boundaries_and_partitions_do_not_change_results(spark):
                                                                  tol=None).collect()}
     assert s1.keys() == s2.keys()
     assert all(abs(s1[k] - s2[k]) < 1e-12 for k in s1)
+
+
+def test_join_path_convergence_mode_matches(spark):
+    # a handful of documents keeps the distributed rounds short in a unit test
+    docs = fx.documents(spark, SF).orderBy("doc_id").limit(12)
+    a = {(r.doc_id, r.idx): (r.rank, r.converged) for r in TR.textrank_scores(docs, stop_words=None).collect()}
+    b = {(r.doc_id, r.idx): (r.rank, r.converged) for r in TR.textrank_scores(docs, stop_words=None,
+                                                                                max_group_rows=0).collect()}
+    assert a.keys() == b.keys() and len(a) > 0
+    for k in a:
+        assert a[k][1] == b[k][1]
+        assert a[k][0] == pytest.approx(b[k][0], abs=1e-9)
