@@ -59,7 +59,7 @@ _BLEU_CTES["bs"] = ("SELECT conv_id, turn, c, CASE WHEN m1 = 0 THEN 0.0 ELSE (CA
                     "THEN 0.0 ELSE exp(1 - r / c) END) * exp(logp) END AS bleu FROM bl")
 
 
-def _w(*names, extra=None):
+def _w(extra=None):
     return fx.duck_with("v_pairs", extra=extra)
 
 
@@ -127,7 +127,9 @@ def q_evaluate_generation(spark, d):
     "WHERE u.role = 'user' AND a.role = 'assistant'", "WHERE u.role = 'user' AND a.role = 'assistant' AND u.conv_id < 0")
     .rstrip("\n") + ",\n" + ",\n".join(f"{k} AS ({v})" for k, v in {**_ROUGE_CTES, **_BLEU_CTES}.items()) + "\n" + _GEN_SQL)
 def q_metrics_empty_input(spark, d):
-    """Metrics of an empty prediction set are zeros, not an error."""
+    """Metrics of an empty prediction set are zeros, not an error.  The
+    predicate selects no pair on purpose — the empty input is the case under
+    test; the whole pair table is still read."""
     return M.generation_metrics(_pairs(spark, d).where(F.col("conv_id") < 0), IDS, "pred", "ref")
 
 
