@@ -100,10 +100,12 @@ def cap_rows(df: DataFrame, caps: dict[str, int], id_col: str, split_col: str =
     cap = F.try_element_at(F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))]),
                            F.col(split_col))
     sb = F.abs(F.xxhash64(F.col(id_col))) % salt_buckets
+    top = max(caps.values())   # a literal bound lets Spark plan a group limit
     stage1 = (df.withColumn("_cap", cap).where(F.col("_cap").isNotNull()).withColumn("_sb", sb)
               .withColumn("_r1", F.row_number().over(Window.partitionBy(split_col, "_sb").orderBy(id_col)))
-              .where(F.col("_r1") <= F.col("_cap")))
-    stage2 = stage1.withColumn("_r2", F.row_number().over(Window.partitionBy(split_col).orderBy(id_col)))
+              .where(F.col("_r1") <= top).where(F.col("_r1") <= F.col("_cap")))
+    stage2 = (stage1.withColumn("_r2", F.row_number().over(Window.partitionBy(split_col).orderBy(id_col)))
+              .where(F.col("_r2") <= top))
     keep_uncapped = df.where(~F.col(split_col).isin(*caps.keys()) | F.col(split_col).isNull())
     capped = stage2.where(F.col("_r2") <= F.col("_cap")).drop("_cap", "_sb", "_r1", "_r2")
     return capped.unionByName(keep_uncapped)
