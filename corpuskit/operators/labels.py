@@ -188,15 +188,16 @@ def label_profile(df: DataFrame, task: str = "task_name", label: str = "input_la
     with a third of all rows still combines map-side.
     """
     per_label = df.groupBy(task, label).agg(F.min(id_col).alias("_first"))
-    stats = per_label.groupBy(task).agg(
-        F.min(label).alias("min_label"), F.max(label).alias("max_label"), F.count("*").alias("num_unique"))
-    # first ``list_cap`` labels by first appearance: a filtered row_number, which
-    # Spark plans as a per-task group limit (partial top-k before the shuffle)
-    firsts = (per_label.withColumn("_ord", F.row_number().over(Window.partitionBy(task).orderBy("_first", label)))
-              .where(F.col("_ord") <= list_cap)
-              .groupBy(task).agg(F.array_join(F.sort_array(F.collect_list(label)), ",").alias("unique_labels")))
+    # one pass over the data: the window runs on the per-(task, label) table,
+    # whose size is the label cardinality, not the row count
+    ranked = per_label.withColumn(
+        "_ord", F.row_number().over(Window.partitionBy(task).orderBy("_first", label)))
     mx = _expected_max_col(task, expected_max)
-    prof = stats.join(firsts, task)
+    prof = ranked.groupBy(task).agg(
+        F.min(label).alias("min_label"), F.max(label).alias("max_label"),
+        F.count("*").alias("num_unique"),
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("_ord") <= list_cap, F.col(label)))), ",")
+        .alias("unique_labels"))
     return prof.select(
         F.col(task).alias("task_name"), "min_label", "max_label", "num_unique", "unique_labels",
         F.when(mx.isNull(), "unknown")
