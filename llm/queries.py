@@ -34,3 +34,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and the forest's verdict for all documents, calibrated on all labelled rows."""
+    from llm.quality_rules import COUNTS, quality_rules
+    return (quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+            .select("doc_id", *COUNTS, "base_failed", "kept", "score"))
