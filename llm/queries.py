@@ -42,3 +42,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.quality_rules import COUNTS, quality_rules
     return (quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
             .select("doc_id", *COUNTS, "base_failed", "kept", "score"))
+
+
+@query()
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    from pyspark.sql import functions as F
+
+    from llm.pii import BASE, find, joined
+    df = find(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
+                     F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"))
