@@ -13,7 +13,7 @@ One tree over a corpus would be one task, so exact keys deal the points to trees
    order gives the same result, this one keeps common passages out of the keys.
 2. ``_keys``: two sets of similarity p/q must share one of their first
    ``n - ceil(p*n/q) + 1`` shingles in that order. A key that only one set has is
-   dropped by a grouped min/max; keys with the same holders count once.
+   dropped by a grouped count; keys with the same holders count once.
 3. ``_bound_blocks``: an R-tree on the points of each key's holders gives links that
    span the components of "the bound allows it". Keys with more than ``BLOCK``
    holders are cut into sub-blocks, all pairs of which are looked at as separate
@@ -38,7 +38,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import components, ids_and_text, saved, ship
@@ -180,9 +180,8 @@ def _sets(bitmap, k: int):
         marks = bitmap.value
         for ids, texts in _batches(batches):
             want = [t for i, t in zip(ids, texts) if i is None or marks[_slot(i) >> 3] >> (_slot(i) & 7) & 1]
-            rows = [(_digest(s), _short(_digest(s)), s.tobytes()) for s in shingle_sets(want, k) if len(s)]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
-                                   pa.array([r[2] for r in rows], pa.binary())], ["key", "short", "elements"])
+            sets = [s for s in shingle_sets(want, k) if len(s)]
+            yield pa.record_batch([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "elements"])
     return run
 
 
@@ -218,6 +217,7 @@ def _verified_blocks(p: int, q: int):
 
     def run(batches):
         for (_, i, j), rows in _groups(batches, 3):
+            rows = list({r[0]: r for r in rows}.values())  # a repeated id can bring a set twice
             sets = [np.frombuffer(r[1], dtype=np.uint64) for r in rows]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
@@ -228,7 +228,7 @@ def _verified_blocks(p: int, q: int):
     return run
 
 
-def _sub_blocks(df: DataFrame, key: str, parts: str, salt) -> DataFrame:
+def _sub_blocks(df: DataFrame, parts: str, salt: Column) -> DataFrame:
     """Every row goes to all pairs (i <= j) of sub-blocks that hold its own sub-block ``part``."""
     return (df.withColumn("part", F.pmod(salt, F.col(parts)).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(parts) - 1).cast("int"))))
@@ -248,23 +248,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = saved(texts.mapInArrow(_keys(weight, k, p, q), KEYS), "keys")
     own = rows.where("kind = 0")
     token = rows.where("kind = 1").select("token", "short")
-    shared = token.groupBy("token").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("token")
+    shared = token.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     held = saved(token.join(shared, "token").distinct(), "held")
     same = (held.groupBy("token").agg(F.bit_xor(F.xxhash64("short")).alias("x"), F.bit_xor(F.xxhash64("short", F.lit(7))).alias("y"), F.count("*").alias("m"))
-            .groupBy("x", "y", "m").agg(F.min("token").alias("token")))
+            .where("m > 1").groupBy("x", "y", "m").agg(F.min("token").alias("token")))
     sets = own.where("point is not null").groupBy("short").agg(F.first("n").alias("n"), F.first("point").alias("point"))
     blocks = held.join(same.select("token", F.ceil(F.col("m") / BLOCK).alias("parts")), "token").join(sets, "short")
-    blocks = (_sub_blocks(blocks, "token", "parts", F.xxhash64("short"))
+    blocks = (_sub_blocks(blocks, "parts", F.xxhash64("short"))
               .select("token", "i", "j", "short", "n", "point", "part").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "short"))
     cluster = saved(components(blocks.mapInArrow(_bound_blocks(p, q), "a long, b long")), "clusters")
     one = own.where("key is not null").groupBy("key", "short", "n").agg(F.min("doc_id").alias("doc_id"))
-    marked = one.join(cluster.select(F.col("node").alias("short")), "short").select("doc_id")
-    found = (texts.mapInArrow(_sets(_bitmap(marked), k), "key binary, short long, elements binary")
-             .join(cluster.withColumnsRenamed({"node": "short", "root": "cluster"}), "short").select("cluster", "key", "elements")
-             .dropDuplicates(["cluster", "key"]))
-    found = saved(found, "sets")
-    size = found.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_ROWS), F.ceil(F.sum(F.octet_length("elements")) / (8 * CLUSTER_SHINGLES))).alias("parts"), F.count("*").alias("m")).where("m > 1")
-    blocks = (_sub_blocks(found.join(size.drop("m"), "cluster"), "cluster", "parts", F.xxhash64("key"))
+    member = saved(one.join(cluster.withColumnsRenamed({"node": "short", "root": "cluster"}), "short").select("cluster", "key", "n", "doc_id"), "members")
+    size = (member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_ROWS), F.ceil(F.sum("n") / CLUSTER_SHINGLES)).alias("parts"), F.count("*").alias("m"))
+            .where("m > 1").drop("m"))
+    plan = _sub_blocks(member.join(size, "cluster"), "parts", F.xxhash64("key")).select("cluster", "i", "j", "key", "part")
+    blocks = (texts.mapInArrow(_sets(_bitmap(member.select("doc_id")), k), "key binary, elements binary").join(plan, "key")
               .select("cluster", "i", "j", "key", "elements", "part").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "key"))
     comp = components(blocks.mapInArrow(_verified_blocks(p, q), "a binary, b binary"))
     # class -> component -> smallest id, then back to the rows
