@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from llm import licenses
 from llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +54,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = find(table(spark, sf_dir, "documents"))
     return df.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
                      F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"))
+
+
+@query(licenses.oracle_sql())
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in all documents."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
