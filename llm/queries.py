@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import licenses
+from llm import licenses, mixing
 from llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in all documents."""
     return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query(mixing.oracle_sql())
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document in a mix of all sources, weighted by the root of their size."""
+    return mixing.schedule(table(spark, sf_dir, "documents"))
