@@ -66,3 +66,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot of every document in a mix of all sources, weighted by the root of their size."""
     return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest-match token counts of all documents by the byte-level 50k vocabulary."""
+    import public_tokenizers
+
+    from llm.wordpiece import token_counts
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents drawn towards the text labelled good."""
+    from llm.importance import resample
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
