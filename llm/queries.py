@@ -82,3 +82,10 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents drawn towards the text labelled good."""
     from llm.importance import resample
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from llm.main_text import main_text
+    return main_text(table(spark, sf_dir, "pages"))
