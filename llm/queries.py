@@ -89,3 +89,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     from llm.main_text import main_text
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all vectors."""
+    from llm.ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings"))
