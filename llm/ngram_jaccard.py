@@ -273,3 +273,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return (own.select("doc_id", F.col("n").alias("n_shingles"), "key").join(label, "key", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
                     F.col("key").alias("set_key")))
+
+
+INLINE_IDS = 2_000_000
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", inline: int = INLINE_IDS, **options) -> DataFrame:
+    """``docs`` without the ids that are copies of a smaller id: of each component the row(s)
+    of its smallest id stay. Rows with one id are one document and stay or go together;
+    rows without an id stay. The ids that go are sent to all tasks when there are at most
+    ``inline`` of them (so no text is shuffled), and joined by a shuffle beyond that."""
+    gone = saved(near_duplicates(docs, id_col, text_col, **options).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    gone = gone.select(F.col("doc_id").alias("__gone"))
+    few = gone.limit(inline + 1).count() <= inline
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -165,32 +165,63 @@ def pick_threshold(bins: list[tuple[int, int, int]], n_bins: int, keep_good: flo
     return best / n_bins if gain.max() > 0 else 2.0
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 100, keep_good: float = 0.99, n_bins: int = 2000,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, COUNTS, base_failed, score, kept; see the module text.
-
-    ``labels`` has doc_id and quality (1 good, 0 bad; others are not used).
-    """
+def verdict(batch_counts: dict[str, np.ndarray], rules: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base_failed, score, kept) of rows of COUNTS and EXTRA."""
+    forest, fitted, threshold = rules
+    score = anomaly(forest, features(batch_counts), fitted)
+    failed = (batch_counts["n_words"] < 10) | (100 * batch_counts["n_repeat_words"] > 20 * batch_counts["n_words"])
+    return failed, score, ~failed & (score < threshold)
+
+
+def fit_rules(docs: DataFrame, labels: DataFrame, trees: int = 100, keep_good: float = 0.99, n_bins: int = 2000,
+              id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, tuple]:
+    """The statistics of all documents (written to the shared folder) and the fitted rules:
+    (forest, rows fitted, threshold)."""
     spark = docs.sparkSession
     ship(spark)
     stats = saved(ids_and_text(docs, id_col, text_col).mapInArrow(_stats, STATS), "stats")
     names = COUNTS + EXTRA
-    size = trees * SAMPLE
-    fitted = stats.orderBy(F.xxhash64("doc_id", *names), "doc_id", *names).limit(size).toPandas()
+    fitted = stats.orderBy(F.xxhash64("doc_id", *names), "doc_id", *names).limit(trees * SAMPLE).toPandas()
     x = features({c: fitted[c].to_numpy(dtype=np.float64) for c in names})
-    forest = spark.sparkContext.broadcast(fit_forest(x, trees))
-    n_fit = len(x)
+    forest = fit_forest(x, trees)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
+    bins = (_judged(stats, (forest, len(x), 2.0)).where("not base_failed").select("doc_id", F.floor(F.col("score") * n_bins).cast("int").alias("bin")).join(known, "doc_id")
+            .groupBy("bin").agg(F.sum(F.expr("int(quality = 1)")).alias("good"), F.sum(F.expr("int(quality = 0)")).alias("bad")).collect())
+    return stats, (forest, len(x), float(pick_threshold([tuple(r) for r in bins], n_bins, keep_good)))
+
 
-    def judge(batches):
+def _judged(stats: DataFrame, rules: tuple) -> DataFrame:
+    shared = stats.sparkSession.sparkContext.broadcast(rules)
+
+    def run(batches):
         for b in batches:
-            c = {n: b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.float64) for n in names}
-            s = anomaly(forest.value, features(c), n_fit)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(b.schema.get_field_index(n)) for n in COUNTS], pa.array(s)], ["doc_id", *COUNTS, "score"])
+            c = {n: b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.float64) for n in COUNTS + EXTRA}
+            failed, score, kept = verdict(c, shared.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(b.schema.get_field_index(n)) for n in COUNTS], pa.array(failed), pa.array(score), pa.array(kept)],
+                                             ["doc_id", *COUNTS, "base_failed", "score", "kept"])
+    return stats.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean")
 
-    scored = saved(stats.mapInArrow(judge, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double")
-                   .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "scores")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    bins = (scored.where("not base_failed").select("doc_id", F.floor(F.col("score") * n_bins).cast("int").alias("bin")).join(known, "doc_id")
-            .groupBy("bin").agg(F.sum(F.expr("int(quality = 1)")).alias("good"), F.sum(F.expr("int(quality = 0)")).alias("bad")).collect())
-    threshold = pick_threshold([tuple(r) for r in bins], n_bins, keep_good)
-    return scored.select("doc_id", *COUNTS, "base_failed", "score", (~F.col("base_failed") & (F.col("score") < F.lit(float(threshold)))).alias("kept"))
+
+def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 100, keep_good: float = 0.99, n_bins: int = 2000,
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: doc_id, COUNTS, base_failed, score, kept; see the module text.
+
+    ``labels`` has doc_id and quality (1 good, 0 bad; others are not used).
+    """
+    return _judged(*fit_rules(docs, labels, trees, keep_good, n_bins, id_col, text_col))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns. The fitted rules are
+    applied to the texts again in place, so no text is shuffled."""
+    _, rules = fit_rules(docs, labels, id_col=id_col, text_col=text_col, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(rules)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                rows = np.array(text_counts(part.column(part.schema.get_field_index(text_col)).to_pylist()), dtype=np.float64)
+                kept = verdict({n: rows[:, i] for i, n in enumerate(COUNTS + EXTRA)}, shared.value)[2]
+                yield part.filter(pa.array(kept))
+    return docs.mapInArrow(run, docs.schema)
