@@ -127,7 +127,7 @@ def spans(text: Column, kind: str) -> Column:
         def one(m: Column, i: Column) -> Column:
             return F.struct(F.lit(kind).alias("kind"), m.alias("m"), i.alias("i"), _score(kind, F.get(ps, i), F.get(ps, i + 1)).alias("score"))
         held = F.filter(F.transform(ms, one), lambda s: _confirmed(kind, s["m"]) & (F.lit(kind in BASE) | (s["score"] >= ACCEPT)))
-        return F.when(F.size(held) > 0, let(_running(lengths), lambda at: F.transform(held, lambda s: F.struct(
+        return F.when(F.size(held) > 0, let(let(lengths, _running), lambda at: F.transform(held, lambda s: F.struct(
             s["kind"].alias("kind"), F.get(at, s["i"] * 2 + 1).alias("start"), (F.get(at, s["i"] * 2 + 1) + F.length(s["m"])).alias("end"), s["score"].alias("score"))))
         ).otherwise(_none())
     return _cut(text, kind, build, _none())
