@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.common import saved, ship
+from llm.common import hash_sample, saved, ship
 
 FIT = 20_000
 LIST_ROWS = 512
@@ -203,7 +203,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, copies: int = 4, b
     dim, n, most = top
     v = v.where(F.size("v") == dim)
     lists = min(MAX_LISTS, max(1, -(-n // list_rows)))
-    rows = v.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(FIT).select("v").toArrow()
+    rows = hash_sample(v, FIT, 29).select("v").toArrow()
     model = spark.sparkContext.broadcast((bisect(_lifted(_matrix(rows["v"], dim), most), lists), most))
     kind = vectors.schema[vector_col].dataType.simpleString()
     posting = saved(v.mapInArrow(_assign(model, dim, copies, boundary), f"list int, vec_id long, v {kind}"), "postings")

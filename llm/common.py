@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.session import ensure_checkpoint_dir
@@ -75,8 +75,15 @@ def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def null_safe(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+def hash_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """At most ``n`` distinct rows, those with the smallest hash (fewer only where the table is
+    small or by the chance of the hash): rows are thinned by the hash first, so that no
+    task sends more than its share to the driver."""
+    h = F.xxhash64(*df.columns, F.lit(seed))
+    total = df.count()
+    if total > 2 * n:
+        df = df.where(F.shiftrightunsigned(h, 1) < int((1 << 63) * (2 * n / total)))
+    return df.distinct().orderBy(h, *df.columns).limit(n)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:

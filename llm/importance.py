@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import ids_and_text, saved, ship
+from llm.common import hash_sample, ids_and_text, saved, ship
 from llm.quality_rules import pick_threshold
 from llm.wordhash import batch_hashes, windows
 
@@ -131,8 +131,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, kee
     ship(spark)
     texts = ids_and_text(docs, id_col, text_col)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    target = (known.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-              .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(TARGET_DOCS).toPandas()["doc_id"].to_numpy(dtype=np.int64))
+    target = hash_sample(known.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id"), TARGET_DOCS, seed)
+    target = target.toPandas()["doc_id"].to_numpy(dtype=np.int64)
     counts = (texts.mapInArrow(_models(spark.sparkContext.broadcast(np.sort(target))), "bucket int, raw long, good long")
               .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas())
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import ids_and_text, saved, ship
+from llm.common import hash_sample, ids_and_text, saved, ship
 from llm.wordhash import _SPACE, batch_hashes, windows
 
 SAMPLE = 256
@@ -181,7 +181,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, trees: int = 100, keep_good: f
     ship(spark)
     stats = saved(ids_and_text(docs, id_col, text_col).mapInArrow(_stats, STATS), "stats")
     names = COUNTS + EXTRA
-    fitted = stats.orderBy(F.xxhash64("doc_id", *names), "doc_id", *names).limit(trees * SAMPLE).toPandas()
+    fitted = hash_sample(stats.select("doc_id", *names), trees * SAMPLE, 23).toPandas()
     x = features({c: fitted[c].to_numpy(dtype=np.float64) for c in names})
     forest = fit_forest(x, trees)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
