@@ -6,11 +6,13 @@ is the log ratio of the two, per n-gram and scaled to ``UNIT`` n-grams so that l
 not decide. Documents are drawn without replacement with these weights by Gumbel top-k:
 a fixed hash of the row gives its Gumbel noise, and the ``k`` largest sums stay.
 
-The raw model counts all documents. The target model counts the documents labelled
+The labelled rows are dealt into two halves by an id hash. The raw model counts all
+documents. The target model counts the documents of the first half that are labelled
 good and not toxic, at most ``TARGET_DOCS`` of them (a bounded sample: the smallest id
-hashes). Without a given share, ``k`` is set from all labelled rows: the number of
-documents above the sum that keeps at least ``keep_good`` of the good rows and rejects
-most of the bad ones; without such labels all documents with words are kept.
+hashes). Without a given share, ``k`` is set from all rows of the second half, which the
+model has not learned: the number of documents above the sum that keeps at least
+``keep_good`` of the good rows and rejects most of the bad ones; without such labels
+all documents with words are kept.
 
 Defined cases: null, empty and word-less texts have no weight and are not kept; one
 word has no pair; rows tied with the last one drawn are all kept, so repeated rows get
@@ -131,7 +133,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, kee
     ship(spark)
     texts = ids_and_text(docs, id_col, text_col)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    target = hash_sample(known.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id"), TARGET_DOCS, seed)
+    half = F.xxhash64("doc_id", F.lit(seed + 1)) % 2 == 0
+    target = hash_sample(known.where(half).where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id"), TARGET_DOCS, seed)
     target = target.toPandas()["doc_id"].to_numpy(dtype=np.int64)
     counts = (texts.mapInArrow(_models(spark.sparkContext.broadcast(np.sort(target))), "bucket int, raw long, good long")
               .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas())
@@ -150,7 +153,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, kee
         if lo is not None and hi > lo:
             # bins count from the largest down, as pick_threshold rejects from a bin on
             at = F.least(F.lit(n_bins - 1), F.floor((F.lit(hi) - F.col("drawn")) / ((hi - lo) / n_bins))).cast("int")
-            bins = (drawn.where("drawn is not null").select("doc_id", at.alias("bin")).join(known.where("quality in (0, 1)"), "doc_id")
+            bins = (drawn.where("drawn is not null").select("doc_id", at.alias("bin")).join(known.where(~half).where("quality in (0, 1)"), "doc_id")
                     .groupBy("bin").agg(F.sum(F.expr("int(quality = 1)")).alias("good"), F.sum(F.expr("int(quality = 0)")).alias("bad")).collect())
             cut = pick_threshold([tuple(r) for r in bins], n_bins, keep_good)
             if cut <= 1:
