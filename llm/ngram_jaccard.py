@@ -14,8 +14,9 @@ One tree over a corpus would be one task, so exact keys deal the points to trees
 2. ``_keys``: two sets of similarity p/q must share one of their first
    ``n - ceil(p*n/q) + 1`` shingles in that order. A key that only one set has is
    dropped by a grouped count; keys with the same holders count once.
-3. ``_bound_blocks``: an R-tree on the points of each key's holders gives links that
-   span the components of "the bound allows it". Keys with more than ``BLOCK``
+3. ``_bound_blocks``: an R-tree on the points of each key's holders, and the same bound at
+   the sets' own finer resolution (about four shingles a group), gives links that span
+   the components of "the bound allows it". Keys with more than ``BLOCK``
    holders are cut into sub-blocks, all pairs of which are looked at as separate
    blocks: nothing is capped and no task holds more than two sub-blocks.
 4. Components of these links are small candidate clusters that hold every true link.
@@ -103,6 +104,23 @@ def _short(key: bytes) -> int:
 KEYS = "kind int, doc_id long, n long, key binary, short long, token long, point binary"
 
 
+def _counts(s: np.ndarray) -> bytes:
+    """Group counts of a set at its own resolution, about four elements a group: a byte each
+    (after a mark of the width), or four bytes where a group holds more than 255."""
+    groups = max(GROUPS, 1 << max(0, (len(s) - 1).bit_length() - 2))
+    c = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return b"\x01" + c.astype("u1").tobytes() if c.max() < 256 else b"\x04" + c.astype("<u4").tobytes()
+
+
+def _read_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="u1" if raw[0] == 1 else "<u4", offset=1).astype(np.int32)
+
+
+def _fold(c: np.ndarray, groups: int) -> np.ndarray:
+    """Counts in fewer groups: groups are low bits of the hashes, so rows of the reshaped counts add up."""
+    return c.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+
+
 def _keys(weight, k: int, p: int, q: int):
     """kind 0: a document with its set's size, digest and point; kind 1: a key of a set."""
 
@@ -122,8 +140,7 @@ def _keys(weight, k: int, p: int, q: int):
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(key)
-                point = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4")
-                docs.append((0, doc_id, n, key, _short(key), None, point.tobytes()))
+                docs.append((0, doc_id, n, key, _short(key), None, _counts(s)))
                 first = n - -(-p * n // q) + 1
                 w = weight.value[s >> np.uint64(64 - CELL_BITS)]
                 keys.append((_short(key), s[np.lexsort((mix(s), w))[:first]]))
@@ -160,10 +177,17 @@ def _bound_blocks(p: int, q: int):
     def run(batches):
         a, b = [], []
         for (_, i, j), rows in _groups(batches, 3):
-            points = np.frombuffer(b"".join(r[2] for r in rows), dtype="<i4").reshape(len(rows), GROUPS)
+            fine = [_read_counts(r[2]) for r in rows]
+            points = np.stack([_fold(c, GROUPS) for c in fine])
             sizes = np.array([r[1] for r in rows], dtype=np.int64)
             side = None if i == j else np.array([r[3] for r in rows])
-            for x, y in spanning_links(points, sizes, p, q, side=side):
+
+            def allowed(x, y, fine=fine, sizes=sizes):
+                groups = min(len(fine[x]), len(fine[y]))
+                shared = int(np.minimum(_fold(fine[x], groups), _fold(fine[y], groups)).sum())
+                return (p + q) * shared >= p * int(sizes[x] + sizes[y])
+
+            for x, y in spanning_links(points, sizes, p, q, verify=allowed, side=side):
                 a.append(rows[x][0])
                 b.append(rows[y][0])
             if len(a) > 50_000:
