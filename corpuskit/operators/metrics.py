@@ -1,22 +1,20 @@
 """Evaluation metrics: accuracy, weighted F1, ROUGE-1/2/L, BLEU and their corpus
 averages (J2, A8-A13, X11-X14, C8, C9).
 
-N-gram metrics are grouped joins: n-grams are exploded per (pair id, order),
-counted with map-side partial aggregation, and matched by an equi-join on
-(id, order, gram) — a long text never becomes one group, and a pair's n-grams
-are spread over many keys.  ROUGE-L (an LCS, inherently sequential per pair) is
-the one per-row Python helper: a bit-parallel LCS in an Arrow-batched pandas UDF.
+A prediction and its reference are one row, so every score is row-local: clipped
+n-gram counts and a bit-parallel LCS in Arrow-batched functions over native token
+arrays, the formulas as column expressions.  The only shuffle is the final one-row mean.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.common import let, to_col
+from corpuskit.functions.common import to_col
 from corpuskit.functions.text import rouge_tokens, word_count, words
 
 
@@ -26,56 +24,70 @@ def classification_metrics(df: DataFrame, group: str | None, label: str = "label
                            pred: str = "pred") -> DataFrame:
     """A8 + A9: accuracy and support-weighted F1 (zero_division=0) per group.
 
-    Built from the confusion counts ``(group, label, pred, n)`` — one aggregate
-    whose output is bounded by groups × classes², then tiny joins.
+    Built from the confusion counts ``(group, label, pred, n)``, bounded by groups ×
+    classes²: each count goes to its label (hits, support) and to its prediction, one
+    grouped sum per class, one per group — no join.  Without rows all figures are 0.
     """
     g = [group] if group else []
     conf = df.groupBy(*g, label, pred).agg(F.count("*").alias("n"))
-    tp = conf.where(F.col(label) == F.col(pred)).groupBy(*g, F.col(label).alias("c")).agg(F.sum("n").alias("tp"))
-    sup = conf.groupBy(*g, F.col(label).alias("c")).agg(F.sum("n").alias("support"))
-    prd = conf.groupBy(*g, F.col(pred).alias("c")).agg(F.sum("n").alias("predicted"))
-    per = (sup.join(prd, [*g, "c"], "full").join(tp, [*g, "c"], "left")
-           .fillna(0, subset=["tp", "support", "predicted"]))
+    hit = F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("bigint")
+    sides = F.array(F.struct(F.col(label).alias("c"), hit.cast("bigint").alias("tp"), F.col("n").alias("support"), zero.alias("predicted")),
+                    F.struct(F.col(pred).alias("c"), zero.alias("tp"), zero.alias("support"), F.col("n").alias("predicted")))
+    per = conf.select(*g, F.explode(sides).alias("s")).groupBy(*g, F.col("s.c").alias("c")).agg(
+        *[F.sum(f"s.{k}").alias(k) for k in ("tp", "support", "predicted")])
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
     per = per.withColumn("f1", f1)
-    return per.groupBy(*g).agg(
-        (F.sum("tp") / F.sum("support")).alias("accuracy"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"),
-        F.sum("support").alias("n"))
+    total = F.sum("support")
+    share = lambda x: F.coalesce(F.when(total > 0, x / total), F.lit(0.0))
+    return per.groupBy(*g).agg(share(F.sum("tp")).alias("accuracy"),
+                               share(F.sum(F.col("f1") * F.col("support"))).alias("f1_weighted"),
+                               F.coalesce(total, zero).alias("n"))
 
 
 # -- n-gram helpers -------------------------------------------------------------
 
-def ngram_array(tokens, n: int) -> Column:
-    """All contiguous n-grams of a token array, space-joined (empty if too short)."""
-    def grams(t):
-        m = F.size(t) - n + 1
-        starts = F.slice(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))), 1, F.greatest(m, F.lit(0)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(t, i + 1, n), " "))
-    # the token array is bound once: referenced inside the lambda it would
-    # otherwise be re-derived for every n-gram
-    return let(to_col(tokens), grams)
+def _clipped(pred, ref, n: int) -> int:
+    """n-grams that both token lists hold, each as often as in the one that has it less."""
+    a = Counter(zip(*[pred[i:] for i in range(n)]))
+    b = Counter(zip(*[ref[i:] for i in range(n)]))
+    if len(b) < len(a):
+        a, b = b, a
+    return sum(min(c, b[g]) for g, c in a.items() if g in b)
 
 
-def ngram_counts(df: DataFrame, id_cols: list[str], tokens: Column, orders) -> DataFrame:
-    """``(id..., n, gram, cnt)`` for the given n-gram orders."""
-    parts = [df.select(*id_cols, F.lit(n).alias("n"), F.explode(ngram_array(tokens, n)).alias("gram"))
-             for n in orders]
-    return reduce(lambda a, b: a.unionByName(b), parts).groupBy(*id_cols, "n", "gram").agg(
-        F.count("*").alias("cnt"))
+def _matches(pred: Column, ref: Column, orders) -> Column:
+    """Clipped matches per order, in place: a pair is one row, so nothing is shuffled."""
+    orders = list(orders)
+
+    def run(p: pd.Series, r: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(p, r):
+            a, b = ([] if a is None else list(a)), ([] if b is None else list(b))
+            out.append([_clipped(a, b, n) for n in orders])
+        return pd.Series(out, dtype=object)
+    return F.pandas_udf(run, "array<int>")(pred, ref)
 
 
 def _overlap(df: DataFrame, id_cols, pred_tokens: Column, ref_tokens: Column, orders) -> DataFrame:
-    """Clipped n-gram matches per (id, n) plus both lengths."""
-    lens = df.select(*id_cols, F.size(pred_tokens).alias("len_pred"), F.size(ref_tokens).alias("len_ref"))
-    pc = ngram_counts(df, id_cols, pred_tokens, orders).withColumnRenamed("cnt", "cp")
-    rc = ngram_counts(df, id_cols, ref_tokens, orders).withColumnRenamed("cnt", "cr")
-    m = (pc.join(rc, [*id_cols, "n", "gram"]).groupBy(*id_cols, "n")
-         .agg(F.sum(F.least("cp", "cr")).alias("match")))
-    grid = lens.select("*", F.explode(F.array(*[F.lit(n) for n in orders])).alias("n"))
-    return grid.join(m, [*id_cols, "n"], "left").withColumn("match", F.coalesce("match", F.lit(0)))
+    """Both lengths and the clipped n-gram matches (one array element per order)."""
+    from corpuskit.session import ship_package
+    ship_package(df.sparkSession)
+    t = df.select(*id_cols, pred_tokens.alias("_p"), ref_tokens.alias("_r"))
+    return t.select(*id_cols, F.greatest(F.size("_p"), F.lit(0)).alias("len_pred"), F.greatest(F.size("_r"), F.lit(0)).alias("len_ref"),
+                    _matches(F.col("_p"), F.col("_r"), orders).alias("match"))
+
+
+def _prf(match: Column, total_pred: Column, total_ref: Column) -> Column:
+    p, r = match / F.greatest(total_pred, F.lit(1)), match / F.greatest(total_ref, F.lit(1))
+    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("fmeasure"))
+
+
+def _rouge_scores(o: DataFrame, orders) -> list[Column]:
+    """A struct of precision, recall and fmeasure per order."""
+    return [_prf(F.get("match", i), F.col("len_pred") - n + 1, F.col("len_ref") - n + 1) for i, n in enumerate(orders)]
 
 
 def stem_tokens(tokens, stemmer) -> Column:
@@ -100,12 +112,8 @@ def _rouge_tokens(c, stemmer):
 def rouge_n(df: DataFrame, id_cols: list[str], pred: str, ref: str, orders=(1, 2), stemmer=None) -> DataFrame:
     """X11: ROUGE-N precision / recall / F per pair and order (stemming optional)."""
     o = _overlap(df, id_cols, _rouge_tokens(pred, stemmer), _rouge_tokens(ref, stemmer), orders)
-    tp = F.greatest(F.col("len_pred") - F.col("n") + 1, F.lit(0))
-    tr = F.greatest(F.col("len_ref") - F.col("n") + 1, F.lit(0))
-    p = F.col("match") / F.greatest(tp, F.lit(1))
-    r = F.col("match") / F.greatest(tr, F.lit(1))
-    return o.select(*id_cols, "n", p.alias("precision"), r.alias("recall"),
-                    F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("fmeasure"))
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), s.alias("s")) for n, s in zip(orders, _rouge_scores(o, orders))])
+    return o.select(*id_cols, F.explode(rows).alias("x")).select(*id_cols, "x.n", "x.s.*")
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -123,71 +131,69 @@ def lcs_length(a: list, b: list) -> int:
     return len(b) - bin(v).count("1")
 
 
-def _rouge_l_batch(pred: pd.Series, ref: pd.Series) -> pd.Series:
-    out = []
-    for p, r in zip(pred, ref):
-        p = list(p) if p is not None else []
-        r = list(r) if r is not None else []
-        lcs = lcs_length(p, r)
-        prec = lcs / len(p) if p else 0.0
-        rec = lcs / len(r) if r else 0.0
-        out.append(2 * prec * rec / (prec + rec) if prec + rec > 0 else 0.0)
-    return pd.Series(out, dtype="float64")
+def _lcs_column(pred: Column, ref: Column) -> Column:
+    def run(p: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([lcs_length([] if a is None else list(a), [] if b is None else list(b)) for a, b in zip(p, r)], dtype="int32")
+    return F.pandas_udf(run, "int")(pred, ref)
 
 
 def rouge_l(df: DataFrame, id_cols: list[str], pred: str, ref: str, stemmer=None) -> DataFrame:
-    """ROUGE-L F per pair (LCS on rouge tokens)."""
+    """ROUGE-L precision / recall / F per pair (LCS on rouge tokens)."""
     from corpuskit.session import ship_package
     ship_package(df.sparkSession)
-    f = F.pandas_udf(_rouge_l_batch, "double")
-    return df.select(*id_cols, f(_rouge_tokens(pred, stemmer), _rouge_tokens(ref, stemmer)).alias("fmeasure"))
+    t = df.select(*id_cols, _rouge_tokens(pred, stemmer).alias("_p"), _rouge_tokens(ref, stemmer).alias("_r"))
+    t = t.withColumn("_lcs", _lcs_column(F.col("_p"), F.col("_r")))
+    return t.select(*id_cols, _prf(F.col("_lcs"), F.size("_p"), F.size("_r")).alias("s")).select(*id_cols, "s.*")
+
+
+def _bleu_score(max_n: int, epsilon: float) -> Column:
+    """Sentence BLEU from ``match`` (orders from 1), ``len_pred`` and ``len_ref``."""
+    def log_p(m: Column, i: Column) -> Column:
+        denom = F.greatest(F.col("len_pred") - i, F.lit(1))
+        return F.log(F.when(m == 0, F.lit(epsilon) / denom).otherwise(m / denom)) / max_n
+    logp = F.aggregate(F.transform("match", log_p), F.lit(0.0), lambda a, x: a + x)
+    c, r = F.col("len_pred"), F.col("len_ref")
+    bp = F.when(c > r, F.lit(1.0)).when(c == 0, F.lit(0.0)).otherwise(F.exp(1 - r / c))
+    return F.when(F.get("match", 0) == 0, F.lit(0.0)).otherwise(bp * F.exp(logp))
 
 
 def bleu(df: DataFrame, id_cols: list[str], pred: str, ref: str, max_n: int = 4, epsilon: float = 0.1) -> DataFrame:
     """Sentence BLEU, uniform weights up to 4-grams, smoothing method 1
     (``ε / denominator`` for zero numerators), brevity penalty; no unigram match
     -> 0.  Whitespace tokens."""
-    orders = list(range(1, max_n + 1))
-    o = _overlap(df, id_cols, words(pred), words(ref), orders)
-    denom = F.greatest(F.col("len_pred") - F.col("n") + 1, F.lit(1))
-    p = F.when(F.col("match") == 0, F.lit(epsilon) / denom).otherwise(F.col("match") / denom)
-    agg = o.groupBy(*id_cols).agg(
-        F.first("len_pred").alias("c"), F.first("len_ref").alias("r"),
-        F.sum(F.when(F.col("n") == 1, F.col("match")).otherwise(0)).alias("m1"),
-        F.sum(F.log(p) / max_n).alias("logp"))
-    bp = (F.when(F.col("c") > F.col("r"), F.lit(1.0)).when(F.col("c") == 0, F.lit(0.0))
-          .otherwise(F.exp(1 - F.col("r") / F.col("c"))))
-    return agg.select(*id_cols, "c", F.when(F.col("m1") == 0, F.lit(0.0)).otherwise(bp * F.exp("logp")).alias("bleu"))
-
-
-def generation_metrics(df: DataFrame, id_cols: list[str], pred: str, ref: str, with_lcs: bool = False,
-                       with_bleu: bool = True) -> DataFrame:
-    """Corpus means ×100 (ROUGE rounded 4, BLEU rounded 2, BLEU over
-    non-empty predictions), ``gen_len`` = mean words of the predictions; empty
-    input -> zeros.  One row."""
-    rn = rouge_n(df, id_cols, pred, ref, (1, 2))
-    parts = {
-        "rouge1": rn.agg(F.round(F.coalesce(F.avg(F.when(F.col("n") == 1, F.col("fmeasure"))), F.lit(0.0)) * 100, 4)),
-        "rouge2": rn.agg(F.round(F.coalesce(F.avg(F.when(F.col("n") == 2, F.col("fmeasure"))), F.lit(0.0)) * 100, 4)),
-        "gen_len": df.agg(F.round(F.coalesce(F.avg(word_count(pred)), F.lit(0.0)), 4)),
-        "n_pairs": df.agg(F.count("*").cast("double")),
-    }
-    if with_bleu:
-        parts["bleu"] = bleu(df, id_cols, pred, ref).where(F.col("c") > 0).agg(
-            F.round(F.coalesce(F.avg("bleu"), F.lit(0.0)) * 100, 2))
+    o = _overlap(df, id_cols, words(pred), words(ref), range(1, max_n + 1))
+    return o.select(*id_cols, F.col("len_pred").alias("c"), _bleu_score(max_n, epsilon).alias("bleu"))
+
+
+def _rounded(x: Column, digits: int | None) -> Column:
+    return x if digits is None else F.round(x, digits)
+
+
+def generation_metrics(df: DataFrame, id_cols: list[str], pred: str, ref: str, with_lcs: bool = True, with_bleu: bool = True,
+                       rouge_digits: int | None = 4, bleu_digits: int | None = 2, stemmer=None) -> DataFrame:
+    """Corpus means ×100 (BLEU over non-empty predictions), ``gen_len`` = mean
+    words of the predictions; empty input -> zeros.  One row.
+
+    ``rouge_digits`` / ``bleu_digits``: decimals of the figures, ``None`` leaves them
+    unrounded.  Every score is row-local; the corpus row is the only aggregate."""
+    from corpuskit.session import ship_package
+    ship_package(df.sparkSession)
+    t = df.select(F.coalesce(word_count(pred), F.lit(0)).alias("_w"), _rouge_tokens(pred, stemmer).alias("_rp"), _rouge_tokens(ref, stemmer).alias("_rr"),
+                  words(F.coalesce(to_col(pred), F.lit(""))).alias("_bp"), words(F.coalesce(to_col(ref), F.lit(""))).alias("_br"))
+    rouge = t.withColumns({"match": _matches(F.col("_rp"), F.col("_rr"), (1, 2)), "_lcs": _lcs_column(F.col("_rp"), F.col("_rr")) if with_lcs else F.lit(0),
+                           "_bm": _matches(F.col("_bp"), F.col("_br"), (1, 2, 3, 4)) if with_bleu else F.lit(None).cast("array<int>")})
+    n_p, n_r = F.size("_rp"), F.size("_rr")
+    s = rouge.select("_w", F.size("_bp").alias("len_pred"), F.size("_br").alias("len_ref"), F.col("_bm").alias("match"),
+                     *[_prf(F.get("match", i), n_p - i, n_r - i)["fmeasure"].alias(f"rouge{i + 1}") for i in (0, 1)],
+                     _prf(F.col("_lcs"), n_p, n_r)["fmeasure"].alias("rougeL"))
+    mean = lambda x, times, digits: _rounded(F.coalesce(F.avg(x), F.lit(0.0)) * times, digits)
+    out = [mean(F.col("rouge1"), 100, rouge_digits).alias("rouge1"), mean(F.col("rouge2"), 100, rouge_digits).alias("rouge2")]
     if with_lcs:
-        parts["rougeL"] = rouge_l(df, id_cols, pred, ref).agg(
-            F.round(F.coalesce(F.avg("fmeasure"), F.lit(0.0)) * 100, 4))
-    return one_row(parts).withColumn("n_pairs", F.col("n_pairs").cast("bigint"))
-
-
-def one_row(parts: dict[str, DataFrame]) -> DataFrame:
-    """Assemble one-row, one-column aggregates into a single row: union of
-    ``(metric, value)`` rows pivoted on the known metric names (no cross join)."""
-    tagged = [d.toDF("v").select(F.lit(k).alias("metric"), F.col("v").cast("double").alias("value"))
-              for k, d in parts.items()]
-    u = reduce(lambda a, b: a.unionByName(b), tagged)
-    return u.groupBy().pivot("metric", list(parts)).agg(F.first("value")).select(*parts)
+        out.append(mean(F.col("rougeL"), 100, rouge_digits).alias("rougeL"))
+    out += [mean(F.col("_w"), 1, rouge_digits).alias("gen_len"), F.count("*").alias("n_pairs")]
+    if with_bleu:
+        out.append(mean(F.when(F.col("len_pred") > 0, _bleu_score(4, 0.1)), 100, bleu_digits).alias("bleu"))
+    return s.agg(*out)
 
 
 def pred_ref_join(preds: DataFrame, refs: DataFrame, id_cols: list[str]) -> DataFrame:

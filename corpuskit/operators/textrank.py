@@ -6,26 +6,19 @@ and ``Q r = W (Wᵀ r)``, so every round is two sparse aggregations over the
 ``(doc, sentence, term, weight)`` table: no sentence pairs are ever formed and
 the work per round is linear in the number of term occurrences.
 
-Two physical paths give the same scores:
-* documents whose term table fits a bound (``max_group_rows``) are ranked by a
-  grouped-map pandas function (numpy ``bincount`` mat-vecs, all rounds in one
-  task) — fast, memory bounded by the cap;
-* larger documents run the same rounds as DataFrame joins / aggregations,
-  distributed over (doc, term) and (doc, sentence) keys, with the rank table
-  checkpointed to the session's checkpoint folder every few rounds.
+A document stays one row with an array of sentences; its rounds run where the row is
+(numpy ``bincount`` mat-vecs in an Arrow-batched function), so nothing is shuffled.  The
+parts (X4, X5, A14, A15, J6) are also there as DataFrame operators over sentences.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from corpuskit.functions.common import let
-from corpuskit.functions.text import clean_text, keep_long_clean_sentences, lower_tokens, split_sentences
-from corpuskit.session import ensure_checkpoint_dir
+from corpuskit.functions.text import clean_text, keep_long_clean_sentences, lower_tokens, safe_text, split_sentences
 
 # PageRank damping, tolerance and iteration limit of the reference
 # library defaults; fallback texts.
@@ -140,259 +133,99 @@ def _doc_tfidf(n: int, tidx: np.ndarray, terms: np.ndarray):
     return sidx, scode, x / norm[sidx], t
 
 
-def _rank_one(n, idx, is_tok, terms, alpha, max_iter, tol, need_rank):
-    if not need_rank:
-        return None, True
-    if is_tok.any():
-        sidx, scode, w, t = _doc_tfidf(n, idx[is_tok], terms[is_tok])
-        return _pagerank_numpy(n, sidx, scode, w, t, alpha, max_iter, tol)
-    return np.full(n, 1.0 / n), False   # empty vocabulary: document order
-
-
-def _textrank_block(block: pd.DataFrame, alpha, max_iter, tol, k) -> pd.DataFrame:
-    """Rank every document of a block of rows sorted by (doc_id, idx): one marker
-    row (idx -1: n and the fallback text), then one row per sentence carrying its
-    token array (and its text in summary mode)."""
-    doc = block["doc_id"].to_numpy()
-    idx = block["idx"].to_numpy()
-    toks = block["terms"].to_numpy(dtype=object)
-    texts = block["text"].to_numpy(dtype=object)
-    ns = block["n"].to_numpy()
-    bounds = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]))
-    out_doc, out_a, out_b, out_c = [], [], [], []
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        d = doc[a]
-        n = int(ns[a])                       # the marker sorts first (idx -1)
-        if n == 0:
-            if k is not None:
-                out_doc.append(d)
-                out_a.append(texts[a])
-            continue
-        need = k is None or n >= k
-        r, conv = None, True
-        if need:
-            parts = toks[a + 1:b]
-            lens = np.fromiter((len(t) for t in parts), dtype=np.int64, count=len(parts))
-            if lens.sum() > 0:
-                tidx = np.repeat(idx[a + 1:b], lens)
-                terms = np.concatenate([t for t in parts if len(t)])
-                sidx, scode, w, t = _doc_tfidf(n, tidx, terms)
-                r, conv = _pagerank_numpy(n, sidx, scode, w, t, alpha, max_iter, tol)
-            else:
-                r, conv = np.full(n, 1.0 / n), False   # empty vocabulary: document order
-        if k is None:
-            out_doc.append(np.full(n, d))
-            out_a.append(np.arange(n, dtype=np.int32))
-            out_b.append(r)
-            out_c.append(np.full(n, conv))
-            continue
-        sent_text = texts[a + 1:b]           # idx 0..n-1 in order
-        if n < k:
-            chosen = range(n)
-        elif not conv:
-            chosen = range(k)
-        else:
-            score = np.round(r, SCORE_DIGITS)
-            chosen = sorted(np.lexsort((np.arange(n), -score))[:k].tolist())
-        out_doc.append(d)
-        out_a.append(" ".join(sent_text[i] for i in chosen))
-    if k is not None:
-        return pd.DataFrame({"doc_id": pd.Series(out_doc, dtype="int64"), "summary": pd.Series(out_a, dtype=object)})
-    if not out_doc:
-        return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "idx": pd.Series([], dtype="int32"),
-                             "rank": pd.Series([], dtype="float64"), "converged": pd.Series([], dtype="bool")})
-    return pd.DataFrame({"doc_id": np.concatenate(out_doc), "idx": np.concatenate(out_a),
-                         "rank": np.concatenate(out_b), "converged": np.concatenate(out_c)})
-
-
-def _textrank_partitions(alpha: float, max_iter: int, tol: float | None, k: int | None):
-    """``mapInPandas`` body over partitions clustered and sorted by doc_id.
-
-    A document's rows may straddle Arrow batches, so the rows of the last
-    (possibly incomplete) document of a batch are carried into the next one;
-    memory stays bounded by one batch plus one document (a capped size)."""
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            doc = pdf["doc_id"].to_numpy()
-            cut = int(np.searchsorted(doc, doc[-1], side="left"))
-            carry = pdf.iloc[cut:]
-            if cut:
-                yield _textrank_block(pdf.iloc[:cut], alpha, max_iter, tol, k)
-        if carry is not None and len(carry):
-            yield _textrank_block(carry, alpha, max_iter, tol, k)
-    return run
-
-
-def _by_document(rows: DataFrame, fn, schema: str) -> DataFrame:
-    """One hash shuffle on doc_id, rows sorted by (doc_id, idx) inside each
-    partition, then the per-document function over Arrow batches — no per-group
-    Python call overhead."""
+def _ranks(tokens: list[str], alpha: float, max_iter: int, tol: float | None):
+    """Ranks of one document's sentences (each given as its space-joined tokens) and
+    whether they settled.  Without any token there is nothing to rank by: equal
+    ranks, flagged as not converged (document order decides)."""
+    n = len(tokens)
+    split = [t.split(" ") if t else [] for t in tokens]
+    lens = np.fromiter((len(t) for t in split), dtype=np.int64, count=n)
+    if not lens.sum():
+        return np.full(n, 1.0 / n), False
+    terms = np.array([w for t in split for w in t], dtype=object)
+    sidx, scode, w, t = _doc_tfidf(n, np.repeat(np.arange(n), lens), terms)
+    return _pagerank_numpy(n, sidx, scode, w, t, alpha, max_iter, tol)
+
+
+def _tokens_of(sents, stop_words) -> Column:
+    """Space-joined TF-IDF tokens of each sentence."""
+    def one(sentence):
+        toks = lower_tokens(sentence)
+        if stop_words:
+            toks = F.filter(toks, lambda t: ~t.isin(*stop_words))
+        return F.array_join(toks, " ")
+    return F.transform(sents, one)
+
+
+def _kept_sentences(cleaned, min_words: int) -> Column:
+    return keep_long_clean_sentences(split_sentences(cleaned), min_words)
+
+
+def rank_column(tokens: Column, alpha: float, max_iter: int, tol: float | None) -> Column:
+    """``struct<rank: array<double>, converged: boolean>`` of a document held as one row."""
+    def run(col: pd.Series) -> pd.DataFrame:
+        out = [_ranks(list(t), alpha, max_iter, tol) if t is not None and len(t) else (np.zeros(0), tol is None) for t in col]
+        return pd.DataFrame({"rank": [r for r, _ in out], "converged": [bool(c) for _, c in out]})
+    return F.pandas_udf(run, "rank array<double>, converged boolean")(tokens)
+
+
+def pick_column(tokens: Column, k: int, alpha: float, max_iter: int, tol: float | None) -> Column:
+    """Positions of the ``k`` best sentences in document order.  Scores are compared
+    as ``rank * n`` at SCORE_DIGITS digits, so equal scores tie (the earlier sentence
+    wins) whatever the number of sentences; without convergence the first ``k`` stay."""
+    def one(t) -> list[int]:
+        n = 0 if t is None else len(t)
+        if n <= k:
+            return list(range(n))
+        r, settled = _ranks(list(t), alpha, max_iter, tol)
+        if not settled:
+            return list(range(k))
+        return sorted(np.lexsort((np.arange(n), -np.round(r * n, SCORE_DIGITS)))[:k].tolist())
+
+    def run(col: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in col], dtype=object)
+    return F.pandas_udf(run, "array<int>")(tokens)
+
+
+def _prepared(df: DataFrame, id_col: str, text: str, min_words: int, stop_words) -> DataFrame:
+    """One row a document: id, cleaned text, kept sentences, their tokens.  A null text is
+    an empty one (P5)."""
     from corpuskit.session import ship_package
-    ship_package(rows.sparkSession)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "doc_id").sortWithinPartitions("doc_id", "idx").mapInPandas(fn, schema)
-
-
-def _grouped_inputs(docs: DataFrame, min_words: int, stop_words, with_text: bool) -> DataFrame:
-    """The rows shipped to the per-document function: one marker row per
-    document (n and the fallback text) and one row per kept sentence carrying
-    its token array (and its text in summary mode), produced by a single explode
-    of one per-row array (the text is split once); the only shuffle is the
-    clustering on doc_id that follows."""
-    row = "struct<idx:int,terms:array<string>,text:string,n:int>"
-
-    def on_clean(cleaned):
-        def on_sents(ss):
-            n = F.size(ss)
-            fallback = F.concat(F.substring(cleaned, 1, TRIM_CHARS), F.lit(TRIM_SUFFIX))
-            marker = F.array(F.struct(F.lit(-1).alias("idx"), F.lit(None).cast("array<string>").alias("terms"),
-                                      (F.when(n == 0, fallback) if with_text else F.lit(None)).cast("string")
-                                      .alias("text"), n.cast("int").alias("n")))
-
-            def sentence_row(sentence, i):
-                toks = lower_tokens(sentence)
-                if stop_words:
-                    toks = F.filter(toks, lambda t: ~t.isin(*stop_words))
-                return F.struct(i.cast("int").alias("idx"), toks.alias("terms"),
-                                (sentence if with_text else F.lit(None)).cast("string").alias("text"),
-                                F.lit(None).cast("int").alias("n"))
-            return F.concat(marker.cast(f"array<{row}>"), F.transform(ss, sentence_row).cast(f"array<{row}>"))
-        return let(keep_long_clean_sentences(split_sentences(cleaned), min_words), on_sents)
-
-    return docs.select("doc_id", F.explode(let(clean_text("_text"), on_clean)).alias("r")).select("doc_id", "r.*")
-
-
-RANK_SCHEMA = "doc_id long, idx int, rank double, converged boolean"
-
-
-def _pagerank_joins(w: DataFrame, sent_n: DataFrame, alpha: float, max_iter: int, tol: float | None,
-                    checkpoint_every: int = 1) -> DataFrame:
-    """The distributed path: each round = aggregate over (doc, term), join back,
-    aggregate over (doc, sentence).  Lineage is cut with reliable checkpoints."""
-    spark = w.sparkSession
-    ensure_checkpoint_dir(spark)
-    w = w.checkpoint(eager=True)
-    s = similarity_row_sums(w)
-    r = (sent_n.join(s, ["doc_id", "idx"], "left")
-         .select("doc_id", "idx", "n", F.coalesce("s", F.lit(0.0)).alias("s"),
-                 (F.lit(1.0) / F.col("n")).alias("rank"), F.lit(tol is None).alias("done")))
-    r = r.checkpoint(eager=True)
-    for it in range(1, max_iter + 1):
-        # documents that already converged keep their ranks: only active ones flow
-        u = r.where((F.col("s") > 0) & ~F.col("done") if tol is not None else F.col("s") > 0) \
-            .select("doc_id", "idx", (F.col("rank") / F.col("s")).alias("u"))
-        v = w.join(u, ["doc_id", "idx"]).groupBy("doc_id", "term").agg(F.sum(F.col("w") * F.col("u")).alias("v"))
-        y = w.join(v, ["doc_id", "term"]).groupBy("doc_id", "idx").agg(F.sum(F.col("w") * F.col("v")).alias("y"))
-        dm = r.groupBy("doc_id").agg(F.sum(F.when(F.col("s") <= 0, F.col("rank")).otherwise(0.0)).alias("dm"))
-        nxt = (r.join(y, ["doc_id", "idx"], "left").join(dm, "doc_id")
-               .withColumn("new", (1.0 - alpha) / F.col("n")
-                           + alpha * (F.coalesce("y", F.lit(0.0)) + F.col("dm") / F.col("n"))))
-        if tol is None:
-            r = nxt.select("doc_id", "idx", "n", "s", F.col("new").alias("rank"), "done")
-        else:
-            err = nxt.groupBy("doc_id").agg(F.sum(F.abs(F.col("new") - F.col("rank"))).alias("err"))
-            nxt = nxt.join(err, "doc_id")
-            upd = ~F.col("done")
-            r = nxt.select("doc_id", "idx", "n", "s",
-                           F.when(upd, F.col("new")).otherwise(F.col("rank")).alias("rank"),
-                           (F.col("done") | (F.col("err") < F.col("n") * tol)).alias("done"))
-        if it % checkpoint_every == 0 or it == max_iter:
-            r = r.checkpoint(eager=True)
-            if tol is not None and r.where(~F.col("done")).limit(1).count() == 0:
-                break
-    return r.select("doc_id", F.col("idx").cast("int"), "rank", F.col("done").alias("converged"))
-
-
-def _route(df: DataFrame, text: str, max_group_rows: int, length_col: str | None = None):
-    """Split documents into (small, big) by their token count — a per-row,
-    narrow predicate.  A cheap early-stopping scan (a token needs >= 3 chars of
-    text) first checks whether any document can exceed the bound at all; with
-    ``length_col`` (a stored character count) the scan reads only that column."""
-    size = F.col(length_col) if length_col else F.length(text)
-    may_be_big = df.where((size + 1) / 3 > max_group_rows).limit(1).count() > 0
-    if not may_be_big:
-        return df, None
-    ntok = F.size(lower_tokens(text))
-    return df.where(ntok <= max_group_rows), df.where(ntok > max_group_rows)
+    ship_package(df.sparkSession)
+    docs = df.select(F.col(id_col).alias("doc_id"), clean_text(safe_text(text)).alias("_clean"))
+    docs = docs.withColumn("_sents", _kept_sentences("_clean", min_words))
+    return docs.withColumn("_toks", _tokens_of("_sents", stop_words))
 
 
 def textrank_scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_sentence_length: int = 5,
                     stop_words: list[str] | str | None = "english", alpha: float = ALPHA,
-                    max_iter: int = MAX_ITER, tol: float | None = TOL, max_group_rows: int = 200_000,
-                    length_col: str | None = None) -> DataFrame:
-    """C2 scores: ``(doc_id, idx, rank, converged)`` for every kept sentence.
+                    max_iter: int = MAX_ITER, tol: float | None = TOL) -> DataFrame:
+    """C2 scores: ``(doc_id, idx, rank, converged, n)`` for every kept sentence.
 
     ``tol=None`` runs exactly ``max_iter`` rounds (the fixed recipe used by the
     oracle); otherwise a document stops at ``Σ|Δr| < n·tol`` like the reference
-    library, and a document that never converges is flagged.
+    library, and a document that never converges is flagged.  A document is one row
+    from the scan to the result: no shuffle.
     """
     if isinstance(stop_words, str):
         stop_words = english_stop_words(df.sparkSession)
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"),
-                     *([F.col(length_col).alias("_len")] if length_col else []))
-    small, big = _route(docs, "_text", max_group_rows, "_len" if length_col else None)
-    out = _by_document(_grouped_inputs(small, min_sentence_length, stop_words, False),
-                       _textrank_partitions(alpha, max_iter, tol, None), RANK_SCHEMA)
-    if big is None:
-        return out
-    return out.unionByName(_big_scores(big, min_sentence_length, stop_words, alpha, max_iter, tol))
-
-
-def _big_scores(big: DataFrame, min_words: int, stop_words, alpha, max_iter, tol) -> DataFrame:
-    sents = sentences(big, "doc_id", "_text", min_words)
-    n = sentence_counts(sents)
-    w = tfidf(sents, stop_words, n)
-    return _pagerank_joins(w, sents.select("doc_id", "idx").join(n, "doc_id"), alpha, max_iter, tol)
-
-
-def top_k(ranks: DataFrame, k: int, salt: int = 16) -> DataFrame:
-    """The ``k`` best sentences per document by (rounded score desc, index asc).
-
-    Two-level top-k: ranked first inside (doc, idx mod ``salt``) groups, then over
-    at most ``k·salt`` candidates per document — exact, and no document is one
-    unbounded window group.
-    """
-    order = [F.col("score").desc(), F.col("idx").asc()]
-    c = ranks.withColumn("_b", F.col("idx") % salt)
-    c = c.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "_b").orderBy(*order))).where(
-        F.col("_r") <= k)
-    return (c.withColumn("_r2", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-            .where(F.col("_r2") <= k).drop("_b", "_r", "_r2"))
+    docs = _prepared(df, id_col, text, min_sentence_length, stop_words)
+    r = docs.select("doc_id", rank_column(F.col("_toks"), alpha, max_iter, tol).alias("r"))
+    return r.select("doc_id", F.posexplode("r.rank").alias("idx", "rank"), F.col("r.converged").alias("converged"),
+                    F.size("r.rank").alias("n"))
 
 
 def textrank_summarize(df: DataFrame, id_col: str = "doc_id", text: str = "text", num_sentences: int = 5,
                        min_sentence_length: int = 5, stop_words: list[str] | str | None = "english",
                        alpha: float = ALPHA, max_iter: int = MAX_ITER, tol: float | None = TOL,
-                       max_group_rows: int = 200_000, length_col: str | None = None) -> DataFrame:
+                       out: str = "summary", sep: str = " ") -> DataFrame:
     """``(doc_id, summary)`` — TextRank top-k in document order, with the
     reference's edge rules: no sentence -> first 500 chars + marker; fewer than k
-    -> all sentences; non-convergence / empty vocabulary -> document order.
-
-    Documents under the bound go through one shuffle (token, sentence and marker
-    rows grouped by doc_id) into a per-document numpy function that returns the
-    summary; larger ones use the distributed rounds and a two-level top-k."""
+    -> all sentences; non-convergence / empty vocabulary -> document order.  No shuffle."""
     if isinstance(stop_words, str):
         stop_words = english_stop_words(df.sparkSession)
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"),
-                     *([F.col(length_col).alias("_len")] if length_col else []))
-    small, big = _route(docs, "_text", max_group_rows, "_len" if length_col else None)
-    out = _by_document(_grouped_inputs(small, min_sentence_length, stop_words, True),
-                       _textrank_partitions(alpha, max_iter, tol, num_sentences), "doc_id long, summary string")
-    if big is None:
-        return out
-    sents = sentences(big, "doc_id", "_text", min_sentence_length)
-    ranks = _big_scores(big, min_sentence_length, stop_words, alpha, max_iter, tol)
-    scored = ranks.select("doc_id", "idx", F.when(F.col("converged"), F.round("rank", SCORE_DIGITS))
-                          .otherwise(F.lit(0.0)).alias("score"))
-    best = top_k(scored, num_sentences).join(sents, ["doc_id", "idx"])
-    picked = best.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "sentence"))), lambda s: s["sentence"]),
-                     " ").alias("summary"))
-    fallback = F.concat(F.substring(clean_text("_text"), 1, TRIM_CHARS), F.lit(TRIM_SUFFIX))
-    big_out = big.join(picked, "doc_id", "left").select("doc_id", F.coalesce("summary", fallback).alias("summary"))
-    return out.unionByName(big_out)
+    docs = _prepared(df, id_col, text, min_sentence_length, stop_words)
+    docs = docs.withColumn("_pick", pick_column(F.col("_toks"), num_sentences, alpha, max_iter, tol))
+    fallback = F.concat(F.substring("_clean", 1, TRIM_CHARS), F.lit(TRIM_SUFFIX))
+    picked = F.array_join(F.transform("_pick", lambda i: F.get("_sents", i)), sep)
+    return docs.select("doc_id", F.when(F.size("_sents") == 0, fallback).otherwise(picked).alias(out))

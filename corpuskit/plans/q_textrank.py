@@ -1,7 +1,7 @@
 """Catalog entries for TextRank and its parts.
 
 The oracle recipe (SURVEY Hard 1): no stop words, exactly 20 PageRank rounds,
-scores rounded to 6 places, ties broken by sentence index.  The DuckDB twin
+scores times the number of sentences rounded to 6 places, ties broken by sentence index.  The DuckDB twin
 unrolls the 20 rounds as materialized CTEs over the same factorised products.
 """
 
@@ -56,19 +56,17 @@ def _with(ctes) -> str:
 
 
 def _oracle_scores(spark, d):
-    docs = fx.table(spark, d, "documents").select("doc_id", "text", "n_chars")
-    return TR.textrank_scores(docs, "doc_id", "text", 5, stop_words=None, max_iter=ROUNDS, tol=None,
-                              length_col="n_chars")
+    return TR.textrank_scores(fx.documents(spark, d), "doc_id", "text", 5, stop_words=None, max_iter=ROUNDS, tol=None)
 
 
 @register("textrank_scores", _with(_BASE + _RANK) +
-          f"SELECT doc_id, idx, round(r, 6) AS score FROM r{ROUNDS}")
+          f"SELECT doc_id, idx, round(r * n, 6) AS score FROM r{ROUNDS}")
 def q_textrank_scores(spark, d):
-    return _oracle_scores(spark, d).select("doc_id", "idx", F.round("rank", 6).alias("score"))
+    return _oracle_scores(spark, d).select("doc_id", "idx", F.round(F.col("rank") * F.col("n"), 6).alias("score"))
 
 
 _SUMMARY_SQL = _with(_BASE + _RANK + [
-    ("rk", f"SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY round(r, 6) DESC, idx) AS pos "
+    ("rk", f"SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY round(r * n, 6) DESC, idx) AS pos "
            f"FROM r{ROUNDS}"),
     ("top", f"SELECT doc_id, string_agg(sentence, ' ' ORDER BY idx) AS summary FROM rk JOIN s0 USING (doc_id, idx) "
             f"WHERE pos <= {K} GROUP BY doc_id"),
@@ -78,9 +76,7 @@ _SUMMARY_SQL = _with(_BASE + _RANK + [
 
 @register("textrank_summary", _SUMMARY_SQL)
 def q_textrank_summary(spark, d):
-    docs = fx.table(spark, d, "documents").select("doc_id", "text", "n_chars")
-    return TR.textrank_summarize(docs, "doc_id", "text", K, 5, stop_words=None, max_iter=ROUNDS, tol=None,
-                                 length_col="n_chars")
+    return TR.textrank_summarize(fx.documents(spark, d), "doc_id", "text", K, 5, stop_words=None, max_iter=ROUNDS, tol=None)
 
 
 def _w(spark, d):

@@ -53,7 +53,33 @@ def test_lcs_bit_parallel():
 def test_generation_metrics_empty_is_zero(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, pred string, ref string")
     r = M.generation_metrics(df, ["conv_id", "turn"], "pred", "ref").collect()[0]
-    assert (r.rouge1, r.rouge2, r.gen_len, r.bleu, r.n_pairs) == (0.0, 0.0, 0.0, 0.0, 0)
+    assert (r.rouge1, r.rouge2, r.rougeL, r.gen_len, r.bleu, r.n_pairs) == (0.0, 0.0, 0.0, 0.0, 0.0, 0)
+
+
+def test_classification_metrics_empty_is_zero(spark):
+    df = spark.createDataFrame([], "label long, pred long")
+    assert tuple(M.classification_metrics(df, None).collect()[0]) == (0.0, 0.0, 0)
+
+
+def test_generation_metrics_means_and_roundings(spark):
+    rows = PAIR + [(2, 0, None, "a b"), (3, 0, "a b", None), (4, 0, "", ""), (5, 0, "x y z w v", "x y z w v")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, pred string, ref string")
+    ids = ["conv_id", "turn"]
+    r = M.generation_metrics(df, ids, "pred", "ref", rouge_digits=None, bleu_digits=None).collect()[0]
+    f = {n: [x.fmeasure for x in M.rouge_n(df, ids, "pred", "ref").where(f"n = {n}").collect()] for n in (1, 2)}
+    lcs = M.rouge_l(df, ids, "pred", "ref").collect()
+    bl = [x.bleu for x in M.bleu(df, ids, "pred", "ref").collect() if x.c > 0]
+    assert r.rouge1 == pytest.approx(100 * sum(f[1]) / 5) and r.rouge2 == pytest.approx(100 * sum(f[2]) / 5)
+    assert r.rougeL == pytest.approx(100 * sum(x.fmeasure for x in lcs) / 5) and {x.precision for x in lcs} >= {0.0, 1.0}
+    assert r.bleu == pytest.approx(100 * sum(bl) / len(bl)) and r.gen_len == pytest.approx((6 + 2 + 5) / 5)
+    rounded = M.generation_metrics(df, ids, "pred", "ref", rouge_digits=2, bleu_digits=2).collect()[0]
+    assert rounded.rougeL == round(r.rougeL, 2)
+
+
+def test_pair_scores_do_not_shuffle(spark):
+    df = spark.createDataFrame(PAIR, "conv_id long, turn long, pred string, ref string")
+    for out in (M.rouge_n(df, ["conv_id"], "pred", "ref"), M.rouge_l(df, ["conv_id"], "pred", "ref"), M.bleu(df, ["conv_id"], "pred", "ref")):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_softmax_golden(spark):

@@ -15,10 +15,14 @@ def _shuffles(plan: str) -> int:
     return len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", plan))
 
 
-def test_textrank_summary_is_one_shuffle(spark):
+def test_textrank_summary_does_not_shuffle(spark):
     p = _plan(E.queries()["textrank_summary"](spark, SF))
-    assert _shuffles(p) == 1, p
-    assert "MapInPandas" in p
+    assert "Exchange" not in p and "ArrowEvalPython" in p, p
+
+
+def test_generation_metrics_read_each_side_once(spark):
+    p = _plan(E.queries()["evaluate_generation"](spark, SF))
+    assert len(re.findall("Scan parquet", p)) == 2 and _shuffles(p) <= 3, p
 
 
 def test_profile_scan_prunes_text(spark):
