@@ -16,3 +16,11 @@ def let(value: Column, fn) -> Column:
     an expensive intermediate (a split text, a joined array) computed once.
     """
     return F.get(F.transform(F.array(value), fn), 0)
+
+
+def md5_bucket(id_col, seed: str | None = None, modulo: int = 100) -> Column:
+    """Deterministic bucket of an id: first 32 bits of md5(id‖seed) mod ``modulo``."""
+    key = to_col(id_col).cast("string")
+    if seed is not None:
+        key = F.concat(key, F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % modulo

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.common import let, to_col
 
-# The whitespace class, sentence terminators and marker text.
-WS = r"[ \t\n\r\f\x0B]"
-WS_CHARS = " \t\n\r\f\x0b"
+# The whitespace that ``str.split`` knows, sentence terminators and marker text.
+WS_CHARS = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[{WS_CHARS}]"
 SENT_END = r"([.!?])"
 SENT_MARK = "\u0001"
 TRIMMED_SUFFIX = "... (trimmed)"

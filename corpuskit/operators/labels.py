@@ -220,10 +220,19 @@ def task_mismatch(loaded_tasks: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def unsupported_task(df: DataFrame, supported: DataFrame, task: str = "task") -> DataFrame:
-    """Unknown task -> error text instead of an exception."""
-    s = checked_broadcast(supported.select(F.col("task").alias("_s")).distinct())
-    lst = ", ".join(sorted(r[0] for r in supported.select("task").distinct().limit(1000).collect()))
-    j = df.join(s, F.col(task) == F.col("_s"), "left")
-    err = F.when(F.col("_s").isNull(),
-                 F.concat(F.lit("Task '"), F.col(task), F.lit(f"' not supported. Supported tasks: [{lst}]")))
-    return j.withColumn("error", err).drop("_s")
+    """Unknown task -> error text instead of an exception.  The text lists all
+    supported tasks (one row, made by an aggregate and joined on a constant)."""
+    names = supported.select(F.col("task").alias("_s")).distinct()
+    listed = names.agg(F.array_join(F.sort_array(F.collect_list("_s")), ", ").alias("_all"), F.lit(1).alias("_one"))
+    j = df.join(checked_broadcast(names), F.col(task) == F.col("_s"), "left").withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one", "left")
+    err = F.when(F.col("_s").isNull(), F.concat(F.lit("Task '"), F.col(task), F.lit("' not supported. Supported tasks: ["), F.coalesce("_all", F.lit("")), F.lit("]")))
+    return j.withColumn("error", err).drop("_s", "_one", "_all")
+
+
+def check_task_counts(df: DataFrame, counts: DataFrame, task: str = "task_name") -> None:
+    """Raise when a task with rows has no label count, or more than one."""
+    c = counts.groupBy("task").agg(F.count("*").alias("n"))
+    bad = (df.select(F.col(task).alias("task")).distinct().join(c, "task", "left").where(F.coalesce(F.col("n"), F.lit(0)) != 1)
+           .agg(F.count("*").alias("k"), F.array_join(F.slice(F.sort_array(F.collect_list("task")), 1, 20), ", ").alias("names")).first())
+    if bad["k"]:
+        raise ValueError(f"{bad['k']} task(s) without exactly one label count: {bad['names']}")

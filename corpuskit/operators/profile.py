@@ -21,30 +21,27 @@ QUANTILES = (0.25, 0.5, 0.75)
 
 
 def rows_per_split(df: DataFrame, split_col: str = "split") -> DataFrame:
-    """A2: rows per split plus the total row (``split`` null)."""
-    return df.rollup(split_col).agg(F.count("*").alias("n_rows"))
+    """A2: rows per split plus the total row, told apart from a null split by ``is_total``."""
+    return df.rollup(split_col).agg(F.count("*").alias("n_rows"), (F.grouping_id() > 0).alias("is_total"))
 
 
 def sample_label_range(df: DataFrame, id_col: str, label: str, group: str, n: int = 1000) -> DataFrame:
     """A4: min / max label over the first ``n`` rows (by id) of each group."""
-    from corpuskit.operators.splits import cap_rows
-    capped = cap_rows(df.withColumn("_g", F.col(group)), {g: n for g in _groups(df, group)}, id_col, "_g")
-    return capped.groupBy(group).agg(F.min(label).alias("sample_min"), F.max(label).alias("sample_max"),
-                                     F.count("*").alias("sample_rows"))
-
-
-def _groups(df: DataFrame, group: str) -> list:
-    return [r[0] for r in df.select(group).distinct().limit(10_000).collect()]
+    from corpuskit.operators.splits import first_per_group
+    return first_per_group(df, n, id_col, group).groupBy(group).agg(
+        F.min(label).alias("sample_min"), F.max(label).alias("sample_max"), F.count("*").alias("sample_rows"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """Number of distinct values (containers compared by their string form)
-    and the sorted values when there are fewer than 20.  Only the first 20
+    and the sorted values when there are fewer than 20.  Null counts as a value and is
+    listed last, as ``None``.  Only the first 20
     sorted values are ever gathered (top-n), never the whole distinct set."""
-    s = df.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
+    s = df.select(F.col(column).cast("string").alias("v")).distinct()
     n = s.agg(F.count("*").alias("n_distinct")).withColumn("column", F.lit(column))
-    few = (s.orderBy("v").limit(LIST_VALUES_BELOW)
-           .agg(F.array_join(F.sort_array(F.collect_list("v")), "|").alias("_vals"))
+    few = (s.orderBy(F.col("v").asc_nulls_last()).limit(LIST_VALUES_BELOW)
+           .agg(F.array_join(F.concat(F.sort_array(F.collect_list("v")), F.when(F.count_if(F.col("v").isNull()) > 0, F.array(F.lit("None")))
+                                      .otherwise(F.array().cast("array<string>"))), "|").alias("_vals"))
            .withColumn("column", F.lit(column)))
     return (n.join(few, "column", "left")
             .select("column", "n_distinct",

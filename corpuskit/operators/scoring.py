@@ -8,6 +8,7 @@ built once per Python worker and applied per Arrow batch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -17,7 +18,8 @@ from pyspark.sql import types as T
 
 from corpuskit.functions.common import let, to_col
 from corpuskit.functions.postprocess import post_process_summary
-from corpuskit.functions.text import (clean_text, keep_long_sentences, split_sentences, word_count)
+from corpuskit.functions.text import clean_text, safe_text, word_count
+from corpuskit.operators import textrank
 
 # Texts the reference returns on failure.
 SUMMARY_ERROR = "Error: Could not generate summary."
@@ -62,22 +64,35 @@ _WORKER_MODELS: dict = {}
 
 
 def _model(key, factory):
-    # built once per Python worker process, reused for every batch and task
-    m = _WORKER_MODELS.get(key)
-    if m is None:
-        m = _WORKER_MODELS[key] = factory()
-    return m
+    # built once per Python worker process; a factory that fails is not tried again there
+    if key not in _WORKER_MODELS:
+        try:
+            _WORKER_MODELS[key] = (factory(), None)
+        except Exception as e:  # noqa: BLE001 — the failure becomes a value
+            _WORKER_MODELS[key] = (None, e)
+    model, failure = _WORKER_MODELS[key]
+    if failure is not None:
+        raise failure
+    return model
+
+
+def _scored(model, texts: pd.Series) -> list:
+    out = list(model(texts))
+    if len(out) != len(texts):
+        raise ValueError(f"the model gave {len(out)} results for {len(texts)} texts")
+    return out
 
 
 def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[pd.Series], pd.Series]]],
                      input_col: str, output_col: str = "output", output_type: str = "string",
                      sentinel=None, keep: Sequence[str] | None = None,
                      batch_rows: int | None = None, fallback_prefix: str | None = None) -> DataFrame:
-    """C3 + C4: run a caller-supplied batch scorer over the column, trying the next
-    factory when one fails; the result carries the back-end that answered and the
-    error text of a total failure instead of raising (X18) — the primary
-    back-end's error, as the reference reports it.  ``fallback_prefix`` (e.g.
-    ``FALLBACK_``) marks string outputs produced by a fall-back back-end.
+    """C3 + C4: run a caller-supplied batch scorer over the column.  A batch that fails is
+    tried again row by row, and a row that fails alone goes on to the next factory, so
+    every text falls back on its own whatever the batches are.  The result carries the
+    back-end that answered and, on total failure, the primary back-end's error text
+    instead of raising (X18).  ``fallback_prefix`` (e.g. ``FALLBACK_``) marks string
+    outputs (or the ``label`` field of a struct) of a fall-back back-end.
 
     Each factory returns ``fn(pd.Series) -> pd.Series``.  Rows stay where they are
     (``mapInPandas``): no shuffle; the model sees at most ``batch_rows`` rows per call.
@@ -88,7 +103,7 @@ def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[p
         + [T.StructField(output_col, T._parse_datatype_string(output_type), True),
            T.StructField("backend", T.StringType(), True),
            T.StructField("error", T.StringType(), True)])
-    keys = [f"{id(f)}:{getattr(f, '__qualname__', f)}" for f in factories]
+    token = uuid.uuid4().hex  # of this call: a worker never serves another call's model
     facts = list(factories)
 
     def chunks(batches):
@@ -101,27 +116,41 @@ def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[p
                 for start in range(0, len(pdf), batch_rows):
                     yield pdf.iloc[start:start + batch_rows]
 
+    def marked(v, i):
+        if i == 0 or fallback_prefix is None or v is None:
+            return v
+        return {**v, "label": f"{fallback_prefix}{v['label']}"} if isinstance(v, dict) else f"{fallback_prefix}{v}"
+
     def run(batches):
         for pdf in chunks(batches):
-            out = pdf[keep].copy()
-            result, backend, error = None, None, None
-            for i, (k, f) in enumerate(zip(keys, facts)):
-                try:
-                    result = _model(k, f)(pdf[input_col])
-                    backend = "primary" if i == 0 else f"fallback_{i}"
-                    if i > 0 and fallback_prefix is not None:
-                        result = [None if v is None else f"{fallback_prefix}{v}" for v in result]
+            n = len(pdf)
+            texts = pdf[input_col].reset_index(drop=True)
+            result, backend, error = [sentinel] * n, [None] * n, [None] * n
+            left = list(range(n))
+            for i, f in enumerate(facts):
+                if not left:
                     break
-                except Exception as e:  # noqa: BLE001 — the failure becomes a value
-                    error = error or f"{type(e).__name__}: {e}"
-            if result is None:
-                out[output_col] = sentinel
-                out["backend"] = None
-                out["error"] = error
-            else:
-                out[output_col] = list(result)
-                out["backend"] = backend
-                out["error"] = None
+                got, failed = {}, []
+                try:
+                    model = _model((token, i), f)
+                except Exception as e:  # noqa: BLE001
+                    failed = [(j, e) for j in left]
+                else:
+                    try:
+                        got = dict(zip(left, _scored(model, texts.iloc[left])))
+                    except Exception:  # noqa: BLE001
+                        for j in left:
+                            try:
+                                got[j] = _scored(model, texts.iloc[[j]])[0]
+                            except Exception as e:  # noqa: BLE001
+                                failed.append((j, e))
+                for j, v in got.items():
+                    result[j], backend[j], error[j] = marked(v, i), "primary" if i == 0 else f"fallback_{i}", None
+                for j, e in failed:
+                    error[j] = error[j] or f"{type(e).__name__}: {e}"
+                left = [j for j, _ in failed]
+            out = pdf[keep].copy()
+            out[output_col], out["backend"], out["error"] = result, backend, error
             yield out
 
     from corpuskit.session import ship_package
@@ -132,15 +161,6 @@ def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[p
 
 # -- default deterministic back-ends (native expressions) ------------------
 
-def lead_summary(text, k: int = 3, min_words: int = 0, is_clean: bool = False) -> Column:
-    """Extractive lead summary: the first ``k`` sentences of the cleaned text,
-    joined with ``<n>`` (the line tag the post-processor expects)."""
-    s = split_sentences(to_col(text) if is_clean else clean_text(text))
-    if min_words:
-        s = keep_long_sentences(s, min_words)
-    return F.array_join(F.slice(s, 1, k), "<n>")
-
-
 def length_logits(text, is_clean: bool = False) -> Column:
     """Default classifier back-end: two logits from the word-length profile
     (share of words up to 4 chars vs. longer words), scaled by 4."""
@@ -157,12 +177,13 @@ def dictionary_simplify(df: DataFrame, id_col: str, text: str, terms: DataFrame,
     """C14: replace dictionary terms word by word (case-insensitive match on the
     lower-cased word); other words are kept.
 
-    Tokens are exploded, left-joined to the term table and re-assembled in
-    position order.  The term table is broadcast only after its size check; a
-    document is rebuilt from its own tokens only.
+    A term given more than once means its smallest plain word.  A dictionary of at
+    most INLINE_TERMS_MAX terms is looked up in place; a longer one is joined to the
+    exploded words (broadcast only after its size check), with the same result.
     """
     from corpuskit.operators.labels import checked_broadcast
-    small = terms.select("term", "plain").limit(INLINE_TERMS_MAX + 1).collect()
+    terms = terms.where(F.col("term").isNotNull() & F.col("plain").isNotNull()).groupBy("term").agg(F.min("plain").alias("plain"))
+    small = terms.limit(INLINE_TERMS_MAX + 1).collect()
     if len(small) <= INLINE_TERMS_MAX:
         # proven-small dictionary: inline it as a map literal, no shuffle at all
         return df.withColumn(out, dictionary_simplify_col(text, {r.term: r.plain for r in small}))
@@ -185,33 +206,56 @@ def dictionary_simplify_col(text, terms: dict[str, str]) -> Column:
 
 def process_document(df: DataFrame, id_col: str = "doc_id", text: str = "text", task: str = "scotus",
                      dim: DataFrame | None = None, terms: dict[str, str] | None = None,
-                     summary_sentences: int = 3) -> DataFrame:
+                     classifiers: Sequence[Callable] | None = None, summarizers: Sequence[Callable] | None = None,
+                     simplifiers: Sequence[Callable] | None = None, batch_rows: int | None = None,
+                     num_sentences: int = 5, min_sentence_length: int = 5, stop_words: list[str] | str | None = "english",
+                     max_iter: int = textrank.MAX_ITER, tol: float | None = textrank.TOL) -> DataFrame:
     """Classify -> summarize -> post-process -> simplify the *summary* -> record.
 
-    Default back-ends are native expressions (length logits, lead summary,
-    dictionary simplifier), so the chain is one narrow projection: no shuffle
-    except the small label-dimension join, no action in between.
+    ``classifiers`` / ``summarizers`` / ``simplifiers``: model factories as in
+    ``score_with_model``, the later ones fall-backs (a classifier gives a dict of
+    ``label`` and ``score``).  A text that all classifiers fail on has no label, and the
+    first one's ``error``; summaries and simplifications that fail are the fixed texts.
+    Without factories the defaults are native: length logits, TextRank over the whole
+    text, and the dictionary ``terms``.  No shuffle but the label-dimension join.
     """
-    from corpuskit.plans.fixtures import PLAIN_TERMS
-    terms = terms or dict(PLAIN_TERMS)
+    if simplifiers is None and terms is None:
+        raise ValueError("give simplifiers or a dictionary of terms")
+    if isinstance(stop_words, str):
+        stop_words = textrank.english_stop_words(df.sparkSession)
     # the cleaned text feeds both back-ends: computed once in its own projection
-    base = (df.select(id_col, clean_text(text).alias("_clean"))
-            .withColumn("_logits", length_logits("_clean", is_clean=True)))
-    c = classify(base, "_logits", task, dim)
-    summary = post_process_summary(lead_summary("_clean", summary_sentences, is_clean=True))
-    res = c.withColumn("summary", summary).withColumn(
-        "simplified_summary", dictionary_simplify_col("summary", terms))
-    return res.select(
-        id_col, "task", "predicted_label_id", "predicted_label_name", "confidence", "summary",
+    c = df.select(id_col, F.col(text).alias("_text"), clean_text(safe_text(text)).alias("_clean"))
+    if classifiers is None:
+        c = classify(c.withColumn("_logits", length_logits("_clean", is_clean=True)), "_logits", task, dim)
+        c = c.withColumn("error", F.lit(None).cast("string")).drop("_logits")
+    else:
+        c = score_with_model(c, classifiers, "_text", "_class", "struct<label:string,score:double>", batch_rows=batch_rows, fallback_prefix=FALLBACK_PREFIX)
+        c = c.withColumns({"task": F.lit(task), "predicted_label_id": F.lit(None).cast("bigint"),
+                           "predicted_label_name": F.col("_class.label"), "confidence": F.col("_class.score")}).drop("_class", "backend")
+    c = c.withColumnRenamed("error", "_error")
+    if summarizers is None:
+        c = textrank.with_summary(c, "_clean", "_raw", num_sentences, min_sentence_length, stop_words, max_iter=max_iter, tol=tol, sep="<n>")
+    else:
+        c = score_with_model(c, summarizers, "_text", "_raw", sentinel=SUMMARY_ERROR, batch_rows=batch_rows).drop("backend", "error")
+    c = c.withColumn("summary", F.when(F.col("_raw") == SUMMARY_ERROR, F.col("_raw")).otherwise(post_process_summary("_raw"))).drop("_raw", "_text", "_clean")
+    if simplifiers is None:
+        c = c.withColumn("simplified_summary", dictionary_simplify_col("summary", terms))
+    else:
+        c = score_with_model(c, simplifiers, "summary", "simplified_summary", sentinel=SIMPLIFY_ERROR, batch_rows=batch_rows).drop("backend", "error")
+    return c.select(
+        id_col, "task", "predicted_label_id", "predicted_label_name", "confidence", F.col("_error").alias("error"), "summary",
         "simplified_summary", word_count("summary").alias("summary_words"),
         word_count("simplified_summary").alias("simplified_words"))
 
 
+# The lines of the report.
+REPORT_TITLE = "=== LEGAL DOCUMENT ANALYSIS ==="
+
+
 def report_text(df: DataFrame) -> Column:
-    """The text report of one pipeline result."""
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("Classification: "), F.col("predicted_label_name"),
-                 F.lit(" (confidence: "), F.format_string("%.4f", F.col("confidence")), F.lit(")")),
-        F.concat(F.lit("Summary: "), F.col("summary")),
-        F.concat(F.lit("Simplified: "), F.col("simplified_summary")))
+    """The text report of one pipeline result; a failed classification reads ``Error`` and 0."""
+    return F.concat(
+        F.lit(REPORT_TITLE + "\n\nCLASSIFICATION: "), F.coalesce(F.col("predicted_label_name"), F.lit("Error")),
+        F.lit("\nConfidence: "), F.format_string("%.4f", F.coalesce(F.col("confidence"), F.lit(0.0))),
+        F.lit("\n\nSUMMARY:\n"), F.coalesce(F.col("summary"), F.lit("")),
+        F.lit("\n\nSIMPLIFIED SUMMARY:\n"), F.coalesce(F.col("simplified_summary"), F.lit("")))

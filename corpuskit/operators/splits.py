@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from corpuskit.plans.fixtures import md5_bucket
+from corpuskit.functions.common import md5_bucket
 
 # Per-task side tables (bounds, bucket starts, offsets) are broadcast only while
 # the number of tasks stays under this bound; beyond it they are joined normally.
@@ -33,31 +33,35 @@ def hash_order(id_col: str, seed) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
+HASH_RANGE = 1 << 32
+
+
 def hash_split(df: DataFrame, id_col: str, ratios: dict[str, float], seed=42,
                out: str = "split") -> DataFrame:
-    """bucket = first 32 bits of md5(id‖seed) mod 100; cumulative ratios pick
-    the split.  Narrow: no shuffle, no action."""
-    b = md5_bucket(id_col, seed)
+    """The first 32 bits of md5(id‖seed) against the cumulative ratios times 2^32;
+    the last split takes the rest.  Narrow: no shuffle, no action."""
+    b = md5_bucket(id_col, seed, HASH_RANGE)
     acc, expr = 0.0, None
-    names = list(ratios)
-    for i, name in enumerate(names):
-        acc += ratios[name] * 100
-        if i == len(names) - 1:
-            expr = F.lit(name) if expr is None else expr.otherwise(F.lit(name))
-        else:
-            expr = (F.when(b < round(acc), F.lit(name)) if expr is None
-                    else expr.when(b < round(acc), F.lit(name)))
-    return df.withColumn(out, expr)
+    *firsts, last = ratios
+    for name in firsts:
+        acc += ratios[name]
+        hit = b < round(acc * HASH_RANGE)
+        expr = F.when(hit, F.lit(name)) if expr is None else expr.when(hit, F.lit(name))
+    return df.withColumn(out, F.lit(last) if expr is None else expr.otherwise(F.lit(last)))
+
+
+def _has(df: DataFrame, split_col: str, names: list[str]) -> dict[str, bool]:
+    """Which of the named splits have rows: one aggregate, whatever the number of splits."""
+    r = df.agg(*[F.coalesce(F.bool_or(F.col(split_col) == n), F.lit(False)).alias(n) for n in names]).first()
+    return r.asDict()
 
 
 def split_missing_validation(df: DataFrame, id_col: str, seed=42, split_col: str = "split") -> DataFrame:
     """L3: if no ``validation`` split exists, carve 20 % of ``train`` (or of ``test``
     when only ``test`` exists) as validation, deterministically."""
-    present = {r[0] for r in df.select(split_col).distinct().limit(100).collect()}
-    if "validation" in present:
-        return df
-    source = "train" if "train" in present else ("test" if "test" in present else None)
-    if source is None:
+    have = _has(df, split_col, ["train", "validation", "test"])
+    source = "train" if have["train"] else ("test" if have["test"] else None)
+    if have["validation"] or source is None:
         return df
     b = md5_bucket(id_col, seed)
     return df.withColumn(split_col, F.when((F.col(split_col) == source) & (b >= 80), F.lit("validation"))
@@ -75,8 +79,7 @@ def three_way_split(df: DataFrame, id_col: str, seed=42, out: str = "split") ->
 def ensure_splits(df: DataFrame, id_col: str, seed=42, split_col: str = "split") -> DataFrame:
     """L6 + U1: keep the given splits if train, validation and test all exist;
     otherwise union everything and re-split 80/10/10."""
-    present = {r[0] for r in df.select(split_col).distinct().limit(100).collect()}
-    if {"train", "validation", "test"} <= present:
+    if all(_has(df, split_col, ["train", "validation", "test"]).values()):
         return df
     return three_way_split(df.drop(split_col), id_col, seed, split_col)
 
@@ -88,6 +91,16 @@ def first_n(df: DataFrame, n: int, id_col: str, split_col: str | None = None, sp
     return df.orderBy(id_col).limit(n)
 
 
+def first_per_group(df: DataFrame, n: int, id_col: str, group: str, salt_buckets: int = 64) -> DataFrame:
+    """The first ``n`` rows by id of every group, however many groups there are (the two
+    levels of ``cap_rows``, with one bound for all)."""
+    sb = F.abs(F.xxhash64(F.col(id_col))) % salt_buckets
+    level1 = (df.withColumn("_sb", sb).withColumn("_r", F.row_number().over(Window.partitionBy(group, "_sb").orderBy(id_col)))
+              .where(F.col("_r") <= n).drop("_sb"))
+    return (level1.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(id_col)))
+            .where(F.col("_r") <= n).drop("_r"))
+
+
 def cap_rows(df: DataFrame, caps: dict[str, int], id_col: str, split_col: str = "split",
              salt_buckets: int = 64) -> DataFrame:
     """L2: keep the first ``caps[split]`` rows of each split by id.

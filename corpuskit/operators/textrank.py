@@ -215,17 +215,26 @@ def textrank_scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", m
                     F.size("r.rank").alias("n"))
 
 
+def with_summary(df: DataFrame, clean: str, out: str, num_sentences: int = 5, min_sentence_length: int = 5, stop_words: list[str] | None = None,
+                 alpha: float = ALPHA, max_iter: int = MAX_ITER, tol: float | None = TOL, sep: str = " ") -> DataFrame:
+    """``df`` with the TextRank summary of its cleaned text column ``clean``; rows stay where they are."""
+    from corpuskit.session import ship_package
+    ship_package(df.sparkSession)
+    d = df.withColumn("_sents", _kept_sentences(F.col(clean), min_sentence_length))
+    d = d.withColumn("_toks", _tokens_of(F.col("_sents"), stop_words))
+    d = d.withColumn("_pick", pick_column(F.col("_toks"), num_sentences, alpha, max_iter, tol))
+    fallback = F.concat(F.substring(clean, 1, TRIM_CHARS), F.lit(TRIM_SUFFIX))
+    picked = F.array_join(F.transform("_pick", lambda i: F.get("_sents", i)), sep)
+    return d.withColumn(out, F.when(F.size("_sents") == 0, fallback).otherwise(picked)).drop("_sents", "_toks", "_pick")
+
+
 def textrank_summarize(df: DataFrame, id_col: str = "doc_id", text: str = "text", num_sentences: int = 5,
                        min_sentence_length: int = 5, stop_words: list[str] | str | None = "english",
-                       alpha: float = ALPHA, max_iter: int = MAX_ITER, tol: float | None = TOL,
-                       out: str = "summary", sep: str = " ") -> DataFrame:
+                       alpha: float = ALPHA, max_iter: int = MAX_ITER, tol: float | None = TOL) -> DataFrame:
     """``(doc_id, summary)`` — TextRank top-k in document order, with the
     reference's edge rules: no sentence -> first 500 chars + marker; fewer than k
     -> all sentences; non-convergence / empty vocabulary -> document order.  No shuffle."""
     if isinstance(stop_words, str):
         stop_words = english_stop_words(df.sparkSession)
-    docs = _prepared(df, id_col, text, min_sentence_length, stop_words)
-    docs = docs.withColumn("_pick", pick_column(F.col("_toks"), num_sentences, alpha, max_iter, tol))
-    fallback = F.concat(F.substring("_clean", 1, TRIM_CHARS), F.lit(TRIM_SUFFIX))
-    picked = F.array_join(F.transform("_pick", lambda i: F.get("_sents", i)), sep)
-    return docs.select("doc_id", F.when(F.size("_sents") == 0, fallback).otherwise(picked).alias(out))
+    docs = df.select(F.col(id_col).alias("doc_id"), clean_text(safe_text(text)).alias("_clean"))
+    return with_summary(docs, "_clean", "summary", num_sentences, min_sentence_length, stop_words, alpha, max_iter, tol).select("doc_id", "summary")

@@ -7,7 +7,7 @@ of every text rule without sharing an engine.
 
 from __future__ import annotations
 
-WS = r"[ \t\n\r\f\x0B]"
+from corpuskit.functions.text import WS
 
 
 def strip(x: str) -> str:

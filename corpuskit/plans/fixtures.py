@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskit.functions.common import md5_bucket
 from corpuskit.functions.text import clean_text, split_sentences
 
 # Split buckets (train < 80 <= validation < 90 <= test).
@@ -21,14 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def md5_bucket(id_col, seed: str | None = None, modulo: int = 100) -> Column:
-    """Deterministic bucket of an id: first 32 bits of md5(id[‖seed]) mod ``modulo``."""
-    key = F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")
-    if seed is not None:
-        key = F.concat(key, F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % modulo
-
-
 def split_of(id_col="doc_id") -> Column:
     b = md5_bucket(id_col)
     return (F.when(b < TRAIN_CUT, "train").when(b < VALIDATION_CUT, "validation")
@@ -92,7 +85,7 @@ def v_turk(spark, d) -> DataFrame:
 
 def v_logits(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", F.slice("embedding", 1, 10).cast("array<double>").alias("logits"),
+    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("logits"),
                     F.col("label").cast("bigint").alias("label"))
 
 
@@ -167,7 +160,7 @@ DUCK_VIEWS = {
     "v_turk": "SELECT conv_id, arg_min(text, turn) AS original, "
               "coalesce(list(text ORDER BY turn) FILTER (WHERE role = 'assistant'), []::VARCHAR[]) "
               "AS simplifications FROM conversations GROUP BY conv_id",
-    "v_logits": "SELECT vec_id, embedding[1:10]::DOUBLE[] AS logits, label::BIGINT AS label FROM embeddings",
+    "v_logits": "SELECT vec_id, embedding::DOUBLE[] AS logits, label::BIGINT AS label FROM embeddings",
 }
 
 

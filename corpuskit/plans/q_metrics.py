@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuskit.operators import metrics as M
-from corpuskit.operators.scoring import argmax, classify, lead_summary, length_logits
+from corpuskit.operators.scoring import argmax, classify, length_logits
+from corpuskit.functions.text import clean_text
 from corpuskit.functions.postprocess import post_process_summary
 from corpuskit.plans import duck as D
 from corpuskit.plans import fixtures as fx
@@ -124,12 +125,12 @@ def q_evaluate_generation(spark, d):
 
 
 @register("pred_ref_join", fx.duck_with("v_pairs") +
-          "SELECT p.conv_id, p.turn, " + D.post_process_summary(
-              f"array_to_string({D.split_sentences(D.clean_text('p.pred'))}[1:3], '<n>')") +
+          "SELECT p.conv_id, p.turn, " + D.post_process_summary(f"replace({D.clean_text('p.pred')}, '. ', '.<n>')") +
           " AS prediction, r.ref AS reference FROM v_pairs p JOIN v_pairs r USING (conv_id, turn)")
 def q_pred_ref_join(spark, d):
+    """J2 over whole texts: every sentence of a turn on its own line, post-processed, with its reference."""
     p = _pairs(spark, d)
-    preds = p.select(*IDS, post_process_summary(lead_summary("pred", 3)).alias("prediction"))
+    preds = p.select(*IDS, post_process_summary(F.replace(clean_text("pred"), F.lit(". "), F.lit(".<n>"))).alias("prediction"))
     refs = p.select(*IDS, F.col("ref").alias("reference"))
     return M.pred_ref_join(preds, refs, IDS)
 

@@ -8,6 +8,7 @@ from corpuskit.operators import profile as PR
 from corpuskit.operators import train as TRN
 from corpuskit.operators.scoring import process_document
 from corpuskit.plans import fixtures as fx
+from corpuskit.plans import q_scoring as SQ
 from corpuskit.plans.catalog import register
 from corpuskit.plans.q_labels import DUCK_DATA_DIM, _data_dimension, std, std4, with_std
 from corpuskit.session import scratch_dir
@@ -26,8 +27,8 @@ def q_sample_label_range(spark, d):
 
 def _dv_sql(col: str, src: str = "documents") -> str:
     return (f"SELECT '{col}' AS column, count(*) AS n_distinct, CASE WHEN count(*) < 20 THEN "
-            f"array_to_string(list_sort(list(v)), '|') END AS values FROM (SELECT DISTINCT {col}::VARCHAR AS v "
-            f"FROM {src} WHERE {col} IS NOT NULL)")
+            f"array_to_string(list_transform(list_sort(list(v), 'ASC', 'NULLS LAST'), lambda x: coalesce(x, 'None')), '|') END AS values "
+            f"FROM (SELECT DISTINCT {col}::VARCHAR AS v FROM {src})")
 
 
 @register("distinct_values", fx.duck_with("v_unfair") + _dv_sql("lang") + " UNION ALL " + _dv_sql("source") +
@@ -59,10 +60,10 @@ def _describe_str(col: str) -> str:
 
 
 @register("describe_columns", " UNION ALL ".join([_describe_num("n_chars"), _describe_num("doc_id"),
-                                                 _describe_str("lang"), _describe_str("source")]))
+                                                 _describe_str("lang"), _describe_str("source"), _describe_str("text")]))
 def q_describe_columns(spark, d):
     docs = fx.table(spark, d, "documents")
-    return PR.describe_columns(docs, ["n_chars", "doc_id", "lang", "source"])
+    return PR.describe_columns(docs)
 
 
 @register("profile_column",
@@ -97,21 +98,22 @@ def q_train_single_eval(spark, d):
 
 # -- streaming (rows-only) ----------------------------------------------------
 
-@register("stream_documents", None)
+@register("stream_documents", SQ._with(SQ._PROC_CTES) + SQ._record_sql())
 def q_stream_documents(spark, d):
     from corpuskit.operators.labels import label_dimension
     schema = fx.table(spark, d, "documents").schema
     dim = label_dimension(fx.label_names_df(spark))
     sink = scratch_dir(spark, "stream-sink")
     ck = scratch_dir(spark, "stream-ckpt")
-    ST.stream_documents(spark, d, schema, lambda s: process_document(s, "doc_id", "text", "scotus", dim), sink, ck)
-    return spark.read.parquet(sink)
+    ST.stream_documents(spark, d, schema, lambda s: process_document(s, "doc_id", "text", "scotus", dim, dict(fx.PLAIN_TERMS), **SQ._RECIPE), sink, ck)
+    return spark.read.parquet(sink).withColumn("confidence", F.round("confidence", 6))
 
 
-@register("incremental_standardize", None)
+@register("incremental_standardize", fx.duck_with("v_scotus") +
+          "SELECT doc_id, split, text AS input_text, label AS input_label, 'scotus' AS task_name FROM v_scotus")
 def q_incremental_standardize(spark, d):
     schema = fx.table(spark, d, "documents").schema
     target = scratch_dir(spark, "std-target")
     ck = scratch_dir(spark, "std-ckpt")
-    ST.incremental_standardize(spark, d, schema, fx.table(spark, d, "labels"), target, ck)
-    return spark.read.parquet(target)
+    ST.incremental_standardize(spark, d, schema, fx.table(spark, d, "labels"), target, ck, fx.split_of())
+    return ST.standardized_rows(spark, target)

@@ -10,6 +10,7 @@ from corpuskit.operators import labels as L
 from corpuskit.operators import scoring as SC
 from corpuskit.plans import duck as D
 from corpuskit.plans import fixtures as fx
+from corpuskit.plans import q_textrank as TQ
 from corpuskit.plans.catalog import register
 from corpuskit.plans.q_metrics import _duck_length_logits
 
@@ -54,44 +55,53 @@ def _duck_dict_simplify(x: str) -> str:
             f"lambda w: coalesce(CASE lower(w) {cases} END, w)), ' ')")
 
 
-def _duck_process(src="documents"):
-    summary = D.post_process_summary(f"array_to_string({D.split_sentences(D.clean_text('text'))}[1:3], '<n>')")
-    return (f"SELECT doc_id, 'scotus' AS task, {_duck_length_logits('text')} AS logits, {summary} AS summary FROM {src}")
+# the summary of the whole text: TextRank by the oracle recipe, line tags, post-processing
+_RANKED = dict(TQ.BASE + TQ.RANK)
+_RANKED["rk"] = (f"SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY round(r * n, 6) DESC, idx) AS pos FROM r{TQ.ROUNDS}")
+_RANKED["top"] = (f"SELECT doc_id, string_agg(sentence, '<n>' ORDER BY idx) AS summary FROM rk JOIN s0 USING (doc_id, idx) WHERE pos <= {TQ.K} GROUP BY doc_id")
+_RANKED["raw"] = ("SELECT doc_id, text, CASE WHEN top.summary IS NULL THEN left(" + D.clean_text("text") +
+                  ", 500) || '... (trimmed)' ELSE top.summary END AS raw FROM documents LEFT JOIN top USING (doc_id)")
 
 
 _PROC_CTES = {
+    **_RANKED,
     **_DIM,
-    "base": _duck_process(),
+    "base": f"SELECT doc_id, 'scotus' AS task, {_duck_length_logits('text')} AS logits, {D.post_process_summary('raw')} AS summary FROM raw",
     "sm": f"SELECT doc_id, task, summary, {_SOFTMAX} AS p FROM base",
     "q": "SELECT doc_id, task, summary, (list_position(p, list_max(p)) - 1)::BIGINT AS pid, list_max(p) AS conf FROM sm",
-    "rec": f"SELECT q.doc_id, q.task, q.pid AS predicted_label_id, {_LOOKUP} AS predicted_label_name, "
+    "rec": f"SELECT q.doc_id, q.task, q.pid AS predicted_label_id, {_LOOKUP} AS predicted_label_name, NULL::VARCHAR AS error, "
            f"q.conf AS confidence, q.summary, {_duck_dict_simplify('q.summary')} AS simplified_summary "
            "FROM q LEFT JOIN dim ON dim.task = q.task AND dim.label_id = q.pid",
 }
+_RECIPE = {"stop_words": None, "max_iter": TQ.ROUNDS, "tol": None}
 
 
 def _with(ctes):
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + "\n"
+    return "WITH " + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in ctes.items()) + "\n"
 
 
-def _process(spark, d):
+def _process(spark, d, **options):
     dim = L.label_dimension(fx.label_names_df(spark))
-    return SC.process_document(fx.documents(spark, d), "doc_id", "text", "scotus", dim)
+    return SC.process_document(fx.documents(spark, d), "doc_id", "text", "scotus", dim, dict(fx.PLAIN_TERMS), **(_RECIPE | options))
 
 
-@register("process_document", _with(_PROC_CTES) +
-          "SELECT doc_id, task, predicted_label_id, predicted_label_name, round(confidence, 6) AS confidence, summary, "
-          f"simplified_summary, {D.word_count('summary')} AS summary_words, "
-          f"{D.word_count('simplified_summary')} AS simplified_words FROM rec")
+def _record_sql(src="rec"):
+    return ("SELECT doc_id, task, predicted_label_id, predicted_label_name, round(confidence, 6) AS confidence, error, summary, "
+            f"simplified_summary, {D.word_count('summary')} AS summary_words, {D.word_count('simplified_summary')} AS simplified_words FROM {src}")
+
+
+def _report_sql(src="rec"):
+    return ("SELECT doc_id, '=== LEGAL DOCUMENT ANALYSIS ===' || chr(10) || chr(10) || 'CLASSIFICATION: ' || coalesce(predicted_label_name, 'Error') "
+            "|| chr(10) || 'Confidence: ' || printf('%.4f', coalesce(confidence, 0)) || chr(10) || chr(10) || 'SUMMARY:' || chr(10) || summary "
+            f"|| chr(10) || chr(10) || 'SIMPLIFIED SUMMARY:' || chr(10) || simplified_summary AS report FROM {src}")
+
+
+@register("process_document", _with(_PROC_CTES) + _record_sql())
 def q_process_document(spark, d):
-    r = _process(spark, d)
-    return r.withColumn("confidence", F.round("confidence", 6))
+    return _process(spark, d).withColumn("confidence", F.round("confidence", 6))
 
 
-@register("report_text", _with(_PROC_CTES) +
-          "SELECT doc_id, 'Classification: ' || predicted_label_name || ' (confidence: ' || printf('%.4f', confidence) "
-          "|| ')' || chr(10) || 'Summary: ' || summary || chr(10) || 'Simplified: ' || simplified_summary AS report "
-          "FROM rec")
+@register("report_text", _with(_PROC_CTES) + _report_sql())
 def q_report_text(spark, d):
     r = _process(spark, d)
     return r.select("doc_id", SC.report_text(r).alias("report"))
@@ -104,6 +114,34 @@ def q_output_lengths(spark, d):
     return _process(spark, d).select("doc_id", "summary_words", "simplified_words")
 
 
+_FAILED = {"rec": "SELECT doc_id, 'scotus' AS task, NULL::BIGINT AS predicted_label_id, NULL::VARCHAR AS predicted_label_name, NULL::DOUBLE AS confidence, "
+                  f"'RuntimeError: model weights unavailable' AS error, '{SC.SUMMARY_ERROR}' AS summary, '{SC.SIMPLIFY_ERROR}' AS simplified_summary FROM documents"}
+
+
+@register("process_document_failures", _with(_FAILED) + _record_sql())
+def q_process_document_failures(spark, d):
+    """All back-ends fail: an error record, not an exception."""
+    return _process(spark, d, classifiers=[_broken_model], summarizers=[_broken_model], simplifiers=[_broken_model])
+
+
+_FALLBACKS = {"rec": "SELECT doc_id, 'scotus' AS task, NULL::BIGINT AS predicted_label_id, 'FALLBACK_LABEL_' || (n > 100)::INT AS predicted_label_name, "
+                     "n / (n + 1) AS confidence, NULL::VARCHAR AS error, text AS summary, text AS simplified_summary FROM "
+                     f"(SELECT doc_id, 'about ' || n::VARCHAR || ' words.' AS text, n FROM (SELECT doc_id, {D.word_count('text')} AS n FROM documents))"}
+
+
+@register("process_document_models", _with(_FALLBACKS) + _record_sql())
+def q_process_document_models(spark, d):
+    """Caller-supplied back-ends: a broken classifier with a fall-back, a summarizer, a simplifier."""
+    r = _process(spark, d, classifiers=[_broken_model, _scored_label_model], summarizers=[_word_count_model], simplifiers=[_same_model])
+    return r.withColumn("confidence", F.round("confidence", 6))
+
+
+@register("report_text_failures", _with(_FAILED) + _report_sql())
+def q_report_text_failures(spark, d):
+    r = _process(spark, d, classifiers=[_broken_model], summarizers=[_broken_model], simplifiers=[_broken_model])
+    return r.select("doc_id", SC.report_text(r).alias("report"))
+
+
 @register("dictionary_simplify",
           f"SELECT doc_id, {_duck_dict_simplify('text')} AS simplified FROM documents")
 def q_dictionary_simplify(spark, d):
@@ -135,7 +173,24 @@ def _label_model():
     return score
 
 
-@register("score_with_model", None)
+def _scored_label_model():
+    def score(texts: pd.Series) -> list:
+        n = [len((t or "").split()) for t in texts]
+        return [{"label": f"LABEL_{int(k > 100)}", "score": k / (k + 1)} for k in n]
+    return score
+
+
+def _word_count_model():
+    return lambda texts: texts.map(lambda t: f"about {len((t or '').split())} words.")
+
+
+def _same_model():
+    return lambda texts: texts
+
+
+@register("score_with_model", "SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_filter(w, lambda x: upper(left(x, 1)) = left(x, 1) "
+          "AND lower(left(x, 1)) <> left(x, 1))) / len(w) END AS capital_share, 'fallback_1' AS backend, NULL::VARCHAR AS error "
+          f"FROM (SELECT doc_id, {D.words('text')} AS w FROM documents)")
 def q_score_with_model(spark, d):
     docs = fx.documents(spark, d)
     return SC.score_with_model(docs, [_broken_model, _keyword_model], "text", "capital_share", "double",

@@ -36,9 +36,10 @@ def q_split_fallback(spark, d):
 
 
 @register("rows_per_split", with_std(std4_needed=True) +
-          "SELECT split, count(*) AS n_rows FROM std4 GROUP BY ROLLUP (split)")
+          "SELECT split, count(*) AS n_rows, grouping(split) > 0 AS is_total FROM std4 GROUP BY ROLLUP (split)")
 def q_rows_per_split(spark, d):
-    return std4(spark, d).rollup("split").agg(F.count("*").alias("n_rows"))
+    from corpuskit.operators.profile import rows_per_split
+    return rows_per_split(std4(spark, d))
 
 
 @register("first_n", fx.duck_with("v_scotus") +
@@ -67,6 +68,12 @@ _THREE = (f"CASE WHEN {fx.duck_bucket('{c}', str(SEED))} < 80 THEN 'train' "
           f"WHEN {fx.duck_bucket('{c}', str(SEED) + 'b')} < 50 THEN 'validation' ELSE 'test' END")
 
 
+@register("hash_split", "SELECT doc_id, CASE WHEN h < round(0.805 * 4294967296) THEN 'train' WHEN h < round(0.9 * 4294967296) THEN 'validation' "
+          "ELSE 'test' END AS split FROM (SELECT doc_id, ('0x'||substr(md5(doc_id::VARCHAR || '7'),1,8))::BIGINT AS h FROM documents)")
+def q_hash_split_exact(spark, d):
+    return S.hash_split(fx.documents(spark, d), "doc_id", {"train": 0.805, "validation": 0.095, "test": 0.1}, 7).select("doc_id", "split")
+
+
 @register("hash_split_80_10_10", f"SELECT doc_id, {_THREE.format(c='doc_id')} AS split FROM documents")
 def q_hash_split(spark, d):
     return S.three_way_split(fx.documents(spark, d), "doc_id", SEED).select("doc_id", "split")

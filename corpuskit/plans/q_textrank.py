@@ -21,7 +21,7 @@ _S0 = ("SELECT doc_id, (i - 1)::INTEGER AS idx, a[i] AS sentence FROM ("
        f"SELECT doc_id, {D.keep_long_sentences(D.split_sentences(D.clean_text('text')))} AS a FROM documents), "
        "LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i)")
 
-_BASE = [
+BASE = [
     ("s0", _S0),
     ("n", "SELECT doc_id, count(*) AS n FROM s0 GROUP BY doc_id"),
     ("tc", "SELECT doc_id, idx, term, count(*) AS tf FROM (SELECT doc_id, idx, "
@@ -33,7 +33,7 @@ _BASE = [
     ("w", "SELECT x.doc_id, x.idx, x.term, x.x / nr.norm AS w FROM x JOIN nr USING (doc_id, idx)"),
 ]
 
-_RANK = [
+RANK = [
     ("c", "SELECT doc_id, term, sum(w) AS c FROM w GROUP BY ALL"),
     ("rs", "SELECT w.doc_id, w.idx, sum(w.w * c.c) AS s FROM w JOIN c USING (doc_id, term) GROUP BY ALL"),
     ("r0", "SELECT s0.doc_id, s0.idx, n.n, coalesce(rs.s, 0.0) AS s, 1.0::DOUBLE / n.n AS r "
@@ -41,7 +41,7 @@ _RANK = [
 ]
 for _k in range(1, ROUNDS + 1):
     p = f"r{_k - 1}"
-    _RANK += [
+    RANK += [
         (f"v{_k}", f"SELECT w.doc_id, w.term, sum(w.w * (q.r / q.s)) AS v FROM w JOIN {p} q USING (doc_id, idx) "
                    "WHERE q.s > 0 GROUP BY ALL"),
         (f"y{_k}", f"SELECT w.doc_id, w.idx, sum(w.w * v.v) AS y FROM w JOIN v{_k} v USING (doc_id, term) GROUP BY ALL"),
@@ -59,13 +59,13 @@ def _oracle_scores(spark, d):
     return TR.textrank_scores(fx.documents(spark, d), "doc_id", "text", 5, stop_words=None, max_iter=ROUNDS, tol=None)
 
 
-@register("textrank_scores", _with(_BASE + _RANK) +
+@register("textrank_scores", _with(BASE + RANK) +
           f"SELECT doc_id, idx, round(r * n, 6) AS score FROM r{ROUNDS}")
 def q_textrank_scores(spark, d):
     return _oracle_scores(spark, d).select("doc_id", "idx", F.round(F.col("rank") * F.col("n"), 6).alias("score"))
 
 
-_SUMMARY_SQL = _with(_BASE + _RANK + [
+_SUMMARY_SQL = _with(BASE + RANK + [
     ("rk", f"SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY round(r * n, 6) DESC, idx) AS pos "
            f"FROM r{ROUNDS}"),
     ("top", f"SELECT doc_id, string_agg(sentence, ' ' ORDER BY idx) AS summary FROM rk JOIN s0 USING (doc_id, idx) "
@@ -84,24 +84,24 @@ def _w(spark, d):
     return TR.tfidf(s, None)
 
 
-@register("tfidf_terms", _with(_BASE) + "SELECT doc_id, idx, term, round(w, 6) AS w FROM w")
+@register("tfidf_terms", _with(BASE) + "SELECT doc_id, idx, term, round(w, 6) AS w FROM w")
 def q_tfidf_terms(spark, d):
     return _w(spark, d).select("doc_id", "idx", "term", F.round("w", 6).alias("w"))
 
 
-@register("doc_frequency", _with(_BASE[:4]) + "SELECT doc_id, term, df FROM dfr")
+@register("doc_frequency", _with(BASE[:4]) + "SELECT doc_id, term, df FROM dfr")
 def q_doc_frequency(spark, d):
     s = TR.sentences(fx.documents(spark, d), "doc_id", "text")
     return TR.doc_frequency(TR.term_counts(s))
 
 
-@register("sentence_norms", _with(_BASE[:6]) + "SELECT doc_id, idx, round(norm, 6) AS norm FROM nr")
+@register("sentence_norms", _with(BASE[:6]) + "SELECT doc_id, idx, round(norm, 6) AS norm FROM nr")
 def q_sentence_norms(spark, d):
     s = TR.sentences(fx.documents(spark, d), "doc_id", "text")
     return TR.sentence_norms(TR.tfidf_raw(s)).select("doc_id", "idx", F.round("norm", 6).alias("norm"))
 
 
-@register("sentence_cosine", _with(_BASE + _RANK[:2] + [
+@register("sentence_cosine", _with(BASE + RANK[:2] + [
     ("nx", "SELECT a.doc_id, a.idx, sum(a.w * b.w) AS cos_next FROM w a JOIN w b "
            "ON b.doc_id = a.doc_id AND b.idx = a.idx + 1 AND b.term = a.term GROUP BY ALL")]) +
           "SELECT rs.doc_id, rs.idx, round(rs.s, 6) AS sim_sum, round(coalesce(nx.cos_next, 0.0), 6) AS cos_next "

@@ -30,10 +30,20 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
 def write_splits(df: DataFrame, path: str, mode: str = "ignore", split_col: str = "split") -> None:
     """One write partitioned by split; ``mode="ignore"`` skips an existing
-    target (idempotent re-run)."""
+    *finished* target (idempotent re-run); a half-written one, without the success
+    marker, is written again."""
+    if mode == "ignore":
+        if finished(df.sparkSession, path):
+            return
+        mode = "overwrite"
     df.write.mode(mode).partitionBy(split_col).parquet(path)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table's last write was committed."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system of the session (any scheme)."""
     jvm = spark.sparkContext._jvm
@@ -45,28 +55,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def resolve_source(spark: SparkSession, paths: list[str]) -> DataFrame:
     """S3: the first existing of processed -> standardized -> fallback paths."""
     for p in paths:
-        if path_exists(spark, p):
+        if finished(spark, p):
             return read_splits(spark, p)
-    raise FileNotFoundError(f"none of the candidate paths exists: {paths}")
+    raise FileNotFoundError(f"none of the candidate paths holds a finished table: {paths}")
 
 
 def read_split(df: DataFrame, split: str, split_col: str = "split") -> DataFrame:
     """The requested split, else the first available one (train, validation,
-    test, then by name).  One small distinct on the split column decides."""
-    present = [r[0] for r in df.select(split_col).distinct().limit(1000).collect()]
-    if split in present:
+    test, then by name).  One aggregate over the split column decides."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in SPLIT_ORDER]), F.col(split_col)), F.lit(0)), F.lit(len(SPLIT_ORDER) + 1))
+    found = df.agg(F.bool_or(F.col(split_col) == split).alias("there"),
+                   F.min(F.when(F.col(split_col).isNotNull(), F.struct(rank.alias("r"), F.col(split_col).alias("s")))).alias("first")).first()
+    if found["there"] or found["first"] is None:
         return df.where(F.col(split_col) == split)
-    if not present:
-        return df.limit(0)
-    order = sorted(present, key=lambda s: (SPLIT_ORDER.index(s) if s in SPLIT_ORDER else len(SPLIT_ORDER), s))
-    log.warning("split %r not found, using %r", split, order[0])
-    return df.where(F.col(split_col) == order[0])
+    log.warning("split %r not found, using %r", split, found["first"]["s"])
+    return df.where(F.col(split_col) == found["first"]["s"])
 
 
-def read_pairs_csv(spark: SparkSession, path: str, first: str = "complex", second: str = "simple") -> DataFrame:
+def read_pairs_csv(spark: SparkSession, path: str, first: str = "complex", second: str = "simple", multi_line: bool = True) -> DataFrame:
     """CSV with ``complex,simple``; other names -> columns 1 and 2 renamed;
-    fewer than 2 columns -> error; a one-column parse retries as TSV."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    fewer than 2 columns -> error; a one-column parse retries as TSV.  With
+    ``multi_line=False`` (no line breaks inside fields) large files are split into tasks."""
+    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     if len(df.columns) < 2:
         df = spark.read.option("header", True).option("sep", "\t").csv(path)
     if len(df.columns) < 2:

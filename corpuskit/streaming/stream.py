@@ -7,10 +7,11 @@ checkpoint folder makes them restartable (exactly-once file sink), and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.operators import labels as L
+from corpuskit.sources import io
 
 
 def document_stream(spark: SparkSession, source_dir: str, schema, glob: str = "documents.parquet") -> DataFrame:
@@ -31,19 +32,46 @@ def stream_documents(spark: SparkSession, source_dir: str, schema, pipeline, sin
 
 
 def incremental_standardize(spark: SparkSession, source_dir: str, schema, labels: DataFrame, target: str,
-                            checkpoint: str, task: str = "scotus", label_col: str = "quality",
+                            checkpoint: str, split: Column, task: str = "scotus", label_col: str = "quality",
                             glob: str = "documents.parquet"):
     """Standardize only new files — stream-static join to the label table,
-    P1 projection, and an exactly-once file-sink append partitioned by split."""
-    from corpuskit.plans.fixtures import split_of
-    docs = document_stream(spark, source_dir, schema, glob).select("doc_id", "text")
+    P1 projection, and an exactly-once file-sink append partitioned by ``split`` (an
+    expression over ``doc_id``).
+
+    A document that arrives before its label waits in ``<target>-waiting`` (a second
+    exactly-once sink); every run looks its label up again and appends what it finds to
+    ``<target>-late``.  ``standardized_rows`` reads both parts."""
     lab = labels.select("doc_id", F.col(label_col).cast("bigint").alias("label"))
-    rows = docs.join(lab, "doc_id").withColumn("split", split_of())
-    std = L.standardize_single_label(rows, task)
 
-    # the file sink keeps a commit log under the checkpoint: a restarted batch
-    # never appends twice (exactly-once), unlike a plain append in foreachBatch
-    q = (std.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-         .partitionBy("split").outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    def append(rows: DataFrame, path: str, log: str, *parts: str):
+        # the file sink keeps a commit log under the checkpoint: a restarted batch
+        # never appends twice (exactly-once), unlike a plain append in foreachBatch
+        w = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", log)
+        q = (w.partitionBy(*parts) if parts else w).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+
+    def docs() -> DataFrame:
+        return document_stream(spark, source_dir, schema, glob).select("doc_id", "text")
+
+    def standard(rows: DataFrame) -> DataFrame:
+        return L.standardize_single_label(rows.withColumn("split", split), task)
+
+    root = target.rstrip("/")
+    waiting, late = f"{root}-waiting", f"{root}-late"
+    if io.path_exists(spark, waiting):
+        # rows that waited in earlier runs; what an interrupted run appended is not appended again
+        found = spark.read.schema("doc_id long, text string").parquet(waiting).join(lab, "doc_id")
+        if io.path_exists(spark, late):
+            found = found.join(spark.read.parquet(late).select("doc_id"), "doc_id", "left_anti")
+        standard(found).write.mode("append").partitionBy("split").parquet(late)
+    q = append(standard(docs().join(lab, "doc_id")), target, checkpoint, "split")
+    append(docs().join(lab.select("doc_id"), "doc_id", "left_anti"), waiting, f"{checkpoint.rstrip('/')}-waiting")
     return q
+
+
+def standardized_rows(spark: SparkSession, target: str) -> DataFrame:
+    """All rows that ``incremental_standardize`` has written for a target."""
+    late = f"{target.rstrip('/')}-late"
+    rows = spark.read.parquet(target)
+    return rows.unionByName(spark.read.parquet(late)) if io.finished(spark, late) else rows

@@ -21,11 +21,75 @@ def test_score_with_model_fallback_and_total_failure(spark):
     assert all(x.o == SC.SUMMARY_ERROR and x.error.startswith("RuntimeError") for x in r)
 
 
-def test_pipeline_sample_word_counts(spark):
-    df = spark.createDataFrame([(1, "Alpha beta gamma. 12 delta.")], "doc_id long, text string")
-    r = SC.process_document(df).collect()[0]
-    assert r.summary == "1. Alpha beta gamma.\n2. 12 delta."
-    assert r.summary_words == 7 and r.task == "scotus" and 0.5 <= r.confidence <= 1.0
+def _odd_model():
+    def score(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad text")
+        return texts.map(len)
+    return score
+
+
+def _len_model():
+    return lambda texts: texts.map(lambda t: -len(t))
+
+
+def _short_model():
+    return lambda texts: texts.iloc[:1].map(len)
+
+
+def test_each_row_falls_back_on_its_own(spark):
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    df = spark.createDataFrame([(i, "bad" if i == 3 else "x" * i) for i in range(10)], "id long, t string").coalesce(1)
+    for batch in (None, 2):
+        r = {x.id: (x.o, x.backend, x.error) for x in SC.score_with_model(df, [_odd_model, _len_model], "t", "o", "long", keep=["id"], batch_rows=batch).collect()}
+        assert r[3] == (-3, "fallback_1", None) and all(r[i] == (i, "primary", None) for i in r if i != 3)
+    r = {x.id: (x.o, x.error) for x in SC.score_with_model(df, [_odd_model], "t", "o", "long", sentinel=-1, keep=["id"]).collect()}
+    assert r[3] == (-1, "ValueError: bad text") and r[4] == (4, None)
+    # a result of the wrong length is a failure of the batch, not of the job
+    r = SC.score_with_model(df, [_short_model], "t", "o", "long", keep=["id"]).collect()
+    assert sorted(x.o for x in r) == sorted(len(x.t) for x in df.collect())
+
+
+def test_pipeline_record(spark):
+    long = " ".join(f"Alpha beta gamma delta epsilon zeta {i}." for i in range(9))
+    df = spark.createDataFrame([(1, "Alpha beta gamma. 12 delta."), (2, None), (3, long)], "doc_id long, text string")
+    r = {x.doc_id: x for x in SC.process_document(df, terms={"alpha": "first"}).collect()}
+    assert "trimmed" in r[1].summary and r[1].task == "scotus" and 0.5 <= r[1].confidence <= 1.0
+    assert set(r) == {1, 2, 3} and r[3].error is None and "first" in r[3].simplified_summary and r[3].summary_words >= 35
+    try:
+        SC.process_document(df)
+        raise AssertionError("expected an error")
+    except ValueError:
+        pass
+
+
+def test_report_of_a_failed_classification(spark):
+    df = spark.createDataFrame([(None, None, "s", "t")], "predicted_label_name string, confidence double, summary string, simplified_summary string")
+    got = df.select(SC.report_text(df).alias("r")).first().r.split("\n")
+    assert got == [SC.REPORT_TITLE, "", "CLASSIFICATION: Error", "Confidence: 0.0000", "", "SUMMARY:", "s", "", "SIMPLIFIED SUMMARY:", "t"]
+
+
+def test_dictionary_paths_agree_on_repeated_terms(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "the cat the dog")], "doc_id long, text string")
+    terms = spark.createDataFrame([("the", "B"), ("the", "A"), (None, "x")], "term string, plain string")
+    for bound in (10_000, 0):
+        monkeypatch.setattr(SC, "INLINE_TERMS_MAX", bound)
+        assert SC.dictionary_simplify(df, "doc_id", "text", terms).first().simplified == "A cat A dog"
+
+
+def test_profile_edges(spark):
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "c string")
+    assert tuple(PR.distinct_values(df, "c").first()) == ("c", 3, "a|b|None")
+    rows = {(r.c, r.n_rows, r.is_total) for r in PR.rows_per_split(df, "c").collect()}
+    assert rows == {("a", 1, False), ("b", 1, False), (None, 1, False), (None, 3, True)}
+
+
+def test_unicode_spaces_part_words(spark):
+    from corpuskit.functions import text as X
+    df = spark.createDataFrame([("one\u00a0two\u2003three\x85",)], "t string")
+    assert tuple(df.select(X.word_count("t"), X.clean_text("t"), F.size(X.words("t"))).first()) == (3, "one two three", 3)
 
 
 def test_pairs_csv_tsv_fallback(spark):

@@ -76,10 +76,24 @@ def test_bucketed_rank_matches_row_number(spark):
 
 
 def test_hash_split_ratios(spark):
-    from corpuskit.plans.fixtures import md5_bucket
-    d = fx.documents(spark, SF)
-    out = S.hash_split(d, "doc_id", {"train": 0.8, "validation": 0.1, "test": 0.1}, seed=7)
-    got = out.select("doc_id", "split", md5_bucket("doc_id", 7).alias("b")).collect()
-    for r in got:
-        want = "train" if r.b < 80 else ("validation" if r.b < 90 else "test")
-        assert r.split == want
+    d = spark.range(100_000).withColumnRenamed("id", "doc_id")
+    out = S.hash_split(d, "doc_id", {"train": 0.995, "test": 0.005}, seed=7)
+    n = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert 400 <= n["test"] <= 600 and n["train"] + n["test"] == 100_000
+    assert {r.split for r in S.hash_split(d, "doc_id", {"all": 1.0}).select("split").distinct().collect()} == {"all"}
+
+
+def test_many_splits_do_not_hide_one(spark):
+    rows = [(i, f"s{i}") for i in range(300)] + [(900, "validation"), (901, "train")]
+    d = spark.createDataFrame(rows, "doc_id long, split string")
+    assert S.split_missing_validation(d, "doc_id").where("split = 'validation'").count() == 1
+    from corpuskit.sources import io
+    assert [r.doc_id for r in io.read_split(d, "s299").collect()] == [299]
+    assert [r.doc_id for r in io.read_split(d, "dev").collect()] == [901]
+    assert S.ensure_splits(d.unionByName(spark.createDataFrame([(902, "test")], d.schema)), "doc_id").where("split = 's1'").count() == 1
+
+
+def test_first_rows_of_every_group(spark):
+    d = spark.range(3000).selectExpr("id as doc_id", "concat('g', id % 500) as g", "id % 7 as label")
+    got = S.first_per_group(d, 2, "doc_id", "g").groupBy("g").agg(F.count("*").alias("n"), F.max("doc_id").alias("m")).collect()
+    assert len(got) == 500 and all(r.n == 2 and r.m == int(r.g[1:]) + 500 for r in got)

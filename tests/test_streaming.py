@@ -11,9 +11,9 @@ def test_incremental_standardize_only_new_files(spark):
     target, ck = f"{base}/target", f"{base}/ck"
     schema = fx.table(spark, SF, "documents").schema
     labels = fx.table(spark, SF, "labels")
-    ST.incremental_standardize(spark, SF, schema, labels, target, ck)
+    ST.incremental_standardize(spark, SF, schema, labels, target, ck, fx.split_of())
     n1 = spark.read.parquet(target).count()
-    ST.incremental_standardize(spark, SF, schema, labels, target, ck)   # nothing new arrived
+    ST.incremental_standardize(spark, SF, schema, labels, target, ck, fx.split_of())   # nothing new arrived
     n2 = spark.read.parquet(target).count()
     assert n1 == n2 == labels.count()
 
@@ -22,7 +22,19 @@ def test_stream_documents_matches_batch(spark):
     from corpuskit.operators.scoring import process_document
     base = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
     schema = fx.table(spark, SF, "documents").schema
-    ST.stream_documents(spark, SF, schema, lambda s: process_document(s), f"{base}/sink", f"{base}/ck")
+    ST.stream_documents(spark, SF, schema, lambda s: process_document(s, terms=dict(fx.PLAIN_TERMS)), f"{base}/sink", f"{base}/ck")
     streamed = {r.doc_id: r.summary for r in spark.read.parquet(f"{base}/sink").collect()}
-    batch = {r.doc_id: r.summary for r in process_document(fx.documents(spark, SF)).collect()}
+    batch = {r.doc_id: r.summary for r in process_document(fx.documents(spark, SF), terms=dict(fx.PLAIN_TERMS)).collect()}
     assert streamed == batch
+
+
+def test_a_document_that_arrives_before_its_label_is_not_lost(spark):
+    base = tempfile.mkdtemp(prefix="late-", dir="/tmp")
+    target, ck = f"{base}/target", f"{base}/ck"
+    schema = fx.table(spark, SF, "documents").schema
+    labels = fx.table(spark, SF, "labels")
+    early = labels.where("doc_id % 2 = 0")
+    for known in (early, labels, labels):
+        ST.incremental_standardize(spark, SF, schema, known, target, ck, fx.split_of())
+        rows = ST.standardized_rows(spark, target)
+        assert rows.count() == rows.select("doc_id").distinct().count() == known.count()
