@@ -45,3 +45,13 @@ def load_pairs(df: DataFrame, kind: str, id_col: str, seed=42, split_col: str =
     out = drop_incomplete_pairs(rename_pairs(ensure_splits(d, id_col, seed, split_col), kind))
     require_pair_columns(out)
     return out
+
+
+def load_csv_pairs(spark, path: str, ratios: dict[str, float] | None = None, seed=42, split_col: str = "split", multi_line: bool = True) -> DataFrame:
+    """C11, local file: CSV or TSV pairs -> seeded splits by the given ratios.  Rows have no id,
+    so the hash is that of the pair itself and equal pairs share a split."""
+    from corpuskit.operators.splits import hash_split
+    from corpuskit.sources.io import read_pairs_csv
+    pairs = drop_incomplete_pairs(read_pairs_csv(spark, path, multi_line=multi_line))
+    keyed = pairs.withColumn("_key", F.md5(F.concat_ws("|", "complex", "simple")))
+    return hash_split(keyed, "_key", ratios or {"train": 0.8, "validation": 0.1, "test": 0.1}, seed, split_col).drop("_key")

@@ -98,6 +98,11 @@ def literal_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
+def export_path(dataset: str, split: str) -> str:
+    """Where an export goes when no path is given."""
+    return f"data/exports/{dataset}_{split}.csv"  # fixed value: the default folder
+
+
 def export_csv(df: DataFrame, path: str, id_col: str, split: str | None = None, n: int | None = None,
                split_col: str = "split") -> None:
     """Optional split filter and first-n by id; CSV with header, no index."""
@@ -106,7 +111,8 @@ def export_csv(df: DataFrame, path: str, id_col: str, split: str | None = None,
     if n is not None:
         df = df.orderBy(id_col).limit(n)
     # RFC 4180 quoting (doubled quotes), as pandas writes it; texts keep newlines
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_report(df: DataFrame, path: str, report_col: str = "report") -> None:
