@@ -10,24 +10,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from corpuskit.functions.common import md5_bucket
 
-# Per-task side tables (bounds, bucket starts, offsets) are broadcast only while
-# the number of tasks stays under this bound; beyond it they are joined normally.
-MAX_TASKS = 10_000
-# (task, bucket) start tables up to this many rows are broadcast.
-MAX_BUCKET_ROWS = 200_000
-
-
-def checked_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
-    from corpuskit.operators.labels import checked_broadcast as cb
-    return cb(small, max_rows)
-
-
 def hash_order(id_col: str, seed) -> Column:
     """A deterministic pseudo-random sort key: md5 of id ‖ seed."""
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
@@ -140,65 +130,69 @@ def task_offsets(df: DataFrame, task: str = "task_name", task_order: list[str] |
     return c.withColumn("offset", F.coalesce(F.sum("n_rows").over(w), F.lit(0)).cast("bigint"))
 
 
-def _local_index(df: DataFrame, id_col: str, task: str | None, rows_per_bucket: int = 1_000_000,
-                 out: str = "local_idx", weight: str | None = None) -> DataFrame:
+def _number(df: DataFrame, key: str) -> Column:
+    """A number that grows with the key (never falls): the value itself, or the first six
+    bytes of a string."""
+    if isinstance(df.schema[key].dataType, T.NumericType):
+        return F.col(key).cast("double")
+    head = F.hex(F.substring(F.col(key).cast("string").cast("binary"), F.lit(1), F.lit(6)))
+    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+
+
+def range_bucket(df: DataFrame, key: str, out: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with a bucket number that grows with the key.  Bounds are quantiles of the
+    key (one bounded sketch of the data), so buckets hold about equally many rows however
+    the keys are spread; null keys come first."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumn("_num", _number(df, key))
+    cuts = df.stat.approxQuantile("_num", [i / n for i in range(1, n)], 1.0 / (4 * n)) if n > 1 else []
+    edges = [-float("inf"), *sorted(set(cuts) - {-float("inf"), float("inf")}), float("inf")]
+    if len(edges) == 2:
+        b = F.lit(0).cast("bigint")
+        return df.withColumn(out, F.when(F.col("_num").isNull(), F.lit(-1).cast("bigint")).otherwise(b)).drop("_num")
+    cut = Bucketizer(splits=edges, inputCol="_safe", outputCol="_bucket")
+    df = cut.transform(df.withColumn("_safe", F.coalesce("_num", F.lit(0.0))))
+    return (df.withColumn(out, F.when(F.col("_num").isNull(), F.lit(-1)).otherwise(F.col("_bucket")).cast("bigint"))
+            .drop("_num", "_safe", "_bucket"))
+
+
+def _local_index(df: DataFrame, id_col: str, task: str | None, buckets: int | None = None,
+                 out: str = "local_idx", weight: str | None = None, order: list[str] | None = None) -> DataFrame:
     """0-based rank of each row inside its task by ``id_col`` (keys unique per
     task; with ties the ranks are still a permutation).
 
-    No window ever spans a whole task: rows are range-bucketed inside the task by
-    their key — ``ceil(rows / rows_per_bucket)`` buckets per task, so a bucket
-    stays around ``rows_per_bucket`` rows however large the task — bucket sizes
-    are prefix-summed on the small (task, bucket) table, and the final rank is
-    local to one bucket.  The bucket function is monotone in the key, which is
-    all the rank needs.  With ``weight`` the result is the exclusive prefix sum
-    of the weights instead of the row rank.
+    No window ever spans a whole task: rows fall into range buckets of the key, bucket
+    sizes are prefix-summed on the small (task, bucket) table, and the final rank is
+    local to one bucket.  With ``weight`` the result is the exclusive prefix sum of the
+    weights instead of the row rank; ``order`` breaks ties of the key.
     """
-    if task is None:
-        df = df.withColumn("_task", F.lit(0))
-        task = "_task"
-    bounds = df.groupBy(task).agg(
-        F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"),
-        F.greatest(F.ceil(F.count("*") / F.lit(rows_per_bucket)), F.lit(1)).cast("double").alias("_nb"))
-    span = (F.col("_hi") - F.col("_lo")).cast("double") + 1.0
-    pos = (F.col(id_col) - F.col("_lo")).cast("double")
-    with_b = (df.join(checked_broadcast(bounds, MAX_TASKS), task)
-              .withColumn("_b", F.least(F.floor(pos * F.col("_nb") / span), F.col("_nb") - 1).cast("bigint"))
-              .drop("_lo", "_hi", "_nb"))
+    by = [task] if task is not None else []
+    with_b = range_bucket(df, id_col, "_b", buckets)
     wcol = F.col(weight) if weight else F.lit(1)
-    sizes = with_b.groupBy(task, "_b").agg(F.sum(wcol).alias("_n"))
-    w = Window.partitionBy(task).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = with_b.groupBy(*by, "_b").agg(F.sum(wcol).alias("_n"))
+    w = (Window.partitionBy(*by) if by else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    inner = Window.partitionBy(task, "_b").orderBy(id_col)
+    inner = Window.partitionBy(*by, "_b").orderBy(id_col, *(order or []))
     local = (F.sum(wcol).over(inner.rowsBetween(Window.unboundedPreceding, -1)) if weight
              else F.row_number().over(inner) - 1)
-    res = (with_b.join(checked_broadcast(starts, MAX_BUCKET_ROWS), [task, "_b"])
-           .withColumn(out, (F.col("_start") + F.coalesce(local, F.lit(0))).cast("bigint"))
-           .drop("_b", "_start"))
-    return res.drop("_task") if task == "_task" else res
-
-
-def ordered_index(df: DataFrame, order_cols: list[str], out: str = "idx", partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in the order of ``order_cols`` (any types):
-    range-partition by the order, count rows per range partition, prefix-sum
-    the (few) partition counts, then number rows inside each partition.  A
-    distributed ``zipWithIndex`` — no single-partition window."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
-    counts = r.groupBy("_pid").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    # one row per range partition: bounded by ``n``
-    return (r.join(F.broadcast(starts), "_pid")
-            .withColumn(out, (F.col("_start") + F.row_number().over(
-                Window.partitionBy("_pid").orderBy(*order_cols)) - 1).cast("bigint"))
-            .drop("_pid", "_start"))
+    starts = starts.select(*[F.col(c).alias(f"_s{c}") for c in (*by, "_b")], "_start")
+    on = [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in (*by, "_b")]
+    return (with_b.withColumn("_local", F.coalesce(local, F.lit(0))).join(starts, on)
+            .withColumn(out, (F.col("_start") + F.col("_local")).cast("bigint"))
+            .drop("_b", "_start", "_local", *[f"_s{c}" for c in (*by, "_b")]))
+
+
+def ordered_index(df: DataFrame, order_cols: list[str], out: str = "idx", buckets: int | None = None) -> DataFrame:
+    """0-based position of each row in the order of ``order_cols``: range buckets of the
+    first column, positions inside a bucket by all of them."""
+    return _local_index(df, order_cols[0], None, buckets, out, order=order_cols[1:])
 
 
 def global_index(df: DataFrame, id_col: str = "doc_id", task: str = "task_name",
                  task_order: list[str] | None = None) -> DataFrame:
     """``global_idx = offset(task) + local_idx`` (rows of a task by id)."""
     offs = task_offsets(df, task, task_order).select(task, "offset")
-    return (_local_index(df, id_col, task).join(checked_broadcast(offs, MAX_TASKS), task)
+    return (_local_index(df, id_col, task).join(offs, task)
             .withColumn("global_idx", F.col("offset") + F.col("local_idx")).drop("offset"))
 
 

@@ -60,13 +60,13 @@ def test_bucketed_rank_matches_row_number(spark):
     from pyspark.sql import Window
     s = std(spark, SF)
     a = {(r.doc_id, r.task_name): r.local_idx
-         for r in S._local_index(s, "doc_id", "task_name", rows_per_bucket=7).collect()}
+         for r in S._local_index(s, "doc_id", "task_name", buckets=29).collect()}
     w = Window.partitionBy("task_name").orderBy("doc_id")
     b = {(r.doc_id, r.task_name): r.rn for r in s.select("doc_id", "task_name",
                                                           (F.row_number().over(w) - 1).alias("rn")).collect()}
     assert a == b
     h = s.groupBy("input_label").agg(F.count("*").alias("c"))
-    cum = {r.input_label: r.start for r in S._local_index(h, "input_label", None, rows_per_bucket=2,
+    cum = {r.input_label: r.start for r in S._local_index(h, "input_label", None, buckets=3,
                                                            out="start", weight="c").collect()}
     expect, acc = {}, 0
     for r in sorted(h.collect(), key=lambda r: r.input_label):
@@ -97,3 +97,18 @@ def test_first_rows_of_every_group(spark):
     d = spark.range(3000).selectExpr("id as doc_id", "concat('g', id % 500) as g", "id % 7 as label")
     got = S.first_per_group(d, 2, "doc_id", "g").groupBy("g").agg(F.count("*").alias("n"), F.max("doc_id").alias("m")).collect()
     assert len(got) == 500 and all(r.n == 2 and r.m == int(r.g[1:]) + 500 for r in got)
+
+
+def test_an_outlier_does_not_fill_one_bucket(spark):
+    d = spark.createDataFrame([(i,) for i in range(1000)] + [(10**15,), (None,)], "k long")
+    sizes = {r._b: r["count"] for r in S.range_bucket(d, "k", "_b", 10).groupBy("_b").count().collect()}
+    assert sizes[-1] == 1 and len(sizes) >= 10 and max(sizes.values()) <= 200
+    got = [(r.k, r.local_idx) for r in S._local_index(d, "k", None, 10).collect()]
+    assert sorted(got, key=lambda x: x[1]) == [(None, 0)] + [(i, i + 1) for i in range(1000)] + [(10**15, 1001)]
+
+
+def test_ordered_index_of_strings(spark):
+    names = ["", "a", "aa", "ab", "b", "é", "same prefix 1", "same prefix 2", "z" * 40, "ß"]
+    d = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in sorted(S.ordered_index(d, ["n"], buckets=4).collect(), key=lambda r: r.idx)]
+    assert got == sorted(names, key=lambda n: n.encode())
