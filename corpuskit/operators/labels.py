@@ -125,9 +125,17 @@ def label_counts(dim: DataFrame) -> DataFrame:
     return dim.groupBy("task").agg(F.count("*").alias("num_labels"))
 
 
+def numbered_labels(counts: DataFrame) -> DataFrame:
+    """P18 without names: ``{task}_label_{i}`` for each of a task's classes."""
+    n = counts.where(F.col("num_labels") > 0)
+    return (n.select("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("num_labels") - 1)).alias("label_id"))
+            .withColumn("label_name", F.concat("task", F.lit("_label_"), F.col("label_id").cast("string"))))
+
+
 def attach_label_names(df: DataFrame, dim: DataFrame, task: str = "task", label: str = "label_id",
-                       out: str = "label_name") -> DataFrame:
-    """Id -> name with ``ID_{id}_NotInMap`` / ``ID_{id}_NoMapForTask`` fall-backs."""
+                       out: str = "label_name", unknown: str | None = None) -> DataFrame:
+    """Id -> name with ``ID_{id}_NotInMap`` / ``ID_{id}_NoMapForTask`` fall-backs, or
+    with one fall-back for both, e.g. ``unknown="Unknown Label ({id})"``."""
     d = checked_broadcast(dim.select(F.col("task").alias("_t"), F.col("label_id").alias("_l"), "label_name"))
     tasks = checked_broadcast(dim.select(F.col("task").alias("_tt")).distinct())
     j = (df.join(d, (F.col(task) == F.col("_t")) & (F.col(label) == F.col("_l")), "left")
@@ -135,24 +143,34 @@ def attach_label_names(df: DataFrame, dim: DataFrame, task: str = "task", label:
     name = (F.when(F.col("label_name").isNotNull(), F.col("label_name"))
             .when(F.col("_tt").isNotNull(), F.concat(F.lit("ID_"), F.col(label).cast("string"), F.lit("_NotInMap")))
             .otherwise(F.concat(F.lit("ID_"), F.col(label).cast("string"), F.lit("_NoMapForTask"))))
+    if unknown is not None:
+        before, after = unknown.split("{id}")
+        name = F.coalesce("label_name", F.concat(F.lit(before), F.coalesce(F.col(label).cast("string"), F.lit("None")), F.lit(after)))
     return j.withColumn(out, name).drop("_t", "_l", "_tt", *(["label_name"] if out != "label_name" else []))
 
 
-def quarantine_labels(df: DataFrame, counts: DataFrame, level: str = "row", batch_col: str = "batch_id",
-                      task: str = "task_name", label: str = "input_label") -> tuple[DataFrame, DataFrame]:
-    """Rows whose label is outside ``[0, n_task)`` are refused.
+def label_validity(df: DataFrame, counts: DataFrame, level: str = "row", batch_col: str = "batch_id",
+                   task: str = "task_name", label: str = "input_label", out: str = "is_valid") -> DataFrame:
+    """P11/J7 as one pass: every row with its verdict, whether the label lies in
+    ``[0, n_task)``.
 
-    ``level="row"`` quarantines single rows (D3); ``level="batch"`` reproduces the
+    ``level="row"`` judges single rows (D3); ``level="batch"`` reproduces the
     reference and refuses every row of a batch that holds one bad label.
     """
     c = checked_broadcast(counts.select(F.col("task").alias("_task"), "num_labels"))
     j = df.join(c, F.col(task) == F.col("_task"), "left")
     ok = F.coalesce((F.col(label) >= 0) & (F.col(label) < F.col("num_labels")), F.lit(False))
-    j = j.withColumn("is_valid", ok)
+    j = j.withColumn(out, ok)
     if level == "batch":
-        j = j.withColumn("is_valid", F.bool_and("is_valid").over(Window.partitionBy(batch_col)))
-    j = j.drop("_task", "num_labels")
-    return j.where("is_valid").drop("is_valid"), j.where(~F.col("is_valid")).drop("is_valid")
+        j = j.withColumn(out, F.bool_and(out).over(Window.partitionBy(batch_col)))
+    return j.drop("_task", "num_labels")
+
+
+def quarantine_labels(df: DataFrame, counts: DataFrame, level: str = "row", batch_col: str = "batch_id",
+                      task: str = "task_name", label: str = "input_label") -> tuple[DataFrame, DataFrame]:
+    """The valid rows and the refused ones; see ``label_validity``."""
+    j = label_validity(df, counts, level, batch_col, task, label, "_ok")
+    return j.where("_ok").drop("_ok"), j.where(~F.col("_ok")).drop("_ok")
 
 
 def batch_validity(df: DataFrame, counts: DataFrame, batch_col: str = "batch_id",
@@ -187,17 +205,16 @@ def label_profile(df: DataFrame, task: str = "task_name", label: str = "input_la
     One aggregate per task on a pre-aggregated ``(task, label)`` table, so a task
     with a third of all rows still combines map-side.
     """
+    from corpuskit.operators.splits import first_per_group
     per_label = df.groupBy(task, label).agg(F.min(id_col).alias("_first"))
-    # one pass over the data: the window runs on the per-(task, label) table,
-    # whose size is the label cardinality, not the row count
-    ranked = per_label.withColumn(
-        "_ord", F.row_number().over(Window.partitionBy(task).orderBy("_first", label)))
+    # per-(task, label) rows from here on; the listed labels are a two-level top-n, so a
+    # task with very many distinct labels (a bad label column) is never one group
+    firsts = first_per_group(per_label, list_cap, ["_first", label], task, salt_col=label)
+    listed = firsts.groupBy(task).agg(F.array_join(F.sort_array(F.collect_list(label)), ",").alias("unique_labels"))
     mx = _expected_max_col(task, expected_max)
-    prof = ranked.groupBy(task).agg(
-        F.min(label).alias("min_label"), F.max(label).alias("max_label"),
-        F.count("*").alias("num_unique"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("_ord") <= list_cap, F.col(label)))), ",")
-        .alias("unique_labels"))
+    prof = per_label.groupBy(task).agg(F.min(label).alias("min_label"), F.max(label).alias("max_label"), F.count("*").alias("num_unique"))
+    listed = listed.withColumnRenamed(task, "_t")
+    prof = prof.join(listed, prof[task].eqNullSafe(listed["_t"])).drop("_t")
     return prof.select(
         F.col(task).alias("task_name"), "min_label", "max_label", "num_unique", "unique_labels",
         F.when(mx.isNull(), "unknown")

@@ -81,13 +81,14 @@ def first_n(df: DataFrame, n: int, id_col: str, split_col: str | None = None, sp
     return df.orderBy(id_col).limit(n)
 
 
-def first_per_group(df: DataFrame, n: int, id_col: str, group: str, salt_buckets: int = 64) -> DataFrame:
-    """The first ``n`` rows by id of every group, however many groups there are (the two
-    levels of ``cap_rows``, with one bound for all)."""
-    sb = F.abs(F.xxhash64(F.col(id_col))) % salt_buckets
-    level1 = (df.withColumn("_sb", sb).withColumn("_r", F.row_number().over(Window.partitionBy(group, "_sb").orderBy(id_col)))
+def first_per_group(df: DataFrame, n: int, order: str | list[str], group: str, salt_buckets: int = 64, salt_col: str | None = None) -> DataFrame:
+    """The first ``n`` rows by ``order`` of every group, however many groups there are (the
+    two levels of ``cap_rows``, with one bound for all)."""
+    order = [order] if isinstance(order, str) else order
+    sb = F.abs(F.xxhash64(F.col(salt_col or order[0]))) % salt_buckets
+    level1 = (df.withColumn("_sb", sb).withColumn("_r", F.row_number().over(Window.partitionBy(group, "_sb").orderBy(*order)))
               .where(F.col("_r") <= n).drop("_sb"))
-    return (level1.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(id_col)))
+    return (level1.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
             .where(F.col("_r") <= n).drop("_r"))
 
 

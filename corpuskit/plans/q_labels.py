@@ -163,10 +163,16 @@ def q_distinct_labels(spark, d):
           "SELECT s.doc_id, s.task_name, s.input_label, coalesce(s.input_label >= 0 AND s.input_label < c.num_labels, "
           "false) AS is_valid FROM std4 s LEFT JOIN counts c ON c.task = s.task_name")
 def q_valid_label_quarantine(spark, d):
-    valid, rejected = L.quarantine_labels(std4(spark, d), task_counts_df(spark))
-    cols = ["doc_id", "task_name", "input_label"]
-    return (valid.select(*cols, F.lit(True).alias("is_valid"))
-            .unionByName(rejected.select(*cols, F.lit(False).alias("is_valid"))))
+    return L.label_validity(std4(spark, d), task_counts_df(spark)).select("doc_id", "task_name", "input_label", "is_valid")
+
+
+@register("valid_label_batches", with_std(std4_needed=True, extra={"counts": duck_task_counts()}) +
+          "SELECT s.doc_id, s.task_name, s.input_label, bool_and(coalesce(s.input_label >= 0 AND s.input_label < c.num_labels, false)) "
+          "OVER (PARTITION BY s.doc_id // 16) AS is_valid FROM std4 s LEFT JOIN counts c ON c.task = s.task_name")
+def q_valid_label_batches(spark, d):
+    """P11 at batch level: one bad label refuses its whole batch (16 documents here)."""
+    rows = std4(spark, d).withColumn("batch_id", F.floor(F.col("doc_id") / 16))
+    return L.label_validity(rows, task_counts_df(spark), "batch").select("doc_id", "task_name", "input_label", "is_valid")
 
 
 _SUBSET_COUNTS = {"scotus": 2, "ledgar": 2, "unfair_tos": 8, "eurlex": 100}
@@ -221,3 +227,15 @@ def q_label_name_lookup(spark, d):
     dim = L.label_dimension(fx.label_names_df(spark))
     return L.attach_label_names(p, dim, task="task", label="label_id").select(
         "vec_id", "task", "label_id", "label_name")
+
+
+@register("label_name_unknown", fx.duck_with("v_logits") +
+          """, p AS (SELECT vec_id, ['scotus','unfair_tos','ledgar'][vec_id % 3 + 1] AS task,
+   (list_position(logits, list_max(logits)) - 1)::BIGINT AS label_id FROM v_logits)
+SELECT p.vec_id, p.task, p.label_id, CASE WHEN label_id < CASE task WHEN 'unfair_tos' THEN 8 ELSE 2 END THEN task || '_label_' || label_id::VARCHAR
+  ELSE 'Unknown Label (' || label_id::VARCHAR || ')' END AS label_name FROM p""")
+def q_label_name_unknown(spark, d):
+    """Numbered names for tasks without a name list, one text for unknown ids."""
+    p = fx.v_logits(spark, d).select("vec_id", F.element_at(F.array(*[F.lit(t) for t in _LOOKUP_TASKS]), (F.col("vec_id") % 3 + 1).cast("int")).alias("task"),
+                                     argmax("logits").alias("label_id"))
+    return L.attach_label_names(p, L.numbered_labels(task_counts_df(spark)), unknown="Unknown Label ({id})").select("vec_id", "task", "label_id", "label_name")

@@ -58,3 +58,18 @@ def test_load_pairs_kinds(spark):
         raise AssertionError("expected an error")
     except ValueError:
         pass
+
+
+def test_half_written_table_is_written_again(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="half-", dir="/tmp"), "std")
+    s = std(spark, SF)
+    s.limit(3).write.partitionBy("split").parquet(path)
+    os.remove(os.path.join(path, "_SUCCESS"))
+    assert not io.finished(spark, path)
+    try:
+        io.resolve_source(spark, [path])
+        raise AssertionError("expected an error")
+    except FileNotFoundError:
+        pass
+    io.write_splits(s, path)
+    assert io.finished(spark, path) and io.read_splits(spark, path).count() == s.count()

@@ -55,3 +55,22 @@ def test_label_profile_first_appearance_cap(spark):
 def test_argmax_first_index(spark):
     df = spark.createDataFrame([([0.5, 0.5],), ([0.1, 0.7, 0.7],)], "p array<double>")
     assert [r.a for r in df.select(argmax("p").alias("a")).collect()] == [0, 1]
+
+
+def test_task_without_one_count_is_an_error(spark):
+    import pytest
+    from corpuskit.operators import labels as L
+    df = spark.createDataFrame([("a",), ("b",)], "task_name string")
+    counts = spark.createDataFrame([("a", 2), ("b", 3)], "task string, num_labels long")
+    L.check_task_counts(df, counts)
+    for bad in (counts.where("task = 'a'"), counts.unionByName(counts.where("task = 'b'"))):
+        with pytest.raises(ValueError, match="1 task.*: b"):
+            L.check_task_counts(df, bad)
+
+
+def test_unsupported_task_lists_all(spark):
+    from corpuskit.operators import labels as L
+    names = spark.range(1500).selectExpr("concat('t', lpad(cast(id as string), 4, '0')) as task")
+    got = L.unsupported_task(spark.createDataFrame([("x",), ("t0001",)], "task string"), names).collect()
+    err = {r.task: r.error for r in got}
+    assert err["t0001"] is None and err["x"].endswith("t1499]") and err["x"].count(",") == 1499

@@ -10,3 +10,36 @@ def test_heads_beat_a_floor(spark):
     assert all(0.5 <= r.accuracy <= 1.0 and 0.0 <= r.f1_weighted <= 1.0 for r in multi.values())
     single = E.queries()["train_single_eval"](spark, SF).collect()[0]
     assert single.accuracy >= 0.6 and single.eval_split == "validation"
+
+
+def _rows(spark):
+    rows = [(f"law court judge {i}", i % 2, "a") if i % 2 else (f"cat dog bird {i}", 0, "a") for i in range(60)]
+    rows += [(f"only class {i}", 0, "b") for i in range(10)] + [("no label", None, "a")]
+    return spark.createDataFrame(rows, "input_text string, input_label long, task_name string")
+
+
+def test_saved_heads_predict_the_same(spark, tmp_path):
+    from corpuskit.operators import train as TRN
+    df = _rows(spark)
+    model = TRN.train_multitask(df, 512)
+    assert set(model.heads) == {"a", "b"}
+    model.save(str(tmp_path / "m"))
+    back = TRN.MultitaskModel.load(str(tmp_path / "m"))
+    key = ["input_text", "pred"]
+    one, two = (sorted(map(tuple, TRN.predict_multitask(m, df).select(*key).collect()), key=str) for m in (model, back))
+    assert one == two
+    # the same as the heads' own predictions, and a null where a task has no head
+    own = model.heads["a"].transform(model.encoder.transform(df.where("task_name = 'a'"))).select("input_text", "prediction").collect()
+    assert {r.input_text: int(r.prediction) for r in own} == {t: p for t, p in one if not t.startswith("only")}
+    other = spark.createDataFrame([("law", 1, "c")], df.schema)
+    assert TRN.predict_multitask(model, other).first().pred is None
+
+
+def test_every_test_row_is_counted(spark):
+    from pyspark.sql import functions as F
+    from corpuskit.operators import train as TRN
+    df = _rows(spark).where("input_label is not null").withColumn("split", F.when(F.col("task_name") == "a", F.lit("train")).otherwise(F.lit("test")))
+    df = df.unionByName(df.where("task_name = 'a'").withColumn("split", F.lit("test")))
+    got = {r.task_name: r for r in TRN.evaluate_multitask(df, 512).collect()}
+    assert got["a"].n == 60 and got["a"].accuracy > 0.9 and (got["b"].n, got["b"].accuracy) == (10, 0.0)
+    assert tuple(TRN.evaluate_single(df.where("split = 'train'"), 512).first())[:3] == (0.0, 0.0, 0)
