@@ -161,17 +161,18 @@ def _best(dim: int, k: int):
         if len(ids) and len(queries):
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
+            again = int((ids[1:] == ids[:-1]).sum())  # rows that repeat an id take no place
             for at in range(0, len(queries), 128):
                 s = q[at:at + 128] @ x.T
                 for i, row in enumerate(s):
                     query = queries[at + i]
-                    want = min(len(row), k + 1)  # one more: the query itself may be there
+                    want = min(len(row), k + 1 + again)  # one more: the query itself may be there
                     least = np.partition(row, len(row) - want)[len(row) - want]
                     pick = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
                     pick = pick[ids[pick] != query]
                     score = (x[pick] * q[at + i]).sum(axis=1)
                     first = np.lexsort((ids[pick], -score))
-                    if len(first) > k and ids[pick][first[:k]].size != np.unique(ids[pick][first[:k]]).size:
+                    if again:
                         first = first[np.sort(np.unique(ids[pick][first], return_index=True)[1])]
                     first = first[:k]
                     out[0].append(np.full(len(first), query))

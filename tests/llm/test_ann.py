@@ -63,6 +63,13 @@ def test_odd_rows(spark):
     assert answers(nearest(table(spark, [(0, [1, 2])]))) == {}
 
 
+def test_many_rows_of_one_id_leave_room_for_others(spark):
+    rows = [(1, [9, 9])] * 60 + [(1, [8, 8])] * 5 + [(20, [1, 1])] + [(i, [i % 7 + 1, 1]) for i in range(2, 19)]
+    got = answers(nearest(table(spark, rows), k=10))
+    plain = {1: 18.0} | {i: float(i % 7 + 2) for i in range(2, 19)}
+    assert got[20] == sorted(plain.items(), key=lambda x: (-x[1], x[0]))[:10]
+
+
 @pytest.mark.parametrize("name", ["sf0.1", "check_h"])
 def test_recall_on_the_tables(spark, name):
     import __spark_entry__ as e
