@@ -55,7 +55,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_saved(df: DataFrame, name: str) -> str:
-    path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    # all of an application's intermediates are below one folder, to be removed with it
+    path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return path
 
