@@ -43,7 +43,7 @@ class CachedEncoder:
     """Ids as little-endian uint32 bytes, equal to those of the tokenizers library with
     the same file (add_special_tokens=False); the merges run in tiktoken."""
 
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = 250_000):
         import public_tokenizers
         import tiktoken
         ranks = byte_vocabulary(path)

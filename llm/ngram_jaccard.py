@@ -48,7 +48,7 @@ from llm.wordhash import mix, shingle_sets
 
 GROUPS = 64
 CELL_BITS = 22  # cells of the order table: 4 MB, whatever the corpus
-CHUNK = 4_000_000  # shingles that a task counts at once
+CHUNK = 2_000_000  # shingles that a task counts at once
 BLOCK = 4096  # holders of a key in one sub-block
 CLUSTER_ROWS, CLUSTER_SHINGLES = 2048, 2_000_000  # sets and shingles in one sub-block of a cluster
 BITMAP_BITS = 24
@@ -161,12 +161,13 @@ def _groups(batches, by: int):
     """Rows that are sorted by their first ``by`` columns, as one list of rows a group."""
     now, rows = None, []
     for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns]):
-            if row[:by] != now:
-                if rows:
-                    yield now, rows
-                now, rows = row[:by], []
-            rows.append(row[by:])
+        for at in range(0, b.num_rows, 512):
+            for row in zip(*[c.to_pylist() for c in b.slice(at, 512).columns]):
+                if row[:by] != now:
+                    if rows:
+                        yield now, rows
+                    now, rows = row[:by], []
+                rows.append(row[by:])
     if rows:
         yield now, rows
 

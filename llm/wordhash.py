@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _RNG = np.random.default_rng(20240601)
 _CODE = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from llm.common import ids_and_text, ship
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 class Automaton:
