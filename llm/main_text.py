@@ -7,8 +7,12 @@ host's pages are template and deleted. The article itself (``article`` or ``main
 no template: texts are copied whole between pages of a host, and copies of an article
 are not to vanish. Elements whose name, role, class or id says what they are (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) are deleted also where a
-host has too few pages to count. The text of what is left, of the articles if there are
-any, is the result: one line for each block.
+host has too few pages to count. Names also stand on wrappers, so a form or a named
+element stays if it holds an article or most of the text of its article or page (most of
+what stands outside links); what names itself as comments, adverts or consent never stays
+for its text. Articles that are comments by their own or an outer element's name are
+comments. The text of what is left, of the articles if there are any, is the result: one
+line for each block.
 
 Only hashes are shuffled, never pages. The template table goes to all tasks when it has
 at most ``INLINE`` rows; a longer one is joined to the pages' own hashes instead, with
@@ -43,7 +47,14 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 NAMES = frozenset("""ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr
 notice notices alert newsletter subscribe subscription signup popup modal overlay share sharing social related recommended breadcrumb breadcrumbs
 pagination pager menu nav navbar navigation sidebar footer header comment comments disqus reply replies respond widget toolbar""".split())
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+BOXES = frozenset("ad ads advert adverts advertisement advertisements advertising cookie cookies consent gdpr newsletter subscribe subscription signup".split())
+#: Words after which a name says what is around an element, and last words that say how something else is set.
+AROUND = frozenset("no not non with without has have hide show".split())
+STATES = frozenset("open opened closed enabled disabled allowed on off".split())
 MAIN = ("article", "main")
+MOST = 0.5
+TEXT, WRAP, BOX, COMMENT, HARD = range(5)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -77,30 +88,89 @@ def template_parts(root: Node) -> list[tuple[Node, int]]:
     return out
 
 
-def _furniture(n: Node) -> bool:
-    if n.tag in DROP:
-        return True
-    if not n.attrs or n.tag in ("html", "body", *MAIN):
-        return False
+def _kind(n: Node) -> int:
+    """What an element says of itself: ``TEXT`` nothing, ``WRAP`` furniture or a wrapper of
+    the text, ``BOX`` and ``COMMENT`` boxes and comments, ``HARD`` furniture in any case."""
+    if n.tag in DROP and n.tag != "form":
+        return HARD
+    if not n.attrs or n.tag in ("html", "body", "main"):
+        return WRAP if n.tag == "form" else TEXT
     a = n.attributes()
-    if "hidden" in a or a.get("role", "").lower() in ROLES:
-        return True
-    words = _SPLIT.split(f"{a.get('class', '')} {a.get('id', '')}".lower())
-    return not NAMES.isdisjoint(words) and not any(x.tag in MAIN for x in n.walk())
+    role = a.get("role", "").lower()
+    if n.tag != "article" and ("hidden" in a or role in ROLES and role != "form"):
+        return HARD
+    out = WRAP if n.tag == "form" or role == "form" else TEXT
+    for token in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+        words = [w for w in _SPLIT.split(token) if w]
+        words = words[:next((i for i, w in enumerate(words) if w in AROUND), len(words))]
+        if not NAMES.isdisjoint(words):
+            state = words[-1] in STATES
+            out = max(out, WRAP if state else COMMENT if not COMMENTS.isdisjoint(words) else BOX if not BOXES.isdisjoint(words) else WRAP)
+    return out if n.tag != "article" or out == COMMENT else TEXT
+
+
+def _weights(top: Node, gone: set[int]) -> dict[int, int]:
+    """id(element) -> its characters outside links, boxes, comments and deleted elements."""
+    out: dict[int, int] = {}
+    for n in reversed(list(top.walk())):
+        out[id(n)] = sum(len("".join(c.split())) if isinstance(c, str) else 0 if c.tag == "a" or c.tag in RAW or id(c) in gone or _kind(c) >= BOX else out[id(c)]
+                         for c in n.children)
+    return out
 
 
-def text_of(root: Node, gone: set[int]) -> str:
-    """The lines of the articles (of the whole page if it has none) without deleted elements."""
-    tops = []
-    todo = [root]
+def _holders(root: Node) -> tuple[set[int], set[int]]:
+    """Elements that are or hold a ``main``; those that are or hold a ``main`` or an article
+    that is no comment by its own name."""
+    mains: set[int] = set()
+    articles: set[int] = set()
+    for x in root.walk():
+        if x.tag in MAIN and (x.tag == "main" or _kind(x) != COMMENT):
+            for holds in (mains, articles) if x.tag == "main" else (articles,):
+                n = x
+                while n is not None and id(n) not in holds:
+                    holds.add(id(n))
+                    n = n.parent
+    return mains, articles
+
+
+def _tops(root: Node, gone: set[int], mains: set[int]) -> list[Node]:
+    """The page's articles. One that is a comment by name counts only where it is the
+    single one and has more text than all the rest of the page."""
+    tops, late = [], []
+    todo = [(root, False)]
     while todo:
-        n = todo.pop()
-        if id(n) in gone or n is not root and _furniture(n):
+        n, comment = todo.pop()
+        kind = _kind(n) if n is not root else TEXT
+        if id(n) in gone or kind == HARD:
             continue
+        comment = comment or kind == COMMENT and id(n) not in mains
         if n.tag in MAIN:
-            tops.append(n)
+            (late if comment else tops).append(n)
         else:
-            todo += [c for c in reversed(n.children) if not isinstance(c, str)]
+            todo += [(c, comment) for c in reversed(n.children) if not isinstance(c, str)]
+    if not tops and len(late) == 1:
+        weights = _weights(root, gone)
+        return late if weights[id(late[0])] > weights[id(root)] else []
+    return tops
+
+
+def text_of(root: Node, gone: set[int]) -> str:
+    """The lines of the articles (of the whole page if it has none) without deleted elements."""
+    weights: dict[int, int] = {}
+    mains, articles = _holders(root)
+
+    def furniture(n: Node, top: Node) -> bool:
+        kind = _kind(n)
+        if kind == TEXT or kind == HARD:
+            return kind == HARD
+        if id(n) in (mains if kind == COMMENT else articles):
+            return False
+        if kind != WRAP:
+            return True
+        if id(top) not in weights:
+            weights.update(_weights(top, gone))
+        return weights[id(n)] <= MOST * weights[id(top)]
+
     lines: list[str] = []
     run: list[str] = []
 
@@ -110,7 +180,7 @@ def text_of(root: Node, gone: set[int]) -> str:
             lines.append(line)
         run.clear()
 
-    for top in tops or [root]:
+    for top in _tops(root, gone, mains) or [root]:
         todo = [top]
         while todo:
             n = todo.pop()
@@ -120,7 +190,7 @@ def text_of(root: Node, gone: set[int]) -> str:
                 run.append(entities.unescape(n))
             elif n.tag == "br":
                 run.append(" ")
-            elif id(n) in gone or n is not top and _furniture(n) or n.tag in RAW:
+            elif id(n) in gone or n.tag in RAW or n is not top and furniture(n, top):
                 continue
             elif n.tag in BLOCK or n is top:
                 flush()

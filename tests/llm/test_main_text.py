@@ -21,8 +21,31 @@ def test_plain_pages(html, text):
     assert text_of(parse(html), set()) == text
 
 
+WRAPPED = [
+    ("<body><form id=aspnetForm action=x><nav>n</nav><article><h1>T</h1><p>kept</article><input></form>", "T\nkept"),
+    ("<form role=form><div><p>All of a page without article tags.</p></div></form><form class=search>go</form>", "All of a page without article tags."),
+    ("<div class='content with-sidebar'><p>whole text</p></div><div class=sidebar>s</div>", "whole text"),
+    ("<div class='no-comments'><p>whole text</p></div><div class=comments>a much longer thread of reader comments</div>", "whole text"),
+    ("<div class='menu-open'><p>whole text</p></div><div class='menu'><a href=x>a long list of links beside it</a></div>", "whole text"),
+    ("<article class='post comments-open'><div class='entry widget'><p>whole text</p></div></article>", "whole text"),
+    ("<article><p>story</p><article class='comment'>first</article><section id=comments><article>second</article></section></article>", "story"),
+    ("<article><p>story</p></article><ol class=comments><li><article id='comment-7'>third</article></ol>", "story"),
+    ("<main><p>story</p></main><article class=comment>fourth</article>", "story"),
+    ("<p>a story without article tags</p><div class=comments><article>one of the readers wrote this long comment</article><article>and one that</article></div>", "a story without article tags"),
+    ("<div id=comment><article><p>An opinion piece</p></article></div><p>more", "An opinion piece"),
+    ("<div class='cookie-consent'>a notice that is longer than the text</div><p>short", "short"),
+]
+
+
+@pytest.mark.parametrize("html,text", WRAPPED)
+def test_wrappers_and_comments(html, text):
+    """Names on wrappers of the text, and comments marked up as articles."""
+    assert text_of(parse(html), set()) == text
+
+
 def test_long_and_deep_pages_end():
     assert text_of(parse("<div>" * 20_000 + "x" + "</p>" * 1000), set()) == "x"
+    assert text_of(parse("<div class=menu><form>" * 10_000 + "x"), set()) == "x"
     assert text_of(parse("<a href=\"x" * 3000 + "<p>y"), set()) is not None
     assert len(text_of(parse("<p>" + "word " * 200_000), set())) == 999_999
 
