@@ -7,8 +7,9 @@ confirmed; the method's own kinds (``MORE``) need a score of ``ACCEPT``, which s
 by their checksum and the others only with a fitting context word.
 
 Everything is DataFrame expressions. A text is cut once per kind, at the matches; the
-lengths of the cut pieces give the spans' code points, the neighbouring pieces their
-context. The expressions equal the plain ones given for each kind, written with
+lengths of the cut pieces give the spans' code points, the pieces and matches around a
+span its context: ``CONTEXT`` code points on each side, whatever stands there. ``redact``
+replaces the spans that ``find`` accepts, found in the text as it is. The expressions equal the plain ones given for each kind, written with
 possessive quantifiers and a look at the character before, so that long runs of digits
 or letters cost linear time and no stack.
 
@@ -49,6 +50,7 @@ SCORES = {
 }
 CONTEXT_SCORE = 0.4
 _BLOCK = 256
+_PARTS = CONTEXT + 1  # pieces and matches in turn, matches of two characters at least: never less than the context
 
 
 def _digits(s: Column) -> Column:
@@ -90,17 +92,20 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of all earlier elements, for each element, in blocks so that long arrays stay cheap."""
+def _running(values: Column, op=lambda acc, x: acc + x) -> Column:
+    """Sums (or another fold from 0) of all earlier elements, for each element, in blocks so that long arrays stay cheap."""
     def ends(xs: Column, start: Column) -> Column:
-        return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK))
-    return let(blocks, lambda bs: F.flatten(F.zip_with(
-        bs, F.slice(ends(F.transform(bs, lambda s: F.aggregate(s, F.lit(0), lambda a, x: a + x)), F.lit(0)), F.lit(1), F.size(bs)),
+    return let(_blocks(values), lambda bs: F.flatten(F.zip_with(
+        bs, F.slice(ends(F.transform(bs, lambda s: F.aggregate(s, F.lit(0), op)), F.lit(0)), F.lit(1), F.size(bs)),
         lambda s, start: F.slice(ends(s, start), F.lit(1), F.size(s)))))
 
 
+def _blocks(values: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
+
+
 def _none() -> Column:
     return F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
 
@@ -113,34 +118,46 @@ def _cut(text: Column, kind: str, fn, empty: Column) -> Column:
     return F.when(text.contains(sure), found).otherwise(empty) if sure else found
 
 
-def _score(kind: str, before: Column, after: Column) -> Column:
+def _score(kind: str, tails: Column, heads: Column, i: Column) -> Column:
+    """The score of match ``i`` of a text cut into pieces and matches in turn, from the parts' last and first ``CONTEXT`` code points."""
     own, words = SCORES[kind]
-    near = F.lower(F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), F.left(after, F.lit(CONTEXT)))).rlike(rf"(?<![a-z])(?:{words})")
+    at = i * 2 + 1  # parts before the match
+    before = F.right(F.array_join(F.slice(tails, F.greatest(at - _PARTS, F.lit(0)) + 1, F.least(at, F.lit(_PARTS))), ""), F.lit(CONTEXT))
+    after = F.left(F.array_join(F.slice(heads, at + 2, F.lit(_PARTS)), ""), F.lit(CONTEXT))
+    near = F.lower(F.concat(before, F.lit(" "), after)).rlike(rf"(?<![a-z])(?:{words})")
     return F.lit(own) + F.when(near, CONTEXT_SCORE).otherwise(0.0)
 
 
 def spans(text: Column, kind: str) -> Column:
     """Accepted spans of one kind, in order: kind, start, end (code points, end exclusive), score."""
     def build(ps: Column, ms: Column) -> Column:
-        lengths = F.flatten(F.transform(ms, lambda m, i: F.array(F.length(F.get(ps, i)), F.length(m))))
-
-        def one(m: Column, i: Column) -> Column:
-            return F.struct(F.lit(kind).alias("kind"), m.alias("m"), i.alias("i"), _score(kind, F.get(ps, i), F.get(ps, i + 1)).alias("score"))
-        held = F.filter(F.transform(ms, one), lambda s: _confirmed(kind, s["m"]) & (F.lit(kind in BASE) | (s["score"] >= ACCEPT)))
-        return F.when(F.size(held) > 0, let(let(lengths, _running), lambda at: F.transform(held, lambda s: F.struct(
-            s["kind"].alias("kind"), F.get(at, s["i"] * 2 + 1).alias("start"), (F.get(at, s["i"] * 2 + 1) + F.length(s["m"])).alias("end"), s["score"].alias("score"))))
-        ).otherwise(_none())
+        def placed(held: Column, parts: Column) -> Column:
+            def scored(at: Column, tails: Column, heads: Column) -> Column:
+                out = F.transform(held, lambda s: F.struct(
+                    F.lit(kind).alias("kind"), F.get(at, s["i"] * 2 + 1).alias("start"), (F.get(at, s["i"] * 2 + 1) + F.length(s["m"])).alias("end"),
+                    _score(kind, tails, heads, s["i"]).alias("score")))
+                return out if kind in BASE else F.filter(out, lambda s: s["score"] >= ACCEPT)
+            return let(let(F.transform(parts, lambda x: F.length(x)), lambda x: _running(x)), lambda at: let(
+                F.transform(parts, lambda x: F.right(x, F.lit(CONTEXT))), lambda tails: let(
+                    F.transform(parts, lambda x: F.left(x, F.lit(CONTEXT))), lambda heads: scored(at, tails, heads))))
+        parts = F.concat(F.flatten(F.transform(ms, lambda m, i: F.array(F.get(ps, i), m))), F.array(F.element_at(ps, -1)))
+        return let(F.filter(F.transform(ms, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda s: _confirmed(kind, s["m"])),
+                   lambda held: F.when(F.size(held) > 0, let(parts, lambda x: placed(held, x))).otherwise(_none()))
     return _cut(text, kind, build, _none())
 
 
+def _clear(own: Column, base: Column) -> Column:
+    """The spans of ``own`` that meet none of ``base``."""
+    return F.filter(own, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, base, more)`` for each row: arrays of spans by kind as listed, then start.
     A span of ``MORE`` that meets one of ``BASE`` is left to the latter."""
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     df = df.select("doc_id", *[spans(F.col("text"), k).alias(k) for k in (BASE | MORE)])
     df = df.select("doc_id", *BASE, F.concat(*BASE).alias("base"), F.concat(*MORE).alias("own"))
-    clear = F.filter("own", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.select("doc_id", *BASE, "base", clear.alias("more"))
+    return df.select("doc_id", *BASE, "base", _clear(F.col("own"), F.col("base")).alias("more"))
 
 
 def joined(found: Column) -> Column:
@@ -148,21 +165,36 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _replaced(text: Column, found: Column) -> Column:
+    """``text`` with the spans replaced; spans that meet count as one of the kind listed first."""
+    kinds = F.array(*[F.lit(k) for k in (BASE | MORE)])
+
+    def merged(o: Column, before: Column, first: Column) -> Column:
+        def one(at: Column, c: Column) -> Column:
+            after = F.coalesce(F.get(first, c + 1), F.size(o))
+            return F.struct(F.get(before, at).alias("from"), F.get(o, at)["start"].alias("start"),
+                            F.coalesce(F.get(before, after), F.array_max(F.transform(o, lambda s: s["end"]))).alias("end"),
+                            F.array_min(F.transform(F.slice(o, at + 1, after - at), lambda s: s["rank"])).alias("rank"))
+        return F.transform(first, one)
+
+    def put(block: Column) -> Column:
+        # a block's text is cut out once, so that long texts with many spans stay cheap
+        start = F.get(block, 0)["from"]
+        cut = F.substring(text, start + 1, F.element_at(block, -1)["end"] - start)
+        return let(cut, lambda t: F.array_join(F.transform(block, lambda s: F.concat(
+            F.substring(t, s["from"] - start + 1, s["start"] - s["from"]), F.lit("["), F.upper(F.get(kinds, s["rank"] - 1)), F.lit("]"))), ""))
+
+    ordered = F.sort_array(F.transform(found, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.array_position(kinds, s["kind"]).cast("int").alias("rank"))))
+    whole = let(ordered, lambda o: let(_running(F.transform(o, lambda s: s["end"]), lambda acc, x: F.greatest(acc, x)), lambda before: let(
+        F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: F.get(o, i)["start"] >= F.get(before, i)), lambda first: merged(o, before, first))))
+    return let(whole, lambda w: F.concat(F.array_join(F.transform(_blocks(w), put), ""), F.substring(text, F.element_at(w, -1)["end"] + 1, F.length(text))))
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every accepted span replaced by its kind in brackets, kind after kind
-    (``BASE`` first); a null text stays null, all other columns are kept."""
-    def put(text: Column, kind: str) -> Column:
-        def build(ps: Column, ms: Column) -> Column:
-            def one(m: Column, i: Column) -> Column:
-                yes = _confirmed(kind, m) & (F.lit(kind in BASE) | (_score(kind, F.get(ps, i), F.get(ps, i + 1)) >= ACCEPT))
-                return F.concat(F.get(ps, i), F.when(yes, F.lit(f"[{kind.upper()}]")).otherwise(m))
-            return F.concat(F.array_join(F.transform(ms, one), ""), F.element_at(ps, -1))
-        return _cut(text, kind, build, text)
-
-    def bound(kind: str):
-        return lambda t: put(t, kind)
-
-    out = F.col(text_col)
-    for kind in (*BASE, *MORE):
-        out = let(out, bound(kind))
+    """``docs`` with every span that ``find`` accepts replaced by its kind in brackets (spans
+    that meet by one, the kind listed first); a null text stays null, all other columns are kept."""
+    text = F.col(text_col).cast("string")
+    base, own = (F.concat(*[spans(text, k) for k in kinds]) for kinds in (BASE, MORE))
+    out = let(base, lambda b: let(F.concat(b, _clear(own, b)), lambda found: F.when(F.size(found) > 0, _replaced(text, found)).otherwise(text)))
     return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), out))

@@ -66,6 +66,47 @@ def test_the_methods_own_kinds(spark, documents):
     assert got[8] == ([("phone", 4, 21)], [])
 
 
+def test_context_reaches_across_neighbours(spark, documents):
+    """Lists of numbers after one context word: 40 code points of the text as it is, also by ``redact``."""
+    ssns = "SSNs: 123-45-6789, 321-54-9876, 219-09-9999"
+    pad = "x" * 25
+    texts = [ssns, "call 555-123-4567 or 555-987-6543", "555-987-6543 and 555-123-4567 (fax)", f"{ssns} {pad} 123-45-6780", f"😀😀 ssn 1.2.3.4 {pad[:20]} 123-45-6789",
+             "mail +1 (555) 123-4567, 555-987-6543 x", "ssn 000-45-6789 ssn 123-45-6789", "part 555-987-6543, mail a@b.co"]
+    want = [["123-45-6789", "321-54-9876", "219-09-9999"], ["555-123-4567", "555-987-6543"], ["555-987-6543", "555-123-4567"], ["123-45-6789", "321-54-9876", "219-09-9999"],
+            ["123-45-6789"], [], ["123-45-6789"], []]
+    got = spans(documents(texts))
+    clean = {r.doc_id: r.text for r in redact(documents(texts)).collect()}
+    for i, t in enumerate(texts):
+        assert [t[a:b] for _, a, b in got[i][1]] == want[i], t
+        plain = t
+        for kind, a, b in sorted(got[i][0] + got[i][1], key=lambda s: -s[1]):
+            plain = plain[:a] + f"[{kind.upper()}]" + plain[b:]
+        assert clean[i] == plain, t
+    assert clean[5] == "mail [PHONE], 555-987-6543 x"
+
+
+def test_redact_replaces_what_find_accepts(spark, documents):
+    """Spans that meet are replaced as one; long texts with many spans cost no square of their length."""
+    random.seed(4)
+    parts = ["a", "@", "b.", "1.2.3.4", "2 ", "-", "+1", "é", "😀", " ", "4111111111111111", "x@y.z", "ssn ", "123-45-6789", " 555-123-4567 "]
+    texts = ["".join(random.choice(parts) for _ in range(30)) for _ in range(400)] + ["1.2.3.4 " * 20_000, "ssn 123-45-6789, " * 5_000, None, ""]
+    got = spans(documents(texts))
+    clean = {r.doc_id: r.text for r in redact(documents(texts)).collect()}
+    rank = {k: i for i, k in enumerate((*BASE, *MORE))}
+    for i, t in enumerate(texts):
+        groups = []
+        for kind, a, b in sorted(got[i][0] + got[i][1], key=lambda s: s[1:]):
+            if groups and a < groups[-1][2]:
+                groups[-1] = (min(groups[-1][0], kind, key=rank.get), groups[-1][1], max(groups[-1][2], b))
+            else:
+                groups.append((kind, a, b))
+        at, out = 0, []
+        for kind, a, b in groups:
+            out += [t[at:a], f"[{kind.upper()}]"]
+            at = b
+        assert clean[i] == (t if t is None else "".join(out) + t[at:])
+
+
 def test_digest_columns(spark):
     import __spark_entry__ as e
     sf = "/root/testdata/sf0.001"
