@@ -124,6 +124,24 @@ def q_evaluate_generation(spark, d):
     return M.generation_metrics(_pairs(spark, d), IDS, "pred", "ref", with_lcs=False)
 
 
+# ROUGE-L: element k of the fold's state is the smallest end in the reference of a common subsequence of k tokens
+_LCS_CTES = {
+    "lt": f"SELECT conv_id, turn, {_RT.format(c='pred')} AS a, {_RT.format(c='ref')} AS b FROM v_pairs",
+    "ls": "SELECT conv_id, turn, len(a) AS len_pred, len(b) AS len_ref, len(list_reduce(list_concat([[]::BIGINT[]], "
+          "list_transform(a, lambda x: list_filter(range(1, len(b) + 1), lambda j: b[j] = x))), "
+          "lambda t, ps: list_filter(list_transform(range(1, len(t) + 2), lambda k: least(coalesce(t[k], 1000000000), "
+          "coalesce(list_min(list_filter(ps, lambda p: p > coalesce(t[k - 1], 0))), 1000000000))), lambda e: e < 1000000000))) AS lcs FROM lt",
+    "lf": "SELECT *, CASE WHEN lcs > 0 THEN 2 * (lcs / len_pred) * (lcs / len_ref) / (lcs / len_pred + lcs / len_ref) ELSE 0.0 END AS f FROM ls",
+}
+
+
+@register("evaluate_generation_lcs", _w(extra={**_ROUGE_CTES, **_BLEU_CTES, **_LCS_CTES}) + _GEN_SQL +
+          ", (SELECT round(coalesce(avg(f), 0) * 100, 4) FROM lf) AS \"rougeL\"")
+def q_evaluate_generation_lcs(spark, d):
+    """C9 with all its figures, ROUGE-L among them."""
+    return M.generation_metrics(_pairs(spark, d), IDS, "pred", "ref")
+
+
 @register("pred_ref_join", fx.duck_with("v_pairs") +
           "SELECT p.conv_id, p.turn, " + D.post_process_summary(f"replace({D.clean_text('p.pred')}, '. ', '.<n>')") +
           " AS prediction, r.ref AS reference FROM v_pairs p JOIN v_pairs r USING (conv_id, turn)")

@@ -48,6 +48,18 @@ def test_rouge_l_against_dynamic_programming(spark):
         assert got[k] == pytest.approx(want[k], abs=1e-6)
 
 
+def test_corpus_rouge_l_against_dynamic_programming(spark):
+    f = []
+    for _, _, pred, ref in _pairs():
+        p, r = _tok(pred), _tok(ref)
+        lcs = _lcs(p, r)
+        f.append(2 * lcs / (len(p) + len(r)) if lcs else 0.0)
+    row = E.queries()["evaluate_generation_lcs"](spark, SF).first()
+    assert row.n_pairs == len(f) and row.rougeL == pytest.approx(100 * sum(f) / len(f), abs=1e-4) and row.rougeL > 0
+    plain = E.queries()["evaluate_generation"](spark, SF).first().asDict()
+    assert {k: row[k] for k in plain} == plain
+
+
 def test_score_with_model_against_pandas(spark):
     import pandas as pd
     docs = pd.read_parquet(f"{SF}/documents.parquet")
