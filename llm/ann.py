@@ -39,6 +39,7 @@ LIST_ROWS = 512
 MAX_LISTS = 4096
 BLOCK_VALUES = 2_000_000  # numbers in one block's vectors
 DEGREE, LONG_LINKS = 16, 4
+ENTRIES = 512  # clusters far apart have no links between them, so walks begin all over the centroids
 
 
 def bisect(x: np.ndarray, lists: int, seed: int = 3) -> np.ndarray:
@@ -76,7 +77,7 @@ class CentroidGraph:
             links.append(np.argpartition(d, near - 1, axis=1)[:, :near])
         far = np.random.default_rng(seed).integers(0, n, size=(n, LONG_LINKS))
         self.links = np.concatenate([np.concatenate(links), far], axis=1)
-        self.entry = np.unique(np.linspace(0, n - 1, min(n, 32)).astype(np.int64))
+        self.entry = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64))
 
     def search(self, q: np.ndarray, probe: float, least_lists: int) -> list[np.ndarray]:
         """For each query the lists within ``probe`` times the least distance found, nearest first."""
@@ -188,7 +189,7 @@ def _blocks(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.groupBy("list").agg(F.ceil(F.count("*") / rows).cast("int").alias(key))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, copies: int = 4, boundary: float = 1.15, probe: float = 1.085, least_lists: int = 16,
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, copies: int = 4, boundary: float = 1.15, probe: float = 1.085, least_lists: int = 128,
             list_rows: int = LIST_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession

@@ -79,3 +79,21 @@ def test_recall_on_the_tables(spark, name):
     got = answers(e.queries()["op8_nearest"](spark, sf))
     assert set(got) == set(plain) and all(len(got[q]) == len(plain[q]) for q in plain)
     assert sum(len({v for v, _ in got[q]} & {v for v, _ in plain[q]}) for q in plain) >= 0.95 * sum(map(len, plain.values()))
+
+
+@pytest.mark.parametrize("name", ["clustered", "repeated", "isotropic"])
+def test_recall_with_many_lists(spark, name):
+    """Hundreds of lists, of which the floor is well under all."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 32))
+    if name != "isotropic":
+        x = 0.35 * x + rng.normal(size=(300, 32))[rng.integers(300, size=6000)]
+    if name == "repeated":
+        x[:2000] = x[0]
+        x[2000:3000] = x[rng.integers(3000, 6000, size=1000)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    got = answers(nearest(table(spark, [(i, v.tolist()) for i, v in enumerate(x)]), list_rows=15))
+    plain = exact(np.arange(6000), x, 20)
+    assert set(got) == set(plain)
+    # by score: among copies any is right
+    assert sum(s >= plain[q][-1][1] - 1e-9 for q in plain for _, s in got[q]) >= 0.95 * sum(map(len, plain.values()))
