@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import licenses, mixing
+from llm import licenses, mixing, vector_codes
 from llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector among all vectors."""
     from llm.ann import nearest
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query(vector_codes.oracle_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors: 8 codebooks of 16 entries, 6 rounds."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
