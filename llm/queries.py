@@ -102,3 +102,10 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product codes of all vectors: 8 codebooks of 16 entries, 6 rounds."""
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+@query()
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those that differ in at most 3 bits."""
+    from llm.simhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
