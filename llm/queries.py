@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import licenses, mixing, vector_codes
+from llm import licenses, mixing, prefix_trie, vector_codes
 from llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those that differ in at most 3 bits."""
     from llm.simhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query(prefix_trie.oracle_sql())
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations, with its subtree's totals."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
