@@ -232,10 +232,15 @@ def links(fps: DataFrame, d: int = 3) -> DataFrame:
     ship(spark)
     signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
     found = []
-    above = fps.select(F.lit(0).alias("up"), "fp")
+    above = None
     for depth, level in enumerate(masks(d + 1)):
-        rule = spark.createDataFrame([(t, up, signed(m)) for t, (up, m) in enumerate(level)], "t int, up int, mask long")  # at most 4 ** LEVELS rows
-        dealt = saved(above.join(F.broadcast(rule), "up").select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp"), f"dealt-{depth}")
+        if depth == 0:
+            rules = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("mask")) for t, (_, m) in enumerate(level)])
+            ruled = fps.select("fp", F.inline(rules))
+        else:
+            rule = spark.createDataFrame([(t, up, signed(m)) for t, (up, m) in enumerate(level)], "t int, up int, mask long")  # at most 4 ** LEVELS rows
+            ruled = above.join(F.broadcast(rule), "up")
+        dealt = saved(ruled.select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp"), f"dealt-{depth}")
         large = saved(dealt.groupBy("t", "part").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("t", "part"), "large")
         some = large.limit(1).count() > 0
         rest = dealt.join(large, ["t", "part"], "left_anti") if some else dealt
