@@ -80,11 +80,6 @@ def q_rouge2(spark, d):
     return r.select(*IDS, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fmeasure")])
 
 
-@register("rougeL", None)
-def q_rouge_l(spark, d):
-    return M.rouge_l(_pairs(spark, d), IDS, "pred", "ref").select(*IDS, F.round("fmeasure", 6).alias("fmeasure"))
-
-
 @register("corpus_rouge", _w(extra=_ROUGE_CTES) +
           "SELECT round(coalesce(avg(f) FILTER (WHERE n = 1), 0) * 100, 4) AS rouge1, "
           "round(coalesce(avg(f) FILTER (WHERE n = 2), 0) * 100, 4) AS rouge2 FROM rf")
@@ -135,6 +130,11 @@ _LCS_CTES = {
 }
 
 
+@register("rougeL", _w(extra=_LCS_CTES) + "SELECT conv_id, turn, round(f, 6) AS fmeasure FROM lf")
+def q_rouge_l(spark, d):
+    return M.rouge_l(_pairs(spark, d), IDS, "pred", "ref").select(*IDS, F.round("fmeasure", 6).alias("fmeasure"))
+
+
 @register("evaluate_generation_lcs", _w(extra={**_ROUGE_CTES, **_BLEU_CTES, **_LCS_CTES}) + _GEN_SQL +
           ", (SELECT round(coalesce(avg(f), 0) * 100, 4) FROM lf) AS \"rougeL\"")
 def q_evaluate_generation_lcs(spark, d):

@@ -14,7 +14,7 @@ from oracle_check import digest  # noqa: E402
 SF = "/root/testdata/sf0.001"
 TABLES = ["documents", "labels", "conversations", "embeddings", "benchmark", "pages"]
 # without SQL: held against brute force or floors in their own test modules
-ELSEWHERE = {"train_multitask_eval", "train_single_eval", "rougeL"}
+ELSEWHERE = {"train_multitask_eval", "train_single_eval"}
 
 
 @pytest.fixture(scope="module")
