@@ -117,3 +117,13 @@ def q_incremental_standardize(spark, d):
     ck = scratch_dir(spark, "std-ckpt")
     ST.incremental_standardize(spark, d, schema, fx.table(spark, d, "labels"), target, ck, fx.split_of())
     return ST.standardized_rows(spark, target)
+
+
+@register("standardize_with_state", fx.duck_with("v_scotus") +
+          "SELECT doc_id, split, text AS input_text, label AS input_label, 'scotus' AS task_name FROM v_scotus")
+def q_standardize_with_state(spark, d):
+    """T2 as one stateful stream of documents and labels."""
+    docs, labels = (ST.document_stream(spark, d, fx.table(spark, d, t).schema, f"{t}.parquet") for t in ("documents", "labels"))
+    target = scratch_dir(spark, "state-target")
+    ST.standardize_with_state(docs, labels, target, scratch_dir(spark, "state-ckpt"), fx.split_of())
+    return spark.read.parquet(target).select("doc_id", "split", "input_text", "input_label", "task_name")
