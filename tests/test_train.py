@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.01"
@@ -43,3 +45,73 @@ def test_every_test_row_is_counted(spark):
     got = {r.task_name: r for r in TRN.evaluate_multitask(df, 512).collect()}
     assert got["a"].n == 60 and got["a"].accuracy > 0.9 and (got["b"].n, got["b"].accuracy) == (10, 0.0)
     assert tuple(TRN.evaluate_single(df.where("split = 'train'"), 512).first())[:3] == (0.0, 0.0, 0)
+
+
+def _plain_fit(rows, classes, reg, rounds=3000):
+    """Dense gradient descent for one task: (weights, loss)."""
+    import numpy as np
+    x, y = np.stack([r[0] for r in rows]), np.array([r[1] for r in rows])
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros((classes, x1.shape[1]))
+    for _ in range(rounds):
+        m = x1 @ w.T
+        e = np.exp(m - m.max(axis=1, keepdims=True))
+        p = e / e.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        flat = w.copy()
+        flat[:, -1] = 0
+        w -= 1.0 * (p.T @ x1 / len(y) + reg * flat)
+    m = x1 @ w.T
+    flat = w.copy()
+    flat[:, -1] = 0
+    loss = np.log(np.exp(m - m.max(axis=1, keepdims=True)).sum(axis=1)) + m.max(axis=1) - m[np.arange(len(y)), y]
+    return w, loss.mean() + reg / 2 * (flat ** 2).sum()
+
+
+def test_joint_heads_reach_the_plain_minimum(spark):
+    """One run over all tasks ends where a separate dense fit of each task does."""
+    import numpy as np
+    from corpuskit.operators import joint as J
+    rows = [(f"law court {w}", i % 3, "a") for i in range(60) for w in [["judge", "appeal fee", "cat dog"][i % 3]]]
+    rows += [(f"bird {i % 5} tree", int(i % 5 > 2), "b") for i in range(40)] + [("only zero", 0, "c"), ("", 1, "b"), (None, 0, "a")]
+    df = spark.createDataFrame([(t or "", y, k) for t, y, k in rows], "input_text string, input_label long, task_name string")
+    model = J.train_joint(df, 64, reg=0.01, max_iter=200, tol=1e-9)
+    assert {t: b - a for t, (a, b) in model.blocks.items()} == {"a": 3, "b": 2, "c": 2}
+    feats = {}
+    for r in J.encoded(model.encoder, df, "task_name", "input_label").collect():
+        x = np.zeros(64)
+        x[list(r.i)] = np.array(r.v) / (np.linalg.norm(r.v) or 1.0)
+        feats.setdefault(r.task_name, []).append((x, r.input_label))
+    for t, (a, b) in model.blocks.items():
+        w, loss = _plain_fit(feats[t], b - a, 0.01)
+        own = model.weights[a:b]
+        x1 = np.hstack([np.stack([x for x, _ in feats[t]]), np.ones((len(feats[t]), 1))])
+        m, y = x1 @ own.T, np.array([y for _, y in feats[t]])
+        got = (np.log(np.exp(m).sum(axis=1)) - m[np.arange(len(y)), y]).mean() + 0.005 * (own[:, :-1] ** 2).sum()
+        assert got <= loss + 1e-3, (t, got, loss)
+        plain = (x1 @ w.T).argmax(axis=1)
+        pred = [r.pred for r in J.predict_joint(model, df.where(F.col("task_name") == t)).collect()]
+        assert np.mean(np.array(pred) == plain) > 0.95
+
+
+def test_joint_model_survives_saving(spark, tmp_path):
+    from corpuskit.operators import joint as J
+    df = _rows(spark)
+    model = J.train_joint(df, 256)
+    model.save(str(tmp_path / "m"))
+    back = J.JointModel.load(str(tmp_path / "m"))
+    assert back.blocks == model.blocks and (back.weights == model.weights).all()
+    other = df.unionByName(spark.createDataFrame([("law", 1, "no head"), ("law", 1, None)], df.schema))
+    one, two = (sorted(map(str, J.predict_joint(m, other).collect())) for m in (model, back))
+    assert one == two and sum("pred=None" in r for r in one) == 2
+    assert J.predict_joint(J.train_joint(df.limit(0), 256), df).where("pred is not null").count() == 0
+
+
+def test_gradient_tree(spark):
+    """The tree of partial sums gives the same loss and gradient as one partition."""
+    import numpy as np
+    from corpuskit.operators import joint as J
+    rows = spark.createDataFrame([(0, 2, 0.5, i % 2, [i % 7, 9], [0.6, 0.8]) for i in range(50)], "start int, end int, share double, label int, i array<int>, v array<double>")
+    w = np.random.default_rng(0).normal(size=(2, 11))
+    one, many = J._evaluate(rows.coalesce(1), w, 0.1, 1), J._evaluate(rows.repartition(9), w, 0.1, 3)
+    assert np.isclose(one[0], many[0]) and np.allclose(one[1], many[1])
