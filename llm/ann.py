@@ -5,9 +5,12 @@ the smallest id hash), so that posting lists are of near-equal size; a vector ne
 boundary of several clusters stands in each of them (up to ``copies`` lists within
 ``boundary`` times its least distance). A query walks an in-memory graph over the
 centroids (nearest neighbours plus a few fixed random links) and keeps the lists whose
-distance is at most ``probe`` times the least, ``least_lists`` at least. The lists and
-the queries that ask them meet in Spark; each query's best ``k`` of each list are
-merged to its best ``k``.
+distance is at most ``probe`` times the least, and the nearest ``share`` of all lists at
+least: on vectors without clusters the ratio alone ends the walk far too early (the
+README has the figures). Lists and queries meet in Spark twice. The ``first`` nearest
+lists give each query ``k`` vectors, and the last of these a bound; of the other lists
+only vectors at or above that bound leave a task, so what is moved and merged follows the
+result and not the number of lists asked.
 
 Largest inner product becomes least distance by one more coordinate,
 ``sqrt(M^2 - |x|^2)`` with ``M`` the largest norm (0 for a query). Distances only choose
@@ -19,13 +22,16 @@ into blocks that are worked on separately, none is capped.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite values,
 rows without an id and vectors whose length is not the most frequent one (ties: the
-shorter) take no part; rows with one id count as one candidate with the best score,
+shorter) take no part; there are no texts, and other columns, clashing names among them, are
+not read; rows with one id count as one candidate with the best score,
 as a query the smallest of their vectors asks; fewer than ``k`` candidates give fewer
 rows; ties go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -138,26 +144,31 @@ def _assign(model, dim: int, copies: int, boundary: float):
     return run
 
 
-def _probe(model, dim: int, probe: float, least_lists: int):
+def _probe(model, dim: int, probe: float, share: float, least_lists: int):
+    """Queries -> a row for each list to ask, with its place among them (nearest first)."""
+
     def run(batches):
         centroids, _ = model.value
         graph = CentroidGraph(centroids)
+        least = max(least_lists, math.ceil(share * len(centroids)))
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 q = _matrix(part.column(1), dim)
-                found = graph.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), probe, least_lists)
+                found = graph.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), probe, least)
                 row = pa.array(np.repeat(np.arange(len(q)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int32()), part.column(0).take(row), part.column(1).take(row)], ["list", "query_id", "q"])
+                place = pa.array(np.concatenate([np.arange(len(f)) for f in found]), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int32()), place, part.column(0).take(row), part.column(1).take(row)],
+                                                 ["list", "place", "query_id", "q"])
     return run
 
 
 def _best(dim: int, k: int):
-    """One block of a list against one block of its queries -> each query's k best."""
+    """One block of a list against one block of its queries -> each query's k best at or above its bound."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, x = left["vec_id"].to_numpy(), _matrix(left["v"], dim)
-        queries, q = right["query_id"].to_numpy(), _matrix(right["q"], dim)
+        queries, q, bound = right["query_id"].to_numpy(), _matrix(right["q"], dim), right["bound"].to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
         if len(ids) and len(queries):
             order = np.argsort(ids, kind="stable")
@@ -168,10 +179,11 @@ def _best(dim: int, k: int):
                 for i, row in enumerate(s):
                     query = queries[at + i]
                     want = min(len(row), k + 1 + again)  # one more: the query itself may be there
-                    least = np.partition(row, len(row) - want)[len(row) - want]
+                    least = max(np.partition(row, len(row) - want)[len(row) - want], bound[at + i])
                     pick = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
                     pick = pick[ids[pick] != query]
                     score = (x[pick] * q[at + i]).sum(axis=1)
+                    pick, score = pick[score >= bound[at + i]], score[score >= bound[at + i]]
                     first = np.lexsort((ids[pick], -score))
                     if again:
                         first = first[np.sort(np.unique(ids[pick][first], return_index=True)[1])]
@@ -189,8 +201,25 @@ def _blocks(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.groupBy("list").agg(F.ceil(F.count("*") / rows).cast("int").alias(key))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, copies: int = 4, boundary: float = 1.15, probe: float = 1.085, least_lists: int = 128,
-            list_rows: int = LIST_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _meet(posting: DataFrame, ask: DataFrame, dim: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the lists' vectors at or above the bounds of the queries that ask them."""
+    block = max(64, BLOCK_VALUES // dim)
+    parts = F.broadcast(_blocks(posting, "xs", block).join(_blocks(ask, "qs", block), "list"))  # at most MAX_LISTS rows
+    left = (posting.join(parts, "list").withColumn("x", F.pmod(F.xxhash64("vec_id"), F.col("xs")).cast("int"))
+            .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("list", "x", "y", "vec_id", "v"))
+    right = (ask.join(parts, "list").withColumn("y", F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int"))
+             .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1))).select("list", "x", "y", "query_id", "q", "bound"))
+    return left.groupBy("list", "x", "y").cogroup(right.groupBy("list", "x", "y")).applyInArrow(_best(dim, k), "query_id long, vec_id long, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    merged = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, copies: int = 4, boundary: float = 1.15, probe: float = 1.05, share: float = 0.2, least_lists: int = 8,
+            first: int = 4, list_rows: int = LIST_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     ship(spark)
@@ -210,15 +239,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, copies: int = 4, b
     kind = vectors.schema[vector_col].dataType.simpleString()
     posting = saved(v.mapInArrow(_assign(model, dim, copies, boundary), f"list int, vec_id long, v {kind}"), "postings")
     ask = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("q"))
-    ask = saved(ask.mapInArrow(_probe(model, dim, probe, least_lists), f"list int, query_id long, q {kind}"), "probes")
-    block = max(64, BLOCK_VALUES // dim)
-    parts = _blocks(posting, "xs", block).join(_blocks(ask, "qs", block), "list")  # at most MAX_LISTS rows
-    parts = F.broadcast(parts)
-    left = (posting.join(parts, "list").withColumn("x", F.pmod(F.xxhash64("vec_id"), F.col("xs")).cast("int"))
-            .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("list", "x", "y", "vec_id", "v"))
-    right = (ask.join(parts, "list").withColumn("y", F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int"))
-             .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1))).select("list", "x", "y", "query_id", "q"))
-    found = (left.groupBy("list", "x", "y").cogroup(right.groupBy("list", "x", "y")).applyInArrow(_best(dim, k), "query_id long, vec_id long, score double"))
-    merged = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ask = saved(ask.mapInArrow(_probe(model, dim, probe, share, least_lists), f"list int, place int, query_id long, q {kind}"), "probes")
+    near = ask.where(F.col("place") < first).withColumn("bound", F.lit(float("-inf")))
+    found = saved(_ranked(_meet(posting, near, dim, k), k), "first")
+    bound = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    rest = ask.where(F.col("place") >= first).join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    return _ranked(found.drop("rank").unionByName(_meet(posting, rest, dim, k)), k)
