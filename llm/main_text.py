@@ -2,8 +2,10 @@
 
 Method: site template removal. Every block element's subtree (name, attributes, text
 and children) is hashed; Spark counts for each host on how many pages each subtree
-stands; subtrees that recur on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the
-host's pages are template and deleted. The article itself (``article`` or ``main``) is
+stands; subtrees that recur on at least ``MIN_SHARE`` of the host's pages, and on
+``MIN_PAGES`` pages that differ, are template and deleted, unless they hold all of a page's text
+outside links: that page keeps them. Repeated rows and copied pages thus keep their text. The
+article itself (``article`` or ``main``) is
 no template: texts are copied whole between pages of a host, and copies of an article
 are not to vanish. Elements whose name, role, class or id says what they are (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) are deleted also where a
@@ -18,6 +20,8 @@ Only hashes are shuffled, never pages. The template table goes to all tasks when
 at most ``INLINE`` rows; a longer one is joined to the pages' own hashes instead, with
 the same result.
 
+Pages are parsed twice, to count and to extract: parsed trees are larger than the pages.
+
 Defined cases: null and empty html gives the empty text; a null or malformed url is the
 host with the empty name; repeated rows are pages of their own and count as pages; null
 ids are kept; other columns are not read; an empty table gives an empty result.
@@ -221,28 +225,36 @@ def _rows(batches):
             yield zip(*[c.to_pylist() for c in b.slice(at, 64).columns])
 
 
-def _parts(batches):
-    """(host, hash) of each page's block elements, once a page; hash null: the page itself.
-    Counted within the task first, so that a host with a third of all pages sends few rows."""
-    pages: dict[int, int] = {}
-    found: dict[tuple[int, int], int] = {}
+def _parts(min_pages: int):
+    """(host, hash, pages, body) of each page's block elements, once a page; hash null: the page itself.
+    Counted within the task first, so that a host with a third of all pages sends few rows: a part
+    comes with at most ``min_pages`` of the page bodies it stands in, enough to tell whether that many differ."""
+    def run(batches):
+        pages: dict[int, int] = {}
+        found: dict[tuple[int, int], list] = {}
 
-    def out():
-        rows = [(_signed(h), None, n) for h, n in pages.items()] + [(_signed(h), _signed(s), n) for (h, s), n in found.items()]
-        pages.clear()
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, ["host", "part", "n"])
+        def out():
+            rows = [(_signed(h), None, n, 0) for h, n in pages.items()]
+            rows += [(_signed(h), _signed(s), n if i == 0 else 0, _signed(b)) for (h, s), (n, bodies) in found.items() for i, b in enumerate(sorted(bodies))]
+            pages.clear()
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4, ["host", "part", "n", "body"])
 
-    for rows in _rows(batches):
-        for url, html in rows:
-            name = host_of(url)
-            host = hash_of(name)
-            pages[host] = pages.get(host, 0) + 1
-            for s in {_site_hash(name, h) for _, h in template_parts(parse(html or ""))}:
-                found[host, s] = found.get((host, s), 0) + 1
-        if len(found) >= 200_000:
-            yield out()
-    yield out()
+        for rows in _rows(batches):
+            for url, html in rows:
+                name = host_of(url)
+                host = hash_of(name)
+                body = hash_of(html or "")
+                pages[host] = pages.get(host, 0) + 1
+                for s in {_site_hash(name, h) for _, h in template_parts(parse(html or ""))}:
+                    seen = found.setdefault((host, s), [0, set()])
+                    seen[0] += 1
+                    if len(seen[1]) < min_pages:
+                        seen[1].add(body)
+            if len(found) >= 200_000:
+                yield out()
+        yield out()
+    return run
 
 
 def _extract(template):
@@ -265,6 +277,8 @@ def _extract(template):
                 else:
                     recurring = set()
                 gone = {id(n) for n, h in parts if _signed(_site_hash(name, h)) in recurring} if recurring else set()
+                if gone and not _weights(root, gone)[id(root)]:
+                    gone = set()  # the page has no other text
                 text = text_of(root, gone)
                 out.append((page_id, url, text, len(text)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "text", "n_chars"])
@@ -289,8 +303,10 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     spark = pages.sparkSession
     ship(spark)
     df = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    counts = saved(df.select("url", "html").mapInArrow(_parts, "host long, part long, n long").groupBy("host", "part").agg(F.sum("n").alias("n"))
-                   .where(F.col("part").isNull() | (F.col("n") >= min_pages)), "parts")
+    bodies = (df.select("url", "html").mapInArrow(_parts(max(1, min_pages)), "host long, part long, n long, body long")
+              .groupBy("host", "part", "body").agg(F.sum("n").alias("n")))
+    counts = saved(bodies.groupBy("host", "part").agg(F.sum("n").alias("n"), F.count("*").alias("differ"))
+                   .where(F.col("part").isNull() | (F.col("differ") >= min_pages)), "parts")
     hosts = counts.where("part is null").select("host", F.col("n").alias("pages"))
     template = counts.where("part is not null").join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("part").distinct()
     if template.limit(inline + 1).count() <= inline:

@@ -73,6 +73,23 @@ def test_templates_of_a_host_go(spark, inline):
     assert main_text(pages(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_repeated_and_copied_pages_keep_their_text(spark, inline):
+    """Pages without article tags: what recurs only because whole pages recur is no template."""
+    menu = "<div><p>Latest picks</p><p><a href=x>Buy now</a></p></div>"
+    rows = [("http://c.example/", f"{menu}<div class=content><p>Story {i} of the day</p><p>told at length</p></div>") for i in range(40)]
+    rows += [("http://c.example/copy", f"{menu}<div class=content><p>One page that many rows repeat</p><p>whole</p></div>")] * 6
+    rows += [(f"http://c.example/{i}", f"<!-- {i} -->{menu}<div class=content><p>Copied, each with a remark of its own</p></div>") for i in range(6)]
+    rows += [("http://d.example/", "<div class=content><p>The only page there is</p></div>")] * 9
+    rows += [("http://e.example/", f"<div>Same words on all</div><p><a href={i}>link {i}</a></p>") for i in range(9)]
+    got = [r.text for r in sorted(main_text(pages(spark, rows), inline=inline).collect(), key=lambda r: r.page_id)]
+    assert got[:40] == [f"Story {i} of the day" for i in range(40)]  # "told at length" recurs on forty pages that differ
+    assert got[40:46] == ["One page that many rows repeat\nwhole"] * 6
+    assert all("Copied, each with a remark of its own" in t for t in got[46:52])
+    assert got[52:61] == ["The only page there is"] * 9
+    assert all(t.startswith("Same words on all") for t in got[61:])
+
+
 def test_pages_of_the_tables(spark):
     """The articles of the tables, read off by plain expressions."""
     import __spark_entry__ as e
