@@ -15,6 +15,7 @@ from corpuskit.functions.common import let, to_col
 # The whitespace that ``str.split`` knows, sentence terminators and marker text.
 WS_CHARS = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{WS_CHARS}]"
+SPACE = r"(?U:[\s\x1c-\x1f])"  # the same characters, as Java's engine tests them fastest
 SENT_END = r"([.!?])"
 SENT_MARK = "\u0001"
 TRIMMED_SUFFIX = "... (trimmed)"
@@ -38,7 +39,7 @@ def lstrip_ws(c) -> Column:
 
 def clean_text(c) -> Column:
     """Runs of whitespace become one space; the result is stripped."""
-    return F.trim(F.regexp_replace(to_col(c), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(to_col(c), f"{SPACE}+", " "))
 
 
 def split_sentences(c) -> Column:
@@ -49,19 +50,19 @@ def split_sentences(c) -> Column:
 def split_sentences_ws(c) -> Column:
     """X2 for raw (not cleaned) text: any whitespace run after a terminator ends a
     sentence; the text is stripped first."""
-    return F.split(F.regexp_replace(strip_ws(c), f"{SENT_END}{WS}+", f"$1{SENT_MARK}"), SENT_MARK)
+    return F.split(F.regexp_replace(strip_ws(c), f"{SENT_END}{SPACE}+", f"$1{SENT_MARK}"), SENT_MARK)
 
 
 def words(c) -> Column:
     """``str.split()`` as an array (empty array for blank text)."""
     return let(strip_ws(c), lambda s: F.when(s == "", F.array().cast("array<string>"))
-               .otherwise(F.split(s, f"{WS}+")))
+               .otherwise(F.split(s, f"{SPACE}+")))
 
 
 def word_count(c) -> Column:
     """``len(text.split())``; 0 for blank or null text."""
     return let(strip_ws(F.coalesce(to_col(c), F.lit(""))),
-               lambda s: F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{WS}+"))).cast("bigint"))
+               lambda s: F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{SPACE}+"))).cast("bigint"))
 
 
 def keep_long_sentences(sentences, min_words: int = 5) -> Column:

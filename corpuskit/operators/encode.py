@@ -25,20 +25,29 @@ def token_id(tok: Column, vocab: int = DEFAULT_VOCAB) -> Column:
     return (h % (vocab - RESERVED) + RESERVED).cast("int")
 
 
+def _padded_ids(toks: Column, length: int, vocab: int) -> Column:
+    return let(F.transform(toks, lambda t: token_id(t, vocab)), lambda ids: F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(length) - F.size(ids))))
+
+
+def _mask(toks: Column, length: int) -> Column:
+    return let(F.size(toks), lambda k: F.concat(F.array_repeat(F.lit(1), k), F.array_repeat(F.lit(0), F.lit(length) - k)))
+
+
+def _tokens(text, length: int) -> Column:
+    return F.slice(lower_tokens(to_col(text)), 1, length)
+
+
 def encode_ids(text, length: int, vocab: int = DEFAULT_VOCAB) -> Column:
     """Token ids truncated / padded to ``length``."""
-    def on_ids(ids):
-        return F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(length) - F.size(ids)))
-    toks = F.slice(lower_tokens(to_col(text)), 1, length)
-    return let(F.transform(toks, lambda t: token_id(t, vocab)), on_ids)
+    return let(_tokens(text, length), lambda t: _padded_ids(t, length, vocab))
 
 
 def attention_mask(text, length: int) -> Column:
-    n = F.size(F.slice(lower_tokens(to_col(text)), 1, length))
-    return let(n, lambda k: F.concat(F.array_repeat(F.lit(1), k), F.array_repeat(F.lit(0), F.lit(length) - k)))
+    return let(_tokens(text, length), lambda t: _mask(t, length))
 
 
 def encode_fixed_length(df: DataFrame, text: str, length: int, vocab: int = DEFAULT_VOCAB) -> DataFrame:
-    """``input_ids`` and ``attention_mask`` of constant length."""
-    return df.withColumn("input_ids", encode_ids(text, length, vocab)).withColumn(
-        "attention_mask", attention_mask(text, length))
+    """``input_ids`` and ``attention_mask`` of constant length, from one tokenisation.  Ids are hash
+    buckets, so no vocabulary is needed; ``vocabulary.py`` has ids by corpus frequency."""
+    both = let(_tokens(text, length), lambda t: F.struct(_padded_ids(t, length, vocab).alias("i"), _mask(t, length).alias("m")))
+    return df.withColumn("_both", both).withColumns({"input_ids": F.col("_both.i"), "attention_mask": F.col("_both.m")}).drop("_both")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.operators.splits import _local_index
+from corpuskit.session import scratch_dir
 
 # Distinct values are listed only below this count.
 LIST_VALUES_BELOW = 20
@@ -71,41 +72,66 @@ def exact_quantiles(df: DataFrame, column: str, probs=QUANTILES) -> DataFrame:
     return both.select("p", (F.col("vlo") + (F.col("h") - F.col("lo")) * (F.col("vhi") - F.col("vlo"))).alias("q"))
 
 
-def describe_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+HEAD = 64  # characters by which the most frequent strings are told apart before whole values are read
+
+
+def describe_columns(df: DataFrame, columns: list[str] | None = None, first: int | None = None, order: str | None = None) -> DataFrame:
     """``describe(include="all")`` as a long table ``(column, stat, value_num, value_str)``:
-    count, unique/top/freq for strings; mean, std, min, quartiles, max for numbers."""
+    count, unique/top/freq for strings; mean, std, min, quartiles, max for numbers.  ``first``: of the
+    first rows by ``order`` only.
+
+    Three scans, whatever the number of columns: one aggregate; one histogram of all columns' values
+    (strings by digest and their first characters), written, from which a single prefix sum over (column,
+    value) gives every quantile; and one look for the most frequent strings."""
     columns = columns or df.columns
-    parts = []
-    for c in columns:
-        dt = df.schema[c].dataType
-        if isinstance(dt, T.NumericType):
-            base = df.agg(F.count(c).cast("double").alias("count"), F.avg(c).alias("mean"),
-                          F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-                          F.max(c).cast("double").alias("max"))
-            st = base.select(F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), F.col(k).cast("double").alias("value"))
-                                                 for k in base.columns])).alias("s")).select("s.*")
-            qs = exact_quantiles(df, c).select(
-                F.concat((F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"),
-                F.col("q").alias("value"))
-            parts.append(st.unionByName(qs).select(F.lit(c).alias("column"), "stat",
-                                                   F.round("value", 6).alias("value_num"),
-                                                   F.lit(None).cast("string").alias("value_str")))
-        else:
-            s = df.select(F.col(c).cast("string").alias("v"))
-            counts = s.where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("f"))
-            top = counts.agg(F.min_by("v", F.struct(-F.col("f"), F.col("v"))).alias("top"),
-                             F.max("f").alias("freq"), F.count("*").alias("unique"))
-            cnt = s.agg(F.count("v").alias("count"))
-            num = lambda k, v: F.struct(F.lit(k).alias("stat"), v.cast("double").alias("value_num"),
-                                        F.lit(None).cast("string").alias("value_str"))
-            stats = cnt.select(F.explode(F.array(num("count", F.col("count")))).alias("s")).select("s.*").unionByName(
-                top.select(F.explode(F.array(
-                    num("unique", F.col("unique")),
-                    F.struct(F.lit("top").alias("stat"), F.lit(None).cast("double").alias("value_num"),
-                             F.col("top").alias("value_str")),
-                    num("freq", F.col("freq")))).alias("s")).select("s.*"))
-            parts.append(stats.select(F.lit(c).alias("column"), "stat", "value_num", "value_str"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    if first is not None:
+        df = df.orderBy(order or columns[0]).limit(first)
+    spark = df.sparkSession
+    numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
+    strings = [c for c in columns if c not in numeric]
+    text = lambda c: F.col(c).cast("string")
+    row = lambda c, stat, value: F.struct(F.lit(c).alias("column"), F.lit(stat).alias("stat"), value.cast("double").alias("value"))
+    stats = [row(c, "count", F.count(c)) for c in columns]
+    for c in numeric:
+        stats += [row(c, "mean", F.avg(c)), row(c, "std", F.stddev_samp(c)), row(c, "min", F.min(c)), row(c, "max", F.max(c))]
+    base = df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+
+    none = lambda kind: F.lit(None).cast(kind)
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("num"), none("string").alias("digest"), none("string").alias("head")) for c in numeric]
+    cells += [F.struct(F.lit(c).alias("column"), none("double").alias("num"), F.sha2(text(c), 256).alias("digest"), F.substring(text(c), 1, HEAD).alias("head")) for c in strings]
+    path = scratch_dir(spark, "histogram") + "/table"
+    (df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("num is not null or digest is not null")
+     .groupBy("column", "num", "digest").agg(F.count("*").alias("c"), F.first("head").alias("head")).write.parquet(path))
+    hist = spark.read.parquet(path)
+    parts = [base]
+    if numeric:
+        own = hist.where("num is not null").select("column", "num", "c")
+        h = (F.col("n") - 1) * F.col("p")
+        want = (own.groupBy("column").agg(F.sum("c").alias("n")).withColumn("p", F.explode(F.array(*[F.lit(p) for p in QUANTILES])))
+                .select(F.col("column").alias("_c"), "p", (h - F.floor(h)).alias("part"), F.floor(h).cast("long").alias("lo"), F.ceil(h).cast("long").alias("hi")))
+        inside = lambda k: (F.col(k) >= F.col("start")) & (F.col(k) < F.col("start") + F.col("c"))
+        # a row for each column and quantile: a proven bound
+        hit = _local_index(own, "num", "column", out="start", weight="c").join(F.broadcast(want), (F.col("column") == F.col("_c")) & (inside("lo") | inside("hi")))
+        q = hit.groupBy("column", "p", "part").agg(F.max(F.when(inside("lo"), F.col("num"))).alias("a"), F.max(F.when(inside("hi"), F.col("num"))).alias("b"))
+        parts.append(q.select("column", F.concat((F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"), (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("value")))
+    if strings:
+        own = hist.where("digest is not null")
+        most = own.groupBy("column").agg(F.count("*").alias("unique"), F.max("c").alias("freq"))
+        parts.append(most.select(F.inline(F.array(*[F.struct("column", F.lit(k).alias("stat"), F.col(k).cast("double").alias("value")) for k in ("unique", "freq")]))))
+        often = own.join(F.broadcast(most.select("column", F.col("freq").alias("c"))), ["column", "c"])  # a row for each column
+        head = often.groupBy("column").agg(F.min("head").alias("head"))
+        often = often.join(F.broadcast(head), ["column", "head"]).select("column", "head", "digest")
+        values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("v")) for c in strings])).alias("x")).select("x.*").where("v is not null")
+        values = (values.withColumn("head", F.substring("v", 1, HEAD)).join(F.broadcast(head), ["column", "head"])
+                  .withColumn("digest", F.sha2("v", 256)).join(often.select("column", "digest"), ["column", "digest"], "left_semi"))
+        top = values.groupBy("column").agg(F.min("v").alias("value_str")).select("column", F.lit("top").alias("stat"), none("double").alias("value_num"), "value_str")
+        there = spark.createDataFrame([(c,) for c in strings], "column string")
+        gaps = there.select(F.inline(F.array(*[F.struct("column", F.lit(k).alias("stat"), F.lit(v).cast("double").alias("value")) for k, v in (("unique", 0.0), ("freq", None))])))
+        found = parts.pop()
+        parts.append(found.unionByName(gaps.join(found.select("column").distinct(), "column", "left_anti")))
+        top = there.join(top.drop("stat"), "column", "left").select("column", F.lit("top").alias("stat"), "value_num", "value_str")
+    out = reduce(lambda a, b: a.unionByName(b), parts).select("column", "stat", F.round("value", 6).alias("value_num"), none("string").alias("value_str"))
+    return out.unionByName(top) if strings else out
 
 
 def profile_column(df: DataFrame, column: str) -> DataFrame:

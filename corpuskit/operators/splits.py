@@ -3,20 +3,19 @@
 L1-L6, W1, W2, W7, J3, U1, U5, A16.  Randomness is an md5 hash of (id, seed), so
 every result is independent of partitioning (``randomSplit`` is not: it changes
 with the partition layout).  Windows only run on small derived tables (tasks,
-batches) or are partitioned by (task, bucket) so no single task is one group.
+batches) or are partitioned by (task, range partition) so no single task is one group.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from corpuskit.functions.common import md5_bucket
+from corpuskit.session import scratch_dir
 
 def hash_order(id_col: str, seed) -> Column:
     """A deterministic pseudo-random sort key: md5 of id ‖ seed."""
@@ -131,30 +130,21 @@ def task_offsets(df: DataFrame, task: str = "task_name", task_order: list[str] |
     return c.withColumn("offset", F.coalesce(F.sum("n_rows").over(w), F.lit(0)).cast("bigint"))
 
 
-def _number(df: DataFrame, key: str) -> Column:
-    """A number that grows with the key (never falls): the value itself, or the first six
-    bytes of a string."""
-    if isinstance(df.schema[key].dataType, T.NumericType):
-        return F.col(key).cast("double")
-    head = F.hex(F.substring(F.col(key).cast("string").cast("binary"), F.lit(1), F.lit(6)))
-    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+def _dealt(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """The rows in sorted range partitions of the keys, written once, with their partition ``_b`` and a number
+    ``_m`` that grows with the keys' order.  Spark samples the bounds, so any type and spread of keys will do."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, "ranked") + "/table"
+    dealt = df.repartitionByRange(buckets, *keys) if buckets else df.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path).withColumn("_b", F.shiftright("_m", 33))
 
 
 def range_bucket(df: DataFrame, key: str, out: str, buckets: int | None = None) -> DataFrame:
-    """``df`` with a bucket number that grows with the key.  Bounds are quantiles of the
-    key (one bounded sketch of the data), so buckets hold about equally many rows however
-    the keys are spread; null keys come first."""
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.withColumn("_num", _number(df, key))
-    cuts = df.stat.approxQuantile("_num", [i / n for i in range(1, n)], 1.0 / (4 * n)) if n > 1 else []
-    edges = [-float("inf"), *sorted(set(cuts) - {-float("inf"), float("inf")}), float("inf")]
-    if len(edges) == 2:
-        b = F.lit(0).cast("bigint")
-        return df.withColumn(out, F.when(F.col("_num").isNull(), F.lit(-1).cast("bigint")).otherwise(b)).drop("_num")
-    cut = Bucketizer(splits=edges, inputCol="_safe", outputCol="_bucket")
-    df = cut.transform(df.withColumn("_safe", F.coalesce("_num", F.lit(0.0))))
-    return (df.withColumn(out, F.when(F.col("_num").isNull(), F.lit(-1)).otherwise(F.col("_bucket")).cast("bigint"))
-            .drop("_num", "_safe", "_bucket"))
+    """``df`` with a bucket number that grows with the key; buckets hold about equally many rows however
+    the keys are spread; null keys are in bucket -1."""
+    rows = _dealt(df, [key], buckets).withColumnRenamed("_b", "_part")
+    return rows.withColumn(out, F.when(F.col(key).isNull(), F.lit(-1).cast("bigint")).otherwise(F.col("_part"))).drop("_m", "_part")
 
 
 def _local_index(df: DataFrame, id_col: str, task: str | None, buckets: int | None = None,
@@ -162,39 +152,40 @@ def _local_index(df: DataFrame, id_col: str, task: str | None, buckets: int | No
     """0-based rank of each row inside its task by ``id_col`` (keys unique per
     task; with ties the ranks are still a permutation).
 
-    No window ever spans a whole task: rows fall into range buckets of the key, bucket
-    sizes are prefix-summed on the small (task, bucket) table, and the final rank is
-    local to one bucket.  With ``weight`` the result is the exclusive prefix sum of the
-    weights instead of the row rank; ``order`` breaks ties of the key.
+    No window ever spans a whole task: rows go once to range partitions of (task, key), whatever the
+    keys' type and spread, and are written sorted and numbered.  A task's rows before a
+    partition are prefix-summed on the small (task, partition) table, and a row's rank follows from
+    its number.  With ``weight`` the result is the exclusive prefix sum of the weights instead of
+    the row rank; ``order`` breaks ties of the key.
     """
     by = [task] if task is not None else []
-    with_b = range_bucket(df, id_col, "_b", buckets)
+    rows = _dealt(df, [*by, id_col, *(order or [])], buckets)
     wcol = F.col(weight) if weight else F.lit(1)
-    sizes = with_b.groupBy(*by, "_b").agg(F.sum(wcol).alias("_n"))
+    sizes = rows.groupBy(*by, "_b").agg(F.sum(wcol).alias("_n"), F.min("_m").alias("_first"))
     w = (Window.partitionBy(*by) if by else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    inner = Window.partitionBy(*by, "_b").orderBy(id_col, *(order or []))
-    local = (F.sum(wcol).over(inner.rowsBetween(Window.unboundedPreceding, -1)) if weight
-             else F.row_number().over(inner) - 1)
-    starts = starts.select(*[F.col(c).alias(f"_s{c}") for c in (*by, "_b")], "_start")
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    inner = Window.partitionBy(*by, "_b").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(*[F.col(c).alias(f"_s{c}") for c in (*by, "_b")], "_start", "_first")
     on = [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in (*by, "_b")]
-    return (with_b.withColumn("_local", F.coalesce(local, F.lit(0))).join(starts, on)
-            .withColumn(out, (F.col("_start") + F.col("_local")).cast("bigint"))
-            .drop("_b", "_start", "_local", *[f"_s{c}" for c in (*by, "_b")]))
+    if weight:
+        rows = rows.withColumn("_local", F.coalesce(F.sum(wcol).over(inner), F.lit(0)))
+    rows = rows.join(starts, on)
+    local = F.col("_local") if weight else F.col("_m") - F.col("_first")
+    return (rows.withColumn(out, (F.col("_start") + local).cast("bigint"))
+            .drop("_m", "_b", "_start", "_first", *(["_local"] if weight else []), *[f"_s{c}" for c in (*by, "_b")]))
 
 
 def ordered_index(df: DataFrame, order_cols: list[str], out: str = "idx", buckets: int | None = None) -> DataFrame:
-    """0-based position of each row in the order of ``order_cols``: range buckets of the
-    first column, positions inside a bucket by all of them."""
+    """0-based position of each row in the order of ``order_cols``."""
     return _local_index(df, order_cols[0], None, buckets, out, order=order_cols[1:])
 
 
 def global_index(df: DataFrame, id_col: str = "doc_id", task: str = "task_name",
                  task_order: list[str] | None = None) -> DataFrame:
     """``global_idx = offset(task) + local_idx`` (rows of a task by id)."""
-    offs = task_offsets(df, task, task_order).select(task, "offset")
-    return (_local_index(df, id_col, task).join(offs, task)
-            .withColumn("global_idx", F.col("offset") + F.col("local_idx")).drop("offset"))
+    offs = task_offsets(df, task, task_order).select(F.col(task).alias("_task"), "offset")
+    return (_local_index(df, id_col, task).join(offs, F.col(task).eqNullSafe(F.col("_task")))
+            .withColumn("global_idx", F.col("offset") + F.col("local_idx")).drop("offset", "_task"))
 
 
 def task_batches(df: DataFrame, batch_size: int, seed=42, id_col: str = "doc_id",

@@ -50,7 +50,7 @@ def oracle_sql() -> dict[str, str]:
 def _load_all():
     # Importing the query modules fills REGISTRY.
     from corpuskit.plans import (q_labels, q_splits, q_text, q_scoring, q_metrics,  # noqa: F401
-                                 q_textrank, q_misc, q_io, q_learned)
+                                 q_textrank, q_misc, q_io, q_learned, q_simplification)
 
 
 # Declared class counts per task (the label-count file).

@@ -87,7 +87,7 @@ def read_pairs_csv(spark: SparkSession, path: str, first: str = "complex", secon
     ``multi_line=False`` (no line breaks inside fields) large files are split into tasks."""
     df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     if len(df.columns) < 2:
-        df = spark.read.option("header", True).option("sep", "\t").csv(path)
+        df = spark.read.option("header", True).option("sep", "\t").option("multiLine", multi_line).option("escape", '"').csv(path)
     if len(df.columns) < 2:
         raise ValueError(f"{path}: expected at least two columns, found {df.columns}")
     if not {first, second} <= set(df.columns):

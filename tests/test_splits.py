@@ -112,3 +112,27 @@ def test_ordered_index_of_strings(spark):
     d = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r.n for r in sorted(S.ordered_index(d, ["n"], buckets=4).collect(), key=lambda r: r.idx)]
     assert got == sorted(names, key=lambda n: n.encode())
+
+
+def test_rows_without_a_task_have_a_global_index(spark):
+    from corpuskit.operators import splits as S
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "doc_id long, task_name string")
+    got = {r.doc_id: r.global_idx for r in S.global_index(df).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and sorted(got.values()) == [0, 1, 2, 3]
+
+
+def test_keys_with_one_prefix_are_spread(spark):
+    """String keys that begin alike fall into many partitions, and are numbered in order."""
+    from pyspark.sql import functions as F
+
+    from corpuskit.operators import splits as S
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        keys = [f"https://x.org/{i:05d}" for i in range(1000)]
+        df = spark.createDataFrame([(k,) for k in reversed(keys)], "k string")
+        out = S.ordered_index(df, ["k"])
+        assert [r.k for r in out.orderBy("idx").collect()] == keys
+        dealt = df.repartitionByRange(8, "k").groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) == 8 and max(r["count"] for r in dealt) < 300
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
