@@ -132,7 +132,8 @@ def task_offsets(df: DataFrame, task: str = "task_name", task_order: list[str] |
 
 def _dealt(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
     """The rows in sorted range partitions of the keys, written once, with their partition ``_b`` and a number
-    ``_m`` that grows with the keys' order.  Spark samples the bounds, so any type and spread of keys will do."""
+    ``_m`` that grows with the keys' order.  Spark samples the bounds, so any type and spread of keys will do.
+    All columns are written: drop texts that are not needed beforehand."""
     spark = df.sparkSession
     path = scratch_dir(spark, "ranked") + "/table"
     dealt = df.repartitionByRange(buckets, *keys) if buckets else df.repartitionByRange(*keys)

@@ -94,6 +94,11 @@ def q_union_splits(spark, d):
     return S.three_way_split(S.union_splits(parts), "doc_id", SEED).select("doc_id", "split")
 
 
+def _train_labels(spark, d):
+    """What is numbered: no texts, as every column given is written with its rank."""
+    return std(spark, d, splits=["train"]).select("doc_id", "task_name", "input_label")
+
+
 _BATCH_CTE = {"bt": "SELECT doc_id, task_name, input_label, (row_number() OVER (PARTITION BY task_name ORDER BY "
                     f"{_k(f"doc_id::VARCHAR || '{SEED}'")}) - 1)::BIGINT AS pos_in_task FROM std WHERE split = 'train'",
               "bt2": f"SELECT *, (pos_in_task // {B})::BIGINT AS batch_no, "
@@ -101,7 +106,7 @@ _BATCH_CTE = {"bt": "SELECT doc_id, task_name, input_label, (row_number() OVER (
 
 
 def _batches(spark, d):
-    return S.task_batches(std(spark, d, splits=["train"]), B, SEED)
+    return S.task_batches(_train_labels(spark, d), B, SEED)
 
 
 @register("task_batches", with_std(extra=_BATCH_CTE) + "SELECT doc_id, task_name, pos_in_task, batch_no FROM bt2")
@@ -141,7 +146,7 @@ def q_batch_coverage(spark, d):
           "bool_and(coalesce(input_label >= 0 AND input_label < c.num_labels, false)) AS batch_valid "
           "FROM bt LEFT JOIN counts c ON c.task = bt.task_name GROUP BY 1")
 def q_batch_drop_invalid(spark, d):
-    b = S.task_batches(std4(spark, d).where(F.col("split") == "train"), B, SEED)
+    b = S.task_batches(std4(spark, d).where(F.col("split") == "train").select("doc_id", "task_name", "input_label"), B, SEED)
     return L.batch_validity(b, task_counts_df(spark))
 
 
@@ -160,4 +165,4 @@ def q_task_offsets(spark, d):
           "UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM (SELECT task_name, count(*) n FROM std "
           "WHERE split = 'train' GROUP BY 1)) USING (task_name)")
 def q_global_index(spark, d):
-    return S.global_index(std(spark, d, splits=["train"])).select("doc_id", "task_name", "local_idx", "global_idx")
+    return S.global_index(_train_labels(spark, d)).select("doc_id", "task_name", "local_idx", "global_idx")
