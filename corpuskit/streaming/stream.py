@@ -17,8 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corpuskit.operators import labels as L
 from corpuskit.sources import io
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# waiting texts on disk, and no store kept open after its commit: an open one holds some megabytes of disk
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+               "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 
 
 def document_stream(spark: SparkSession, source_dir: str, schema, glob: str = "documents.parquet") -> DataFrame:
@@ -142,12 +143,14 @@ def standardize_with_state(docs: DataFrame, labels: DataFrame, target: str, chec
     rows = both.where("doc_id is not null and not (is_label and label is null)").groupBy("doc_id").applyInPandasWithState(
         _match, MATCHED, STATE, "append", GroupStateTimeout.NoTimeout)
     out = L.standardize_single_label(rows.withColumn("split", split), task)
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         q = (out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).partitionBy("split")
              .outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return q
