@@ -64,16 +64,18 @@ def _sparse(batch: pa.RecordBatch, index: int, value: int):
     """(row number of each entry, feature, value) of the batch's rows, each row at length one."""
     sizes = batch.column(index).value_lengths().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    v = batch.column(value).flatten().to_numpy(zero_copy_only=False)
+    v = batch.column(value).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     length = np.sqrt(np.bincount(row, weights=v * v, minlength=len(sizes)))
     return row, batch.column(index).flatten().to_numpy(zero_copy_only=False), v / length[row]
 
 
 def _margins(rows: int, row, feature, value, w: np.ndarray) -> np.ndarray:
     """Products of the rows with the block ``w`` (classes x features and intercept)."""
-    out = np.empty((rows, len(w)))
-    for k, own in enumerate(w):
-        out[:, k] = np.bincount(row, weights=value * own[feature], minlength=rows) + own[-1]
+    out = np.tile(w[:, -1], (rows, 1))
+    if len(row):
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))  # entries are in row order
+        by_feature = np.ascontiguousarray(w[:, :-1].T)
+        out[row[first]] += np.add.reduceat(value[:, None] * by_feature[feature], first, axis=0)
     return out
 
 
@@ -196,7 +198,7 @@ def train_joint(df: DataFrame, num_features: int = 4096, text: str = "input_text
     plan = spark.createDataFrame([(r["_task"], *blocks[r["_task"]], 1.0 / r["n"]) for r in tasks], "_task string, start int, end int, share double")
     path = scratch_dir(spark, "features") + "/table"
     rows = encoded(encoder, df, "_task", "_label").join(F.broadcast(plan), "_task")  # a row a task
-    rows.select("start", "end", "share", F.col("_label").alias("label"), "i", "v").write.parquet(path)
+    rows.select("start", "end", "share", F.col("_label").alias("label"), "i", F.col("v").cast("array<float>").alias("v")).write.parquet(path)
     rows = spark.read.parquet(path)
     tasks_of_job = rows.rdd.getNumPartitions()
     fan_in = int(np.sqrt(tasks_of_job)) if tasks_of_job > DIRECT else 1
