@@ -52,6 +52,7 @@ CHUNK = 2_000_000  # shingles that a task counts at once
 BLOCK = 4096  # holders of a key in one sub-block
 CLUSTER_ROWS, CLUSTER_SHINGLES = 2048, 2_000_000  # sets and shingles in one sub-block of a cluster
 BITMAP_BITS = 24
+SEEN = 200_000  # digests that a task remembers when sets are read again
 
 
 def _batches(batches, size: int = 256):
@@ -199,17 +200,28 @@ def _bound_blocks(p: int, q: int):
 
 
 def _sets(bitmap, k: int):
-    """The sets of documents whose id is marked, with their digests."""
+    """The sets of documents whose id is marked, with their digests; a set that recurs in a task is given once."""
 
     def run(batches):
         marks = bitmap.value
+        seen: set[bytes] = set()
         for ids, texts in _batches(batches):
             want = [t for i, t in zip(ids, texts) if i is None or marks[_slot(i) >> 3] >> (_slot(i) & 7) & 1]
-            sets = [s for s in shingle_sets(want, k) if len(s)]
-            yield pa.record_batch([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "elements"])
+            sets = {_digest(s): s for s in shingle_sets(want, k) if len(s)}
+            sets = {d: s for d, s in sets.items() if d not in seen}
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.update(sets)
+            yield pa.record_batch([pa.array(list(sets), pa.binary()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["key", "elements"])
     return run
 
 
+def _read_again(texts: DataFrame, member: DataFrame, k: int) -> DataFrame:
+    """(key, elements) with one row for each digest, however many rows repeat an id or have none.
+    Rows are dealt by digest, as the join with the plan needs them anyway."""
+    return texts.mapInArrow(_sets(_bitmap(member.select("doc_id")), k), "key binary, elements binary").repartition("key").dropDuplicates(["key"])
+
+
 def _slot(doc_id: int) -> int:
     return ((doc_id * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - BITMAP_BITS)
 
@@ -242,7 +254,6 @@ def _verified_blocks(p: int, q: int):
 
     def run(batches):
         for (_, i, j), rows in _groups(batches, 3):
-            rows = list({r[0]: r for r in rows}.values())  # a repeated id can bring a set twice
             sets = [np.frombuffer(r[1], dtype=np.uint64) for r in rows]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
@@ -287,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = (member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_ROWS), F.ceil(F.sum("n") / CLUSTER_SHINGLES)).alias("parts"), F.count("*").alias("m"))
             .where("m > 1").drop("m"))
     plan = _sub_blocks(member.join(size, "cluster"), "parts", F.xxhash64("key")).select("cluster", "i", "j", "key", "part")
-    blocks = (texts.mapInArrow(_sets(_bitmap(member.select("doc_id")), k), "key binary, elements binary").join(plan, "key")
+    blocks = (_read_again(texts, member, k).join(plan, "key")
               .select("cluster", "i", "j", "key", "elements", "part").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "key"))
     comp = components(blocks.mapInArrow(_verified_blocks(p, q), "a binary, b binary"))
     # class -> component -> smallest id, then back to the rows

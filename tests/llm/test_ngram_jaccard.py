@@ -113,6 +113,27 @@ def test_repeated_rows_null_ids_and_empty_table(spark, documents):
     assert nj.one_of_each(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [5, None])
+def test_a_hot_id_reaches_no_block_twice(spark, documents, monkeypatch, hot):
+    """A third of all rows repeat one id (or have none) and one text that has near copies: one row a set is read again."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(hot, base)] * 120 + [(1000 + i, base + f" end{i}") for i in range(6)] + list(enumerate(made_up(4, 200)))
+    counts = []
+    read = nj._read_again
+
+    def counted(texts, member, k):
+        out = read(texts, member, k)
+        counts.append((out.count(), out.select("key").distinct().count(), member.count()))
+        return out
+    monkeypatch.setattr(nj, "_read_again", counted)
+    monkeypatch.setattr(nj, "SEEN", 3)
+    got = nj.near_duplicates(documents([(i, t, "s") for i, t in rows]).repartition(6)).collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(plain_components(rows), key=key)
+    (n, sets, members), = counts
+    assert n == sets <= members + 20
+
+
 @pytest.mark.parametrize("inline", [100, 0])
 def test_one_of_each(spark, documents, inline):
     texts = made_up(3, 80)
