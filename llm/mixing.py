@@ -5,8 +5,9 @@ Method: Pfair scheduling. A source's documents, in hash order, are cut into bloc
 (from 0) of a source is released at slot ``floor(j*W/w)`` and due at ``ceil((j+1)*W/w)``;
 every slot takes the released block with the earliest deadline. At every slot each
 source has then had its share to within less than one block. The schedule repeats
-after ``W`` slots, so it is made for one such round (a table of ``W`` rows, whatever the
-data) and a block's slot follows from its number by a join.
+after ``W`` slots, so it is made for one such round (a table of ``W`` rows, whose number
+follows the sources, at most ``MAX_SOURCES``, and not their rows) and a block's slot
+follows from its number by a join.
 
 A source that has no blocks left leaves its slots empty; the others go on in their
 proportions, so every document gets a slot. Running sums within a source are taken in
@@ -14,56 +15,74 @@ two levels, over hash buckets and inside a bucket, so that a source with a third
 all rows is spread over all tasks.
 
 Without given weights a source weighs the square root of its characters, rounded to
-about ``RESOLUTION`` slots in all, at least one.
+about ``RESOLUTION`` slots in all (``SLOTS_A_SOURCE`` for each source, where that is
+more), at least one.
 
 Defined cases: a null source is the source with the empty name; null and empty texts
-have no characters and share the next document's block; repeated rows are rows of
+have no characters and share the next document's block; a text longer than a block lies
+in the block of its first character; equal hashes are ordered by id and then by size; repeated rows are rows of
 their own; a source that the given weights do not name weighs one; other columns are
 not read (``schedule``) or are kept (``mixed``); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuskit.functions.common import let
+from llm.common import saved
 
 RESOLUTION = 1000
+SLOTS_A_SOURCE = 16
+STEP_BITS = 3
+MAX_SOURCES = 1_000_000  # a round is one table of about SLOTS_A_SOURCE rows for each source
 BLOCK_CHARS = 65536
 _OWN = "__mix_"
 
 
-def round_of(totals: DataFrame, weights: dict[str, int] | None) -> DataFrame:
-    """One round of the schedule from (source, total): (source, weight, every, turn, slot),
-    ``turn`` counting a source's blocks in the round from 0. All sources (not their rows)
-    meet in one row of arrays; one row a slot comes out."""
-    one = totals.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("t")).where(F.size("t") > 0)
+def _weights(totals: DataFrame, weights: dict[str, int] | None) -> DataFrame:
+    """(source, weight); derived weights share ``RESOLUTION`` slots, or ``SLOTS_A_SOURCE`` for each source where that is more."""
     if weights is None:
-        every = F.aggregate("t", F.lit(0.0), lambda acc, s: acc + F.sqrt(s["total"]))
-        one = one.withColumn("roots", F.when(every > 0, every).otherwise(1.0))
-        weigh = lambda s: F.greatest(F.lit(1), F.round(RESOLUTION * F.sqrt(s["total"]) / F.col("roots")))
+        n, roots = totals.agg(F.count("*"), F.sum(F.sqrt("total"))).first()
+        weight = F.greatest(F.lit(1), F.round(max(RESOLUTION, SLOTS_A_SOURCE * n) * F.sqrt("total") / F.lit(roots or 1.0)))
     else:
         named = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(int(v)))]) if weights else F.create_map().cast("map<string,int>")
-        weigh = lambda s: F.greatest(F.lit(1), F.coalesce(F.try_element_at(named, s["source"]), F.lit(1)))
-    one = one.select(F.transform("t", lambda s: F.struct(s["source"].alias("source"), weigh(s).cast("long").alias("weight"))).alias("s"))
-    one = one.withColumn("every", F.aggregate("s", F.lit(0).cast("long"), lambda acc, s: acc + s["weight"]))
-
-    def step(state: Column, t: Column) -> Column:
-        def job(s: Column, i: Column) -> Column:
-            done = F.get(state["done"], i)
-            return F.struct(F.ceil((done + 1) * F.col("every") / s["weight"]).alias("due"), i.alias("i"), F.floor(done * F.col("every") / s["weight"]).alias("release"))
-        first = F.array_min(F.filter(F.transform("s", job), lambda j: j["release"] <= t))["i"]
-        return let(first, lambda i: F.struct(
-            F.transform(state["done"], lambda d, k: d + F.when(k == i, 1).otherwise(0)).alias("done"),
-            F.concat(state["picks"], F.array(F.struct(i.alias("i"), F.get(state["done"], i).alias("turn")))).alias("picks")))
-
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), F.size("s")).alias("done"), F.array().cast("array<struct<i:int,turn:bigint>>").alias("picks"))
-    picks = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("every") - 1), start, step)["picks"]
-    out = one.select("s", "every", F.posexplode(picks).alias("slot", "pick"))
-    return out.select(F.get("s", F.col("pick.i"))["source"].alias("source"), F.get("s", F.col("pick.i"))["weight"].alias("weight"), "every",
-                      F.col("pick.turn").alias("turn"), F.col("slot").cast("long").alias("slot"))
+        weight = F.greatest(F.lit(1), F.coalesce(F.try_element_at(named, F.col("source")), F.lit(1)))
+    return totals.select("source", weight.cast("long").alias("weight"))
+
+
+def round_of(totals: DataFrame, weights: dict[str, int] | None) -> DataFrame:
+    """One round of the schedule from (source, total): (source, weight, every, turn, slot),
+    ``turn`` counting a source's blocks in the round from 0.
+
+    Blocks and slots are rows. Earliest deadline first is a schedule by fixed ranks, so
+    which slots the blocks up to a rank fill does not depend on later ranks: a slot is
+    filled when more of them are released than the slots before it have taken, which is a
+    running minimum. Cutting the ranks in eight again and again, each time with the slots that
+    they fill, leaves each slot with its one block."""
+    spark = totals.sparkSession
+    own = _weights(totals, weights)
+    n, every = own.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    if n > MAX_SOURCES:
+        raise ValueError(f"{n} sources, at most {MAX_SOURCES} can be mixed; group them by a coarser column")
+    bits = max(0, every - 1).bit_length()
+    blocks = own.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("weight") - 1)))
+    blocks = blocks.withColumns({"release": F.expr(f"turn * {every} div weight"), "due": F.expr(f"((turn + 1) * {every} + weight - 1) div weight")})
+    blocks = saved(blocks.withColumn("rank", F.row_number().over(Window.orderBy("due", "source")).cast("long") - 1), "blocks")
+    rows = (blocks.select(F.col("release").alias("at"), F.lit(0).alias("is_slot"), "rank", F.lit(0).cast("long").alias("part"))
+            .unionAll(spark.range(every).select(F.col("id").alias("at"), F.lit(1).alias("is_slot"), F.lit(None).cast("long").alias("rank"), F.lit(0).cast("long").alias("part"))))
+    so_far = "over (partition by part order by at, is_slot, rank rows between unbounded preceding and current row)"
+    until = "over (partition by part order by at, is_slot, rank rows between unbounded preceding and 1 preceding)"
+    for low in reversed(range(0, bits, STEP_BITS)):
+        sides = range(1, 1 << min(STEP_BITS, bits - low))
+        rows = rows.selectExpr("*", f"shiftright(rank, {low}) & {sides.stop - 1} as side")
+        rows = rows.selectExpr("*", f"sum(is_slot) {so_far} - 1 as place", *[f"count_if(side < {c}) {so_far} as released{c}" for c in sides])
+        rows = rows.selectExpr("*", *[f"min(if(is_slot = 1, released{c} - place, null)) {until} as gap{c}" for c in sides])
+        free = " + ".join(f"if(released{c} > coalesce(least(place, place - 1 + gap{c}), 0), 0, 1)" for c in sides)
+        rows = rows.selectExpr("at", "is_slot", "rank", f"part * {sides.stop} + if(is_slot = 0, side, {free}) as part")
+    slots = rows.where("is_slot = 1").select(F.col("part").alias("rank"), F.col("at").alias("slot"))
+    return saved(blocks.join(slots, "rank").select("source", "weight", F.lit(every).cast("long").alias("every"), "turn", "slot"), "round")
 
 
 def _scheduled(docs: DataFrame, weights: dict[str, int] | None, block_chars: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -74,7 +93,7 @@ def _scheduled(docs: DataFrame, weights: dict[str, int] | None, block_chars: int
         f"{o}size": F.coalesce(F.length(text_col), F.lit(0)).cast("long"),
         f"{o}hash": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))})
     docs = docs.withColumn(f"{o}bucket", F.substring(f"{o}hash", 1, 3))
-    sums = docs.groupBy(f"{o}source", f"{o}bucket").agg(F.sum(f"{o}size").alias("n"))
+    sums = saved(docs.groupBy(f"{o}source", f"{o}bucket").agg(F.sum(f"{o}size").alias("n")), "source-sums")
     before = sums.select(F.col(f"{o}source").alias(f"{o}s"), F.col(f"{o}bucket").alias(f"{o}b"),
                          (F.sum("n").over(Window.partitionBy(f"{o}source").orderBy(f"{o}bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias(f"{o}before"))
     inside = (Window.partitionBy(f"{o}source", f"{o}bucket").orderBy(f"{o}hash", id_col, f"{o}size").rowsBetween(Window.unboundedPreceding, 0))
@@ -117,7 +136,7 @@ def oracle_sql(block_chars: int = BLOCK_CHARS) -> str:
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, length(coalesce(text, '')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 c AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS source_offset FROM d),
 t AS (SELECT source, sum(size) AS total FROM d GROUP BY source),
-w AS (SELECT source, greatest(1, round({RESOLUTION} * sqrt(total) / (SELECT CASE WHEN sum(sqrt(total)) > 0 THEN sum(sqrt(total)) ELSE 1 END FROM t)))::BIGINT AS weight FROM t),
+w AS (SELECT source, greatest(1, round((SELECT greatest({RESOLUTION}, {SLOTS_A_SOURCE} * count(*)) FROM t) * sqrt(total) / (SELECT CASE WHEN sum(sqrt(total)) > 0 THEN sum(sqrt(total)) ELSE 1 END FROM t)))::BIGINT AS weight FROM t),
 a AS (SELECT list(source ORDER BY source) AS s, list(weight ORDER BY source) AS ws, sum(weight)::BIGINT AS every FROM w),
 r(t, done, pick) AS (
   SELECT -1::BIGINT, list_transform(ws, lambda x: 0::BIGINT), NULL::BIGINT FROM a

@@ -7,7 +7,8 @@ from math import ceil
 import duckdb
 import pytest
 
-from llm.mixing import mixed, oracle_sql, schedule
+from llm import mixing
+from llm.mixing import mixed, oracle_sql, round_of, schedule
 
 
 def plain_round(weights):
@@ -60,6 +61,21 @@ def test_every_prefix_is_within_a_block(spark, documents):
         assert all(abs(Fraction((t + 1) * w, every) - count[s]) < 1 for s, w in weights.items())
 
 
+def test_rounds_of_many_sources(spark, monkeypatch):
+    """Every slot of a round is taken once and no block leaves its window, with far more sources than ``RESOLUTION``."""
+    totals = spark.range(4000).selectExpr("concat('h', id) as source", "(id * 7919) % 100003 + 1 as total")
+    rows = [(r.source, r.turn, r.slot, r.weight, r.every) for r in round_of(totals, None).collect()]
+    every = rows[0][4]
+    assert every > 10 * 4000 and sorted(r[2] for r in rows) == list(range(every)) and len({r[0] for r in rows}) == 4000
+    assert all(turn * every // w <= slot < -(-(turn + 1) * every // w) for _, turn, slot, w, _ in rows)
+    few = totals.where("total % 20 = 0")
+    weights = {r.source: r.total % 50 + 1 for r in few.collect()}
+    assert {(r.source, r.turn): r.slot for r in round_of(few, weights).collect()} == plain_round(weights)[0]
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 100)
+    with pytest.raises(ValueError, match="at most 100"):
+        round_of(totals, None)
+
+
 def test_mixed_keeps_all_rows_and_columns(spark, documents):
     random.seed(9)
     rows = [(i, "x" * random.randrange(200), random.choice("aab")) for i in range(400)] + [(5, "again", "a"), (5, "again", "a"), (None, None, None)]
