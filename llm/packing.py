@@ -11,7 +11,11 @@ windows that still have room.
 
 A group is what one task reads next (``GROUP`` documents), so nothing is shuffled and
 memory does not follow the table or a document's length beyond its own ids. Which
-windows a document shares depends on the order of the input's rows alone.
+windows a document shares depends on the order of the input's rows alone. Spark reads
+the files of a table in an order of its own, so where the order of a written table
+matters ``run`` names the run of rows (a file, or the part of it that one task reads)
+that a row belongs to: no group spans two runs, and sequences are numbered from 0 by
+run and then by group, so their numbers follow the table's order.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows are packed
 as rows of their own; a null id stays null; other columns are not read; an empty
@@ -27,9 +31,12 @@ from bisect import insort
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from llm.common import ids_and_text, ship
+from llm.common import saved, ship
 
 GROUP = 2048
 ROWS = 64  # texts that are tokenized at once
@@ -123,20 +130,22 @@ def windows_of(sizes: list[int], capacity: int, max_padding: float) -> list[list
 
 
 def _pack(path: str, capacity: int, end_id: int, max_padding: float, group: int):
-    def run(batches):
+    def packed(batches):
         from llm.bpe import encoder
         encode = encoder(path).encode
         end = int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
-        rows: list[list] = [[] for _ in range(7)]
+        rows: list[list] = [[] for _ in range(8)]
+        run = None
         rest: list[tuple[int | None, int, int, bytes]] = []  # doc_id, start, doc_tokens, ids
 
         def put(doc_id, start, ids, total, offset):
-            for column, v in zip(rows, (doc_id, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset)):
+            for column, v in zip(rows, (doc_id, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset, run)):
                 column.append(v)
 
         def out():
-            batch = pa.record_batch([pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            batch = pa.record_batch([pa.array(c, pa.int64()) for c in rows[:7]] + [pa.array(rows[7], pa.string())],
+                                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "run"])
             for c in rows:
                 c.clear()
             return batch
@@ -155,7 +164,10 @@ def _pack(path: str, capacity: int, end_id: int, max_padding: float, group: int)
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                for doc_id, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for doc_id, ids, at_run in zip(*[c.to_pylist() for c in part.columns]):
+                    if at_run != run:
+                        close_group()
+                        run = at_run
                     ids = encode(ids or "") + end
                     total = len(ids) // 4
                     full = total - total % capacity
@@ -170,15 +182,39 @@ def _pack(path: str, capacity: int, end_id: int, max_padding: float, group: int)
                         yield out()
         close_group()
         yield out()
+    return packed
+
+
+def file_runs(docs: DataFrame) -> Column | None:
+    """The run of each row of a table as Spark wrote it: file by file in the order of the tasks that wrote them, and
+    by the place of a split in its file. None where rows do not come straight from files."""
+    name, at = F.col("_metadata.file_name"), F.col("_metadata.file_block_start")
+    run = F.concat_ws("/", F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 12, "0"), name, F.lpad(at.cast("string"), 20, "0"))
+    try:
+        docs.select(run)
+    except AnalysisException:
+        return None
     return run
 
 
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """Sequences numbered from 0 by run and then as they are in it. The pieces (no texts) are
+    written; the running sum over runs is one small table, a row for each split that was read."""
+    pieces = saved(pieces, "pieces")
+    last = pieces.groupBy("run").agg(F.min("sequence_id").alias("first"), (F.max("sequence_id") - F.min("sequence_id") + 1).alias("n"))
+    base = last.select("run", (F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") - F.col("first")).alias("shift"))
+    return pieces.join(base, "run").withColumn("sequence_id", F.col("sequence_id") + F.col("shift")).drop("run", "shift")
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, max_padding: float = 0.004, group: int = GROUP,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", run: Column | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids by the vocabulary file ``tokenizer`` and then ``end_id``;
     every id lies in exactly one piece, a sequence's pieces fill it gaplessly from 0.
+    ``run`` (see the module text) orders the sequences; the rows of a run lie in one task.
     """
     ship(docs.sparkSession)
-    return ids_and_text(docs, id_col, text_col).mapInArrow(_pack(tokenizer, capacity, end_id, max_padding, group), PIECES)
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(None).cast("string") if run is None else run).alias("run"))
+    pieces = read.mapInArrow(_pack(tokenizer, capacity, end_id, max_padding, group), f"{PIECES}, run string")
+    return pieces.drop("run") if run is None else _numbered(pieces)

@@ -5,6 +5,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from llm.mixing import mixed, schedule
+from llm.packing import file_runs, pack
 from test_ngram_jaccard import plain_components
 from test_pii import plain_spans
 from test_quality_rules import plain_counts
@@ -41,6 +43,45 @@ def test_stages_on_the_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == len(pieces)
 
 
+def test_sequences_follow_the_mix(spark, documents, tmp_path):
+    """Over the sequences of a mixed table in many files of unequal sizes, each source is within one block of its
+    share at the end of every group; read as Spark reads the files, or without the mix, it is not."""
+    weights = {"a": 5, "b": 2, "c": 1}
+    every, n = 8, 640
+    rows = [(i, " ".join(f"w{(i * 31 + j) % 977}" for j in range(40)).ljust(400, ".")[:400], s) for i, s in enumerate(s for s, w in weights.items() for _ in range(n * w // every))]
+    source = {i: s for i, _, s in rows}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed(documents(rows), weights, 400).write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    docs = spark.read.parquet(str(tmp_path / "mixed"))
+    assert len(docs.inputFiles()) > 4
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = pack(docs, path, run=file_runs(docs), group=16).collect()
+    assert sorted({p.sequence_id for p in pieces}) == list(range(1 + max(p.sequence_id for p in pieces)))
+    slot = {r.doc_id: r.slot for r in schedule(docs, weights, 400).collect()}
+    first = {}
+    for p in pieces:
+        first[p.doc_id] = min(first.get(p.doc_id, p.sequence_id), p.sequence_id)
+
+    def worst(order):
+        """Largest distance from the share, in blocks, where all documents of the sequences so far are a prefix of the mix."""
+        at, done, seen, ends = 0.0, dict.fromkeys(weights, 0), set(), 0
+        for t, i in enumerate(order):
+            done[source[i]] += 1
+            seen.add(slot[i])
+            if t + 1 == len(order) or first[order[t + 1]] > first[i]:
+                if len(seen) == t + 1 == max(seen) + 1:
+                    ends += 1
+                    at = max(at, *(abs(done[s] - (t + 1) * w / every) for s, w in weights.items()))
+        return at, ends
+    distance, ends = worst(sorted(first, key=lambda i: (first[i], i)))
+    assert distance < 1 and ends >= n // 16 - 1
+    assert worst(sorted(first))[1] <= 1
+    assert file_runs(documents(rows[:1])) is None
+
+
 def test_odd_rows_and_empty_table(spark, documents):
     text = " ".join(f"w{i}" for i in range(30))
     df = documents([(1, text, "s"), (2, text, None), (None, text, "s"), (3, None, "s"), (4, "", "s"), (1, text, "s"), (9, text + " mail a@b.co and 12 more words here", "s")])
