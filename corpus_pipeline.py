@@ -5,12 +5,14 @@ Stages in order, each on all rows that the one before kept:
 1. quality rules: documents that the base rule or the isolation forest rejects go;
 2. n-gram Jaccard join: of each group of near copies the smallest id stays;
 3. PII: accepted spans of personal data are replaced in the text, ``n_chars`` follows;
-4. mixing: rows are sorted by their slot in the mix of sources, so that what is read
-   together, and packed into one window, is mixed;
-5. packing: the texts' ids in windows of 2048.
+4. mixing: rows are sorted by their slot in the mix of sources, over the whole table;
+5. packing: the texts' ids in windows of 2048, numbered in the order of the mix: a window
+   holds neighbours in it, and windows up to any number follow the target weights.
 
 Null texts have no words and go in stage 1; so do texts under ten words. Rows with one
-id are one document in stage 2; rows without an id stay there. Extra columns of the
+id are one document in stage 2; rows without an id stay there. Of equal near copies the
+smallest id stays; rows of one slot are ordered by their hash. Very long texts are whole
+in every stage and cut into windows in the last. Extra columns of the
 input are kept up to stage 4. An empty table gives an empty result.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from llm.common import saved, table
 from llm.mixing import mixed
 from llm.ngram_jaccard import one_of_each
-from llm.packing import pack
+from llm.packing import file_runs, pack
 from llm.pii import redact
 from llm.quality_rules import good_documents
 
@@ -49,7 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), run=file_runs(docs))
 
 
 STAGES = [("quality rules", quality), ("near copies", near_copies), ("personal data", personal_data), ("mixing", mixing), ("packing", packing)]
