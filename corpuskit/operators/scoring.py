@@ -8,7 +8,9 @@ built once per Python worker and applied per Arrow batch.
 
 from __future__ import annotations
 
+import json
 import uuid
+import zlib
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -25,7 +27,7 @@ from corpuskit.operators import textrank
 SUMMARY_ERROR = "Error: Could not generate summary."
 SIMPLIFY_ERROR = "Error: Could not simplify text."
 FALLBACK_PREFIX = "FALLBACK_"
-# Dictionaries up to this many entries are inlined as a map literal.
+# Dictionaries up to this many entries are inlined as a literal.
 INLINE_TERMS_MAX = 10_000
 
 
@@ -178,30 +180,42 @@ def dictionary_simplify(df: DataFrame, id_col: str, text: str, terms: DataFrame,
     lower-cased word); other words are kept.
 
     A term given more than once means its smallest plain word.  A dictionary of at
-    most INLINE_TERMS_MAX terms is looked up in place; a longer one is joined to the
-    exploded words (broadcast only after its size check), with the same result.
+    most INLINE_TERMS_MAX terms is looked up in place; of a longer one each row gets
+    the terms that its id's texts hold (joined; broadcast only after a size check) and
+    looks them up, with the same result.  Rows that repeat an id, or have none, stay
+    rows of their own; null texts become empty.
     """
     from corpuskit.operators.labels import checked_broadcast
     terms = terms.where(F.col("term").isNotNull() & F.col("plain").isNotNull()).groupBy("term").agg(F.min("plain").alias("plain"))
     small = terms.limit(INLINE_TERMS_MAX + 1).collect()
     if len(small) <= INLINE_TERMS_MAX:
-        # proven-small dictionary: inline it as a map literal, no shuffle at all
+        # proven-small dictionary: inline it as a literal, no shuffle at all
         return df.withColumn(out, dictionary_simplify_col(text, {r.term: r.plain for r in small}))
-    toks = df.select(id_col, F.posexplode(F.split(clean_text(text), " ")).alias("pos", "w"))
     t = checked_broadcast(terms.select(F.col("term").alias("_term"), F.col("plain").alias("_plain")))
-    j = toks.join(t, F.lower("w") == F.col("_term"), "left")
-    rebuilt = j.groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_plain", "w").alias("w")))),
-                                 lambda s: s["w"]), " ").alias(out))
-    return df.join(rebuilt, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    words = df.select(F.col(id_col).alias("_dict_id"), F.explode(F.array_distinct(F.transform(F.split(clean_text(text), " "), F.lower))).alias("_word"))
+    held = (words.join(t, F.col("_word") == F.col("_term")).select("_dict_id", "_term", "_plain").distinct()
+            .groupBy("_dict_id").agg(F.map_from_entries(F.collect_list(F.struct("_term", "_plain"))).alias("_dict_held")))
+    return (df.join(held, F.col(id_col).eqNullSafe(F.col("_dict_id")), "left")
+            .withColumn(out, _replace_words(text, lambda w: F.try_element_at("_dict_held", w))).drop("_dict_id", "_dict_held"))
 
 
-def dictionary_simplify_col(text, terms: dict[str, str]) -> Column:
-    """C14 for a small, fixed dictionary: a per-row map lookup, no shuffle."""
-    m = F.create_map(*[x for k, v in terms.items() for x in (F.lit(k), F.lit(v))])
+def _replace_words(text, plain: Callable) -> Column:
+    """The cleaned text with each word replaced by ``plain`` of its lower case, where that is not null."""
     words = F.split(clean_text(text), " ")
-    out = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(m, F.lower(w)), w)), " ")
-    return F.coalesce(out, F.lit(""))
+    return F.coalesce(F.array_join(F.transform(words, lambda w: F.coalesce(plain(F.lower(w)), w)), " "), F.lit(""))
+
+
+def dictionary_simplify_col(text, terms: dict[str, str]) -> Column:
+    """C14 for a small, fixed dictionary: a per-row lookup, no shuffle.
+
+    Spark searches a map entry by entry, so the terms are dealt by crc32 to as many
+    small maps as there are terms and a word looks into one of them."""
+    n = max(1, len(terms))
+    parts: list[dict[str, str]] = [{} for _ in range(n)]
+    for term, plain in terms.items():
+        parts[zlib.crc32(term.encode()) % n][term] = plain
+    dealt = F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")
+    return _replace_words(text, lambda w: F.try_element_at(F.get(dealt, (F.crc32(w.cast("binary")) % n).cast("int")), w))
 
 
 def process_document(df: DataFrame, id_col: str = "doc_id", text: str = "text", task: str = "scotus",

@@ -79,6 +79,22 @@ def test_dictionary_paths_agree_on_repeated_terms(spark, monkeypatch):
         assert SC.dictionary_simplify(df, "doc_id", "text", terms).first().simplified == "A cat A dog"
 
 
+def test_dictionary_paths_agree_on_many_terms_and_repeated_ids(spark, monkeypatch):
+    words = {f"t{i}": f"p{i}" for i in range(3000)} | {"Stra\u00dfe": "never", "stra\u00dfe": "road", 'a"b\\': "quoted", "": "none"}
+    rows = [(1, "T1 x  t2999 t3000"), (1, "t2 t1"), (1, "t2 t1"), (None, "STRA\u00dfE y"), (None, 'A"B\\ t7'), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = spark.createDataFrame(list(words.items()), "term string, plain string")
+    want = sorted(" ".join(words.get(w.lower(), w) for w in t.split()) if t and t.strip() else words[""] if t == "" else "" for _, t in rows)
+    got = {}
+    for bound in (10_000, 0):
+        monkeypatch.setattr(SC, "INLINE_TERMS_MAX", bound)
+        r = SC.dictionary_simplify(df, "doc_id", "text", terms)
+        assert r.columns == ["doc_id", "text", "simplified"]
+        got[bound] = sorted((str(x.doc_id), str(x.text), x.simplified) for x in r.collect())
+    assert got[10_000] == got[0] and len(got[0]) == len(rows)
+    assert sorted(x[2] for x in got[0]) == want
+
+
 def test_profile_edges(spark):
     df = spark.createDataFrame([("a",), (None,), ("b",)], "c string")
     assert tuple(PR.distinct_values(df, "c").first()) == ("c", 3, "a|b|None")
