@@ -80,24 +80,24 @@ def q_textrank_summary(spark, d):
 
 
 def _w(spark, d):
-    s = TR.sentences(fx.documents(spark, d), "doc_id", "text")
+    s = TR.sentences(fx.documents(spark, d), "doc_id", "text", nested=True)
     return TR.tfidf(s, None)
 
 
 @register("tfidf_terms", _with(BASE) + "SELECT doc_id, idx, term, round(w, 6) AS w FROM w")
 def q_tfidf_terms(spark, d):
-    return _w(spark, d).select("doc_id", "idx", "term", F.round("w", 6).alias("w"))
+    return TR.flat(_w(spark, d)).select("doc_id", "idx", "term", F.round("w", 6).alias("w"))
 
 
 @register("doc_frequency", _with(BASE[:4]) + "SELECT doc_id, term, df FROM dfr")
 def q_doc_frequency(spark, d):
-    s = TR.sentences(fx.documents(spark, d), "doc_id", "text")
+    s = TR.sentences(fx.documents(spark, d), "doc_id", "text", nested=True)
     return TR.doc_frequency(TR.term_counts(s))
 
 
 @register("sentence_norms", _with(BASE[:6]) + "SELECT doc_id, idx, round(norm, 6) AS norm FROM nr")
 def q_sentence_norms(spark, d):
-    s = TR.sentences(fx.documents(spark, d), "doc_id", "text")
+    s = TR.sentences(fx.documents(spark, d), "doc_id", "text", nested=True)
     return TR.sentence_norms(TR.tfidf_raw(s)).select("doc_id", "idx", F.round("norm", 6).alias("norm"))
 
 
