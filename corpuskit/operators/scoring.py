@@ -2,8 +2,8 @@
 with fall-backs, the dictionary simplifier and the document chain.
 
 C3-C5, C10, C14, X6, W6, X18, A17.  Array math is native (higher-order
-functions); a user-supplied model runs through ``mapInPandas`` with the model
-built once per Python worker and applied per Arrow batch.
+functions); a user-supplied model runs in an Arrow function of its input column, with
+the model built once per Python worker.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,7 @@ SIMPLIFY_ERROR = "Error: Could not simplify text."
 FALLBACK_PREFIX = "FALLBACK_"
 # Dictionaries up to this many entries are inlined as a literal.
 INLINE_TERMS_MAX = 10_000
+MODEL_ROWS = 1024  # rows of a model call where the caller sets no number
 
 
 def softmax(logits) -> Column:
@@ -85,6 +87,58 @@ def _scored(model, texts: pd.Series) -> list:
     return out
 
 
+def scored_column(factories: Sequence[Callable[[], Callable[[pd.Series], pd.Series]]], input_col, output_type: str = "string",
+                  sentinel=None, batch_rows: int | None = None, fallback_prefix: str | None = None) -> Column:
+    """``struct<output, backend, error>`` of ``score_with_model`` as a column.  Only the input goes to Python; an Arrow
+    batch is turned into Python values by at most ``batch_rows`` (else MODEL_ROWS) rows, once a model is there to see them."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    made = to_arrow_type(T._parse_datatype_string(output_type))
+    token = uuid.uuid4().hex  # of this call: a worker never serves another call's model
+    facts = list(factories)
+
+    def marked(v, i):
+        if i == 0 or fallback_prefix is None or v is None:
+            return v
+        return {**v, "label": f"{fallback_prefix}{v['label']}"} if isinstance(v, dict) else f"{fallback_prefix}{v}"
+
+    def one(column: pa.Array) -> pa.Array:
+        n, texts = len(column), None
+        result, backend, error = [sentinel] * n, [None] * n, [None] * n
+        left = list(range(n))
+        for i, f in enumerate(facts):
+            if not left:
+                break
+            got, failed = {}, []
+            try:
+                model = _model((token, i), f)
+            except Exception as e:  # noqa: BLE001
+                failed = [(j, e) for j in left]
+            else:
+                texts = column.to_pandas() if texts is None else texts
+                try:
+                    got = dict(zip(left, _scored(model, texts.iloc[left])))
+                except Exception:  # noqa: BLE001
+                    for j in left:
+                        try:
+                            got[j] = _scored(model, texts.iloc[[j]])[0]
+                        except Exception as e:  # noqa: BLE001
+                            failed.append((j, e))
+            for j, v in got.items():
+                result[j], backend[j], error[j] = marked(v, i), "primary" if i == 0 else f"fallback_{i}", None
+            for j, e in failed:
+                error[j] = error[j] or f"{type(e).__name__}: {e}"
+            left = [j for j, _ in failed]
+        values = pd.Series(result)
+        return pa.StructArray.from_arrays([pa.Array.from_pandas(values, mask=values.isnull(), type=made), pa.array(backend, pa.string()),
+                                           pa.array(error, pa.string())], ["output", "backend", "error"])
+
+    def run(column: pa.Array) -> pa.Array:
+        step = batch_rows or MODEL_ROWS
+        return pa.concat_arrays([one(column.slice(at, step)) for at in range(0, max(len(column), 1), step)])
+    udf = F.arrow_udf(run, f"struct<output: {T._parse_datatype_string(output_type).simpleString()}, backend: string, error: string>")
+    return udf.asNondeterministic()(to_col(input_col))
+
+
 def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[pd.Series], pd.Series]]],
                      input_col: str, output_col: str = "output", output_type: str = "string",
                      sentinel=None, keep: Sequence[str] | None = None,
@@ -96,69 +150,14 @@ def score_with_model(df: DataFrame, factories: Sequence[Callable[[], Callable[[p
     instead of raising (X18).  ``fallback_prefix`` (e.g. ``FALLBACK_``) marks string
     outputs (or the ``label`` field of a struct) of a fall-back back-end.
 
-    Each factory returns ``fn(pd.Series) -> pd.Series``.  Rows stay where they are
-    (``mapInPandas``): no shuffle; the model sees at most ``batch_rows`` rows per call.
+    Each factory returns ``fn(pd.Series) -> pd.Series``.  Rows stay where they are: no
+    shuffle; the model sees at most ``batch_rows`` rows per call.
     """
     keep = list(keep if keep is not None else df.columns)
-    schema = T.StructType(
-        [df.schema[c] for c in keep]
-        + [T.StructField(output_col, T._parse_datatype_string(output_type), True),
-           T.StructField("backend", T.StringType(), True),
-           T.StructField("error", T.StringType(), True)])
-    token = uuid.uuid4().hex  # of this call: a worker never serves another call's model
-    facts = list(factories)
-
-    def chunks(batches):
-        # model calls see at most ``batch_rows`` rows (the scorer's batch size),
-        # without changing the session's Arrow batch setting
-        for pdf in batches:
-            if not batch_rows or len(pdf) <= batch_rows:
-                yield pdf
-            else:
-                for start in range(0, len(pdf), batch_rows):
-                    yield pdf.iloc[start:start + batch_rows]
-
-    def marked(v, i):
-        if i == 0 or fallback_prefix is None or v is None:
-            return v
-        return {**v, "label": f"{fallback_prefix}{v['label']}"} if isinstance(v, dict) else f"{fallback_prefix}{v}"
-
-    def run(batches):
-        for pdf in chunks(batches):
-            n = len(pdf)
-            texts = pdf[input_col].reset_index(drop=True)
-            result, backend, error = [sentinel] * n, [None] * n, [None] * n
-            left = list(range(n))
-            for i, f in enumerate(facts):
-                if not left:
-                    break
-                got, failed = {}, []
-                try:
-                    model = _model((token, i), f)
-                except Exception as e:  # noqa: BLE001
-                    failed = [(j, e) for j in left]
-                else:
-                    try:
-                        got = dict(zip(left, _scored(model, texts.iloc[left])))
-                    except Exception:  # noqa: BLE001
-                        for j in left:
-                            try:
-                                got[j] = _scored(model, texts.iloc[[j]])[0]
-                            except Exception as e:  # noqa: BLE001
-                                failed.append((j, e))
-                for j, v in got.items():
-                    result[j], backend[j], error[j] = marked(v, i), "primary" if i == 0 else f"fallback_{i}", None
-                for j, e in failed:
-                    error[j] = error[j] or f"{type(e).__name__}: {e}"
-                left = [j for j, _ in failed]
-            out = pdf[keep].copy()
-            out[output_col], out["backend"], out["error"] = result, backend, error
-            yield out
-
     from corpuskit.session import ship_package
     ship_package(df.sparkSession)
-    src = df.select(*dict.fromkeys(keep + [input_col]))
-    return src.mapInPandas(run, schema)
+    scored = scored_column(factories, input_col, output_type, sentinel, batch_rows, fallback_prefix)
+    return df.select(*keep, scored.alias("_scored")).select(*keep, F.col("_scored.output").alias(output_col), "_scored.backend", "_scored.error")
 
 
 # -- default deterministic back-ends (native expressions) ------------------
@@ -239,18 +238,26 @@ def process_document(df: DataFrame, id_col: str = "doc_id", text: str = "text",
         stop_words = textrank.english_stop_words(df.sparkSession)
     # the cleaned text feeds both back-ends: computed once in its own projection
     c = df.select(id_col, F.col(text).alias("_text"), clean_text(safe_text(text)).alias("_clean"))
+    from corpuskit.session import ship_package
+    ship_package(df.sparkSession)
+    # both read the text: asked for together, one Python worker a task serves both
+    models = {}
+    if classifiers is not None:
+        models["_class"] = scored_column(classifiers, "_text", "struct<label:string,score:double>", batch_rows=batch_rows, fallback_prefix=FALLBACK_PREFIX)
+    if summarizers is not None:
+        models["_made"] = scored_column(summarizers, "_text", sentinel=SUMMARY_ERROR, batch_rows=batch_rows)
+    c = c.withColumns(models) if models else c
     if classifiers is None:
         c = classify(c.withColumn("_logits", length_logits("_clean", is_clean=True)), "_logits", task, dim)
         c = c.withColumn("error", F.lit(None).cast("string")).drop("_logits")
     else:
-        c = score_with_model(c, classifiers, "_text", "_class", "struct<label:string,score:double>", batch_rows=batch_rows, fallback_prefix=FALLBACK_PREFIX)
-        c = c.withColumns({"task": F.lit(task), "predicted_label_id": F.lit(None).cast("bigint"),
-                           "predicted_label_name": F.col("_class.label"), "confidence": F.col("_class.score")}).drop("_class", "backend")
+        c = c.withColumns({"task": F.lit(task), "predicted_label_id": F.lit(None).cast("bigint"), "error": F.col("_class.error"),
+                           "predicted_label_name": F.col("_class.output.label"), "confidence": F.col("_class.output.score")}).drop("_class")
     c = c.withColumnRenamed("error", "_error")
     if summarizers is None:
         c = textrank.with_summary(c, "_clean", "_raw", num_sentences, min_sentence_length, stop_words, max_iter=max_iter, tol=tol, sep="<n>")
     else:
-        c = score_with_model(c, summarizers, "_text", "_raw", sentinel=SUMMARY_ERROR, batch_rows=batch_rows).drop("backend", "error")
+        c = c.withColumn("_raw", F.col("_made.output")).drop("_made")
     c = c.withColumn("summary", F.when(F.col("_raw") == SUMMARY_ERROR, F.col("_raw")).otherwise(post_process_summary("_raw"))).drop("_raw", "_text", "_clean")
     if simplifiers is None:
         c = c.withColumn("simplified_summary", dictionary_simplify_col("summary", terms))
