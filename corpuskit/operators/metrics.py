@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from corpuskit.functions.common import to_col
 from corpuskit.functions.text import rouge_tokens, word_count, words
 
 PORTER = "porter"  # as a ``stemmer``: the bundled one
+PAIR_ROWS = 1024  # pairs that are handled at once
 
 
 # -- classification -----------------------------------------------------------
@@ -61,26 +65,43 @@ def _clipped(pred, ref, n: int) -> int:
     return sum(min(c, b[g]) for g, c in a.items() if g in b)
 
 
-def _matches(pred: Column, ref: Column, orders) -> Column:
-    """Clipped matches per order, in place: a pair is one row, so nothing is shuffled."""
+def _codes(tokens: pa.Array, stemmed: bool) -> np.ndarray:
+    """A number for each token, the same for equal ones."""
+    d = tokens.dictionary_encode()
+    at = d.indices.to_numpy(zero_copy_only=False)
+    return porter.stems_of(d.dictionary).dictionary_encode().indices.to_numpy(zero_copy_only=False)[at] if stemmed else at
+
+
+def pair_figures(pred: Column, ref: Column, orders=(), lcs: bool = False, stemmed: bool = False) -> Column:
+    """``struct<match: array<int>, lcs: int>`` of two token arrays: clipped matches per order and the length of the longest
+    common subsequence (0 unless ``lcs``), on Porter stems where ``stemmed``.  In place: a pair is one row, so nothing is
+    shuffled, and one Python worker a task does all of it, on token numbers of PAIR_ROWS rows at a time."""
     orders = list(orders)
 
-    def run(p: pd.Series, r: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(p, r):
-            a, b = ([] if a is None else list(a)), ([] if b is None else list(b))
-            out.append([_clipped(a, b, n) for n in orders])
-        return pd.Series(out, dtype=object)
-    return F.pandas_udf(run, "array<int>")(pred, ref)
+    def one(p: pa.Array, r: pa.Array) -> pa.Array:
+        sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (p, r)]
+        codes = _codes(pa.concat_arrays([p.flatten(), r.flatten()]), stemmed)
+        at, bt = 0, int(sizes[0].sum())
+        match, common = [], []
+        for n_a, n_b in zip(*[s.tolist() for s in sizes]):
+            a, b = codes[at:at + n_a].tolist(), codes[bt:bt + n_b].tolist()
+            at, bt = at + n_a, bt + n_b
+            match.append([_clipped(a, b, n) for n in orders])
+            common.append(lcs_length(a, b) if lcs else 0)
+        return pa.StructArray.from_arrays([pa.array(match, pa.list_(pa.int32())), pa.array(common, pa.int32())], ["match", "lcs"])
+
+    def run(p: pa.Array, r: pa.Array) -> pa.Array:
+        return pa.concat_arrays([one(p.slice(i, PAIR_ROWS), r.slice(i, PAIR_ROWS)) for i in range(0, max(len(p), 1), PAIR_ROWS)])
+    return F.arrow_udf(run, "struct<match: array<int>, lcs: int>")(pred, ref)
 
 
-def _overlap(df: DataFrame, id_cols, pred_tokens: Column, ref_tokens: Column, orders) -> DataFrame:
+def _overlap(df: DataFrame, id_cols, pred_tokens: Column, ref_tokens: Column, orders, stemmed: bool = False) -> DataFrame:
     """Both lengths and the clipped n-gram matches (one array element per order)."""
     from corpuskit.session import ship_package
     ship_package(df.sparkSession)
     t = df.select(*id_cols, pred_tokens.alias("_p"), ref_tokens.alias("_r"))
     return t.select(*id_cols, F.greatest(F.size("_p"), F.lit(0)).alias("len_pred"), F.greatest(F.size("_r"), F.lit(0)).alias("len_ref"),
-                    _matches(F.col("_p"), F.col("_r"), orders).alias("match"))
+                    pair_figures(F.col("_p"), F.col("_r"), orders, stemmed=stemmed)["match"].alias("match"))
 
 
 def _prf(match: Column, total_pred: Column, total_ref: Column) -> Column:
@@ -108,15 +129,14 @@ def stem_tokens(tokens, stemmer) -> Column:
 
 
 def _rouge_tokens(c, stemmer):
+    """Tokens, on the stems of a caller's stemmer; Porter's are made where pairs are compared."""
     t = rouge_tokens(c)
-    if stemmer == PORTER:
-        return porter.stem_tokens(t)
-    return stem_tokens(t, stemmer) if stemmer is not None else t
+    return stem_tokens(t, stemmer) if stemmer not in (None, PORTER) else t
 
 
 def rouge_n(df: DataFrame, id_cols: list[str], pred: str, ref: str, orders=(1, 2), stemmer=None) -> DataFrame:
     """X11: ROUGE-N precision / recall / F per pair and order (stemming optional)."""
-    o = _overlap(df, id_cols, _rouge_tokens(pred, stemmer), _rouge_tokens(ref, stemmer), orders)
+    o = _overlap(df, id_cols, _rouge_tokens(pred, stemmer), _rouge_tokens(ref, stemmer), orders, stemmer == PORTER)
     rows = F.array(*[F.struct(F.lit(n).alias("n"), s.alias("s")) for n, s in zip(orders, _rouge_scores(o, orders))])
     return o.select(*id_cols, F.explode(rows).alias("x")).select(*id_cols, "x.n", "x.s.*")
 
@@ -136,18 +156,12 @@ def lcs_length(a: list, b: list) -> int:
     return len(b) - bin(v).count("1")
 
 
-def _lcs_column(pred: Column, ref: Column) -> Column:
-    def run(p: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([lcs_length([] if a is None else list(a), [] if b is None else list(b)) for a, b in zip(p, r)], dtype="int32")
-    return F.pandas_udf(run, "int")(pred, ref)
-
-
 def rouge_l(df: DataFrame, id_cols: list[str], pred: str, ref: str, stemmer=None) -> DataFrame:
     """ROUGE-L precision / recall / F per pair (LCS on rouge tokens)."""
     from corpuskit.session import ship_package
     ship_package(df.sparkSession)
     t = df.select(*id_cols, _rouge_tokens(pred, stemmer).alias("_p"), _rouge_tokens(ref, stemmer).alias("_r"))
-    t = t.withColumn("_lcs", _lcs_column(F.col("_p"), F.col("_r")))
+    t = t.withColumn("_lcs", pair_figures(F.col("_p"), F.col("_r"), lcs=True, stemmed=stemmer == PORTER)["lcs"])
     return t.select(*id_cols, _prf(F.col("_lcs"), F.size("_p"), F.size("_r")).alias("s")).select(*id_cols, "s.*")
 
 
@@ -156,7 +170,8 @@ def rouge_scores(df: DataFrame, id_cols: list[str], pred: str, ref: str, stemmer
     from corpuskit.session import ship_package
     ship_package(df.sparkSession)
     t = df.select(*id_cols, _rouge_tokens(pred, stemmer).alias("_p"), _rouge_tokens(ref, stemmer).alias("_r"))
-    t = t.withColumns({"match": _matches(F.col("_p"), F.col("_r"), (1, 2)), "_lcs": _lcs_column(F.col("_p"), F.col("_r"))})
+    t = t.withColumn("_f", pair_figures(F.col("_p"), F.col("_r"), (1, 2), True, stemmer == PORTER))
+    t = t.withColumns({"match": F.col("_f.match"), "_lcs": F.col("_f.lcs")})
     n_p, n_r = F.size("_p"), F.size("_r")
     return t.select(*id_cols, *[_prf(F.get("match", i), n_p - i, n_r - i)["fmeasure"].alias(f"rouge{i + 1}") for i in (0, 1)],
                     _prf(F.col("_lcs"), n_p, n_r)["fmeasure"].alias("rougeL"))
@@ -196,8 +211,9 @@ def generation_metrics(df: DataFrame, id_cols: list[str], pred: str, ref: str, w
     ship_package(df.sparkSession)
     t = df.select(F.coalesce(word_count(pred), F.lit(0)).alias("_w"), _rouge_tokens(pred, stemmer).alias("_rp"), _rouge_tokens(ref, stemmer).alias("_rr"),
                   words(F.coalesce(to_col(pred), F.lit(""))).alias("_bp"), words(F.coalesce(to_col(ref), F.lit(""))).alias("_br"))
-    rouge = t.withColumns({"match": _matches(F.col("_rp"), F.col("_rr"), (1, 2)), "_lcs": _lcs_column(F.col("_rp"), F.col("_rr")) if with_lcs else F.lit(0),
-                           "_bm": _matches(F.col("_bp"), F.col("_br"), (1, 2, 3, 4)) if with_bleu else F.lit(None).cast("array<int>")})
+    rouge = t.withColumns({"_f": pair_figures(F.col("_rp"), F.col("_rr"), (1, 2), with_lcs, stemmer == PORTER),
+                           "_bm": pair_figures(F.col("_bp"), F.col("_br"), (1, 2, 3, 4))["match"] if with_bleu else F.lit(None).cast("array<int>")})
+    rouge = rouge.withColumns({"match": F.col("_f.match"), "_lcs": F.col("_f.lcs")})
     n_p, n_r = F.size("_rp"), F.size("_rr")
     s = rouge.select("_w", F.size("_bp").alias("len_pred"), F.size("_br").alias("len_ref"), F.col("_bm").alias("match"),
                      *[_prf(F.get("match", i), n_p - i, n_r - i)["fmeasure"].alias(f"rouge{i + 1}") for i in (0, 1)],
