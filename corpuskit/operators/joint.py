@@ -26,6 +26,7 @@ LARGEST = 64 << 20  # bytes of all heads
 HISTORY = 10
 DIRECT = 32  # so few partial gradients go straight to the driver
 ROWS = 2048
+DENSE = 1 << 19  # numbers of rows that are spread out
 GRADIENT = "loss double, gradient binary"
 
 
@@ -79,10 +80,10 @@ def _margins(rows: int, row, feature, value, w: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slices(batches):
+def _slices(batches, rows: int = ROWS):
     for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            yield b.slice(at, ROWS)
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def _gradients(shared):
@@ -91,17 +92,29 @@ def _gradients(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         loss, gradient = 0.0, np.zeros_like(w)
-        for b in _slices(batches):
+        features = w.shape[1] - 1
+        # few rows at a time, spread out over all features where these are not many: two matrix products, in cache
+        slab = min(ROWS, DENSE // features)
+        for b in _slices(batches, slab or ROWS):
             start, end, share, label = (c.to_numpy(zero_copy_only=False) for c in b.columns[:4])
             row, feature, value = _sparse(b, 4, 5)
+            spread = None
+            if slab:
+                spread = np.zeros((len(start), features))
+                spread[row, feature] = value
             for at in np.unique(start):
                 mine = start == at
-                stop, pick = end[mine][0], np.flatnonzero(mine)
-                place = np.full(len(start), -1)
-                place[pick] = np.arange(len(pick))
-                on = mine[row]
-                r, f, v = place[row[on]], feature[on], value[on]
-                m = _margins(len(pick), r, f, v, w[at:stop])
+                pick = np.flatnonzero(mine)
+                stop = end[pick[0]]
+                if spread is not None:
+                    x = spread if len(pick) == len(start) else spread[pick]
+                    m = x @ w[at:stop, :-1].T + w[at:stop, -1]
+                else:
+                    place = np.full(len(start), -1)
+                    place[pick] = np.arange(len(pick))
+                    on = mine[row]
+                    r, f, v = place[row[on]], feature[on], value[on]
+                    m = _margins(len(pick), r, f, v, w[at:stop])
                 m -= m.max(axis=1, keepdims=True)
                 e = np.exp(m)
                 total = e.sum(axis=1)
@@ -110,9 +123,12 @@ def _gradients(shared):
                 d = e / total[:, None]
                 d[np.arange(len(pick)), y] -= 1
                 d *= s[:, None]
+                gradient[at:stop, -1] += d.sum(axis=0)
+                if spread is not None:
+                    gradient[at:stop, :-1] += d.T @ x
+                    continue
                 for k in range(stop - at):
-                    gradient[at + k, :-1] += np.bincount(f, weights=v * d[r, k], minlength=w.shape[1] - 1)
-                    gradient[at + k, -1] += d[:, k].sum()
+                    gradient[at + k, :-1] += np.bincount(f, weights=v * d[r, k], minlength=features)
         yield pa.record_batch([pa.array([loss]), pa.array([gradient.tobytes()], pa.binary())], ["loss", "gradient"])
     return run
 
@@ -206,6 +222,22 @@ def train_joint(df: DataFrame, num_features: int = 4096, text: str = "input_text
     return JointModel(encoder, blocks, w)
 
 
+def _predicted(blocks: dict[str, tuple[int, int]], w: np.ndarray, batch: pa.RecordBatch) -> pa.Array:
+    """The preferred class of rows (task, i, v), by ROWS rows at a time."""
+    def one(b: pa.RecordBatch) -> pa.Array:
+        row, feature, value = _sparse(b, 1, 2)
+        names = np.array([x if x is not None else "" for x in b.column(0).to_pylist()], dtype=object)
+        out = np.full(len(names), -1)
+        for name in set(names.tolist()) & set(blocks):
+            a, z = blocks[name]
+            mine = names == name
+            place = np.cumsum(mine) - 1
+            on = mine[row]
+            out[mine] = _margins(int(mine.sum()), place[row[on]], feature[on], value[on], w[a:z]).argmax(axis=1)
+        return pa.array(out, pa.int64(), mask=out < 0)
+    return pa.concat_arrays([pa.array([], pa.int64())] + [one(b) for b in _slices([batch])])
+
+
 def predict_joint(model: JointModel, df: DataFrame, task: str = "task_name") -> DataFrame:
     """``df`` with ``pred``, the class that the head of the row's task prefers (ties: the smaller); rows of a
     task without a head keep a null.  A batch is one product a task."""
@@ -216,18 +248,7 @@ def predict_joint(model: JointModel, df: DataFrame, task: str = "task_name") ->
     shared = spark.sparkContext.broadcast((model.blocks, model.weights))
 
     def run(tasks: pa.Array, i: pa.Array, v: pa.Array) -> pa.Array:
-        blocks, w = shared.value
-        b = pa.record_batch([tasks, i, v], ["t", "i", "v"])
-        row, feature, value = _sparse(b, 1, 2)
-        names = np.array([x if x is not None else "" for x in tasks.to_pylist()], dtype=object)
-        out = np.full(len(names), -1)
-        for name in set(names.tolist()) & set(blocks):
-            a, z = blocks[name]
-            mine = names == name
-            place = np.cumsum(mine) - 1
-            on = mine[row]
-            out[mine] = _margins(int(mine.sum()), place[row[on]], feature[on], value[on], w[a:z]).argmax(axis=1)
-        return pa.array(out, pa.int64(), mask=out < 0)
+        return _predicted(*shared.value, pa.record_batch([tasks, i, v], ["t", "i", "v"]))
 
     feats = encoded(model.encoder, df, *df.columns)
     return feats.select(*df.columns, F.arrow_udf(run, "bigint")(F.col(task), F.col("i"), F.col("v")).alias("pred"))
