@@ -39,10 +39,13 @@ def token_type(token) -> Column:
 
 
 def period_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``(type, n_with, n_without)``: how often each word type ends in one period and how often not."""
-    t = df.select(F.explode(F.split(clean_text(text), " ")).alias("t")).select(_bare(F.col("t")).alias("t"))
-    t = t.select(F.regexp_replace("t", r"\.+$", "").alias("type"), (F.endswith("t", F.lit(".")) & ~F.endswith("t", F.lit(".."))).alias("w"))
-    return t.where(F.col("type").rlike(TYPE)).groupBy("type").agg(F.count_if("w").alias("n_with"), F.count_if(~F.col("w")).alias("n_without"))
+    """``(type, n_with, n_without)``: how often each word type ends in one period and how often not.
+
+    Equal tokens are counted first, so a type is read off once a token of the vocabulary."""
+    t = df.select(F.explode(F.split(clean_text(text), " ")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).select(_bare(F.col("t")).alias("t"), "n")
+    t = t.select("n", F.regexp_replace("t", r"\.+$", "").alias("type"), (F.endswith("t", F.lit(".")) & ~F.endswith("t", F.lit(".."))).alias("w"))
+    return t.where(F.col("type").rlike(TYPE)).groupBy("type").agg(
+        F.sum(F.when(F.col("w"), F.col("n")).otherwise(0)).alias("n_with"), F.sum(F.when(F.col("w"), 0).otherwise(F.col("n"))).alias("n_without"))
 
 
 def abbreviation_score(n_with, n_without, type_, period_share) -> Column:
@@ -82,29 +85,39 @@ def _joined_pieces(pieces: Column, is_abbreviation: Callable[[Column], Column])
     return F.split(F.concat(F.array_join(firsts, ""), F.element_at(pieces, -1)), SENT_MARK)
 
 
+def plain_pieces(clean) -> Column:
+    """The plain split of a cleaned text."""
+    return F.split(F.regexp_replace(to_col(clean), f"{SENT_END} ", f"$1{SENT_MARK}"), SENT_MARK)
+
+
 def split_sentences_at(clean, is_abbreviation: Callable[[Column], Column]) -> Column:
     """Sentences of a cleaned text; ``is_abbreviation`` tells of a word type whether its period is its own."""
-    pieces = F.split(F.regexp_replace(to_col(clean), f"{SENT_END} ", f"$1{SENT_MARK}"), SENT_MARK)
-    return let(pieces, lambda p: _joined_pieces(p, is_abbreviation))
+    return let(plain_pieces(clean), lambda p: _joined_pieces(p, is_abbreviation))
 
 
 def split_learned(df: DataFrame, abbreviations: DataFrame, text: str = "text", out: str = "sentences",
-                  inline_bytes: int = INLINE_BYTES) -> DataFrame:
+                  inline_bytes: int = INLINE_BYTES, plain: str | None = None) -> DataFrame:
     """``df`` with the sentences of its cleaned text, split by a learned table (column ``type``).
 
+    ``plain`` names a column for the number of pieces of the plain split.
+
     A table of at most ``inline_bytes`` becomes a set of literals, searched by hash, and no row moves.
     A larger one meets the distinct types before a period of each text in a join by type, and the rows
     get their own abbreviations back by their text's digest."""
     size = abbreviations.agg(F.sum(F.octet_length("type") + 16)).first()[0] or 0
     if size <= inline_bytes:
         known = sorted(r["type"] for r in abbreviations.select("type").distinct().collect())
-        return df.withColumn(out, split_sentences_at(clean_text(text), lambda t: t.isin(known) if known else F.lit(False)))
+        # the pieces once, in their own projection: both columns read them
+        cut = df.withColumn("_pieces", plain_pieces(clean_text(text)))
+        cut = cut.withColumn(plain, F.size("_pieces")) if plain else cut
+        return cut.withColumn(out, _joined_pieces(F.col("_pieces"), lambda t: t.isin(known) if known else F.lit(False))).drop("_pieces")
     keyed = df.withColumn("_clean", clean_text(text)).withColumn("_key", F.sha2("_clean", 256))
     ends = F.filter(F.split("_clean", " "), lambda t: F.endswith(t, F.lit(".")) & ~F.endswith(t, F.lit("..")))
     types = keyed.select("_key", F.explode(F.array_distinct(F.transform(ends, token_type))).alias("type")).distinct()
     own = (types.join(abbreviations.select("type").distinct(), "type").groupBy("_key").agg(F.collect_set("type").alias("_own"))
            .withColumnRenamed("_key", "_own_key"))
     both = keyed.join(own, F.col("_key") == F.col("_own_key"), "left")
+    both = both.withColumn(plain, F.size(plain_pieces("_clean"))) if plain else both
     none = F.array().cast("array<string>")
     return (both.withColumn(out, let(F.coalesce("_own", none), lambda o: split_sentences_at(F.col("_clean"), lambda t: F.array_contains(o, t))))
             .drop("_clean", "_key", "_own", "_own_key"))

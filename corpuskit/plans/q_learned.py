@@ -54,9 +54,8 @@ _LEARNED_SPLIT = (", known AS (SELECT list(type) AS known FROM abbr), pieces AS
 def q_sentence_split_learned(spark, d):
     """Sentences of whole texts, split by the abbreviations that the corpus itself shows."""
     docs = fx.documents(spark, d)
-    s = A.split_learned(docs, A.learn_abbreviations(docs))
-    plain = F.size(F.split(F.regexp_replace(A.clean_text("text"), f"{A.SENT_END} ", f"$1{A.SENT_MARK}"), A.SENT_MARK))
-    return s.select("doc_id", F.size("sentences").cast("bigint").alias("n_sentences"), (plain - F.size("sentences")).cast("bigint").alias("n_joined"),
+    s = A.split_learned(docs, A.learn_abbreviations(docs), plain="n_plain")
+    return s.select("doc_id", F.size("sentences").cast("bigint").alias("n_sentences"), (F.col("n_plain") - F.size("sentences")).cast("bigint").alias("n_joined"),
                     F.md5(F.array_join("sentences", "\n")).alias("sentences_md5"))
 
 
